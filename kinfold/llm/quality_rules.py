@@ -26,6 +26,8 @@ from kinfold.llm.text_stats import add_base, add_words, ratio, shares
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 THRESHOLD = 0.5
+#: Rules that name a kind of bad document; the others only add to the evidence.
+KINDS = ("symbols", "capitals", "pipes", "stutter")
 ROUNDS = 50
 
 
@@ -51,33 +53,48 @@ def rules() -> dict[str, Column]:
     }
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
-    """Posterior probability of good for each pattern of votes. Begins with rules that are
-    seldom wrong on good documents and often silent about bad ones; one vote is added to each
-    count, so that no probability is 0."""
+def estimate(patterns: list[tuple[tuple[int, ...], int]], kinds: tuple[int, ...] = (), rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
+    """Posterior probability of good for each pattern of votes.
+
+    Bad documents are bad in different ways, and one class for all of them would come to stand
+    for the most frequent way alone. So there is a class for good and one for each kind of bad,
+    named by a rule (its place is in ``kinds``, all rules if that is empty). It begins with its
+    rule voting bad mostly, good with rules seldom voting bad. What keeps the classes' meaning:
+    a kind's own rule votes bad on at least half of it, and no rule votes bad on more than a
+    twentieth of good documents. One vote is added to each count, so that nothing is 0."""
     if not patterns:
         return {}
     m, total = len(patterns[0][0]), sum(n for _, n in patterns)
-    prior = 0.8
-    table = {True: [[0.08, 0.02, 0.9]] * m, False: [[0.2, 0.4, 0.4]] * m}
+    kinds = kinds or tuple(range(m))
+    prior = [0.8, *[0.2 / len(kinds)] * len(kinds)]
+    table = [[[0.08, 0.02, 0.9]] * m] + [[[0.05, 0.9, 0.05] if j == k else [0.2, 0.2, 0.6] for j in range(m)] for k in kinds]
     post: dict[tuple[int, ...], float] = {}
     for _ in range(rounds):
+        share = {}
         for p, _ in patterns:
-            odds = math.log(prior / (1 - prior)) + sum(math.log(table[True][j][v] / table[False][j][v]) for j, v in enumerate(p))
-            post[p] = 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
-        good = sum(n * post[p] for p, n in patterns)
-        prior = (good + 1) / (total + 2)
-        for kind in (True, False):
-            mass = good if kind else total - good
+            logs = [math.log(a) + sum(math.log(t[j][v]) for j, v in enumerate(p)) for a, t in zip(prior, table, strict=True)]
+            top = max(logs)
+            odds = [math.exp(x - top) for x in logs]
+            share[p] = [x / sum(odds) for x in odds]
+        post = {p: x[0] for p, x in share.items()}
+        for c in range(len(prior)):
+            mass = sum(n * share[p][c] for p, n in patterns)
+            prior[c] = (mass + 1) / (total + len(prior))
             counts = [[1.0, 1.0, 1.0] for _ in range(m)]
             for p, n in patterns:
-                w = n * (post[p] if kind else 1 - post[p])
                 for j, v in enumerate(p):
-                    counts[j][v] += w
-            table[kind] = [[x / (mass + 3) for x in row] for row in counts]
+                    counts[j][v] += n * share[p][c]
+            table[c] = [bounded([x / (mass + 3) for x in row], most=0.05 if c == 0 else 1.0, least=0.5 if c and j == kinds[c - 1] else 0.0) for j, row in enumerate(counts)]
     return post
 
 
+def bounded(row: list[float], most: float, least: float) -> list[float]:
+    """Probabilities of (abstain, bad, good) with that of bad held between least and most."""
+    bad = min(max(row[1], least), most)
+    rest = row[0] + row[2]
+    return [row[0] / rest * (1 - bad), bad, row[2] / rest * (1 - bad)] if bad != row[1] else row
+
+
 def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
     """The carried columns, n_words, the base counts, base_failed, p_good and kept."""
     votes = rules()
@@ -88,7 +105,7 @@ def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), thresho
     stats = stats.select(*names.values(), *BASE, failed.alias("base_failed"), F.concat_ws("", *(v.cast("string") for v in votes.values())).alias("_pattern"))
     stats = written(stats, "votes")
     counted = [(tuple(map(int, r["_pattern"])), r["n"]) for r in stats.groupBy("_pattern").agg(F.count("*").alias("n")).collect()]
-    post = estimate(sorted(counted))
+    post = estimate(sorted(counted), tuple(list(votes).index(k) for k in KINDS))
     spark = docs.sparkSession
     known = spark.createDataFrame([("".join(map(str, p)), float(x)) for p, x in post.items()], "_pattern string, p_good double")
     kept = ~F.col("base_failed") & (F.col("p_good") >= threshold)
