@@ -9,14 +9,14 @@ a shingle in common among the first n - ceil(0.75 n) + 1 of each (the prefix).
 2. Group pairs are filtered by size, and groups expand to their distinct sets (equal sets are
    one class, named by its smallest doc_id).
 3. Members are verified on their whole sets. As links are wanted for components, pairs already
-   connected need no proof: first each shingle's members are verified against one of them, the
-   shingle's pivot, in two rounds with different pivots; then all pairs left of one shingle that
-   are in different components and were not verified yet. In that last step each such pair has
+   connected need no proof: first each shingle's members are verified against two of them, the
+   shingle's pivots; then all pairs left of one shingle that are in different components and
+   were not verified yet. In that last step each such pair has
    a member outside the shingle's largest component, so that a large group of copies, which is
    one component by then, costs no more than its size. No link is lost.
 
-Frequencies only decide the order, any order is exact: they are counted over all documents,
-a batch at a time, and shingles rare within each batch count as rare.
+Frequencies only decide the order, and any order is exact. They are counted over all documents,
+a batch at a time; shingles rare within each batch count as rare.
 
 Cases: without words or text the set is empty, and links with nothing; with fewer words than
 five the whole sequence is the one shingle; rows of one doc_id are one document as to links;
@@ -26,6 +26,7 @@ other columns drop. Shingles are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,37 +44,76 @@ PERCENT = 75
 #: ones the first FREQUENT are put last in the order (a bound of what is broadcast: 1.6 MB).
 IN_BATCH = 4
 FREQUENT = 100_000
-PIVOT_ROUNDS = 2
+PIVOTS = 2
 KEPT = 1_000_000
+LONG = 48
+
+
+@functools.lru_cache(maxsize=1)
+def byte_tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each byte a random number, A-Z as a-z, and whether it is white space."""
+    numbers = np.random.default_rng(20).integers(0, 2**64, 256, np.uint64)
+    numbers[65:91] = numbers[97:123]
+    space = np.zeros(256, bool)
+    space[[32, *range(9, 14)]] = True
+    return numbers, space
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and of which text each word is. Words are read a byte
+    at a time, all at once; the few that are longer than LONG are hashed one by one."""
+    numbers, space = byte_tables()
+    buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    gap = space[buf]
+    edge = np.flatnonzero(np.diff(np.r_[True, gap].view(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    h = np.full(len(starts), 0x9E3779B97F4A7C15, np.uint64)
+    size = ends - starts
+    at, place = starts.copy(), np.flatnonzero(size > 0)
+    with np.errstate(over="ignore"):
+        for k in range(LONG):
+            place = place[size[place] > k]
+            if not len(place):
+                break
+            h[place] = (h[place] ^ numbers[buf[at[place] + k]]) * np.uint64(0x9FB21C651E98DF25)
+        h ^= h >> np.uint64(32)
+        for w in place[size[place] > LONG]:
+            h[w] ^= np.uint64(xxhash.xxh3_64_intdigest(buf[starts[w] : ends[w]].tobytes().lower()))
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+    after = np.cumsum([len(t) + 1 for t in texts])
+    return h, np.searchsorted(after, starts, "right")
+
+
+def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all texts in order, repeats included, and of which text each is."""
+    h, of = word_hashes([t.encode() for t in texts])
+    count = np.bincount(of, minlength=len(texts))
+    if not len(h):
+        return np.zeros(0, np.int64), of
+    length = np.minimum(count, WORDS)[of]  # of the shingle that begins at a word
+    first = np.r_[0, np.cumsum(count)][of]
+    begins = np.flatnonzero(np.arange(len(h)) - first + length <= count[of])
+    begins = begins[(count[of[begins]] >= WORDS) | (begins == first[begins])]
+    out, length = length[begins].astype(np.uint64), length[begins]
+    with np.errstate(over="ignore"):
+        for k in range(WORDS):
+            more = h[np.minimum(begins + k, len(h) - 1)]
+            new = (out ^ more) * np.uint64(0xA0761D6478BD642F)
+            new ^= new >> np.uint64(29)
+            out = np.where(length > k, new, out)
+    return out.view(np.int64), of[begins]
 
 
-class Shingler:
-    """Sets of shingle hashes; keeps the hashes of words, as many as KEPT."""
-
-    def __init__(self, words: int = WORDS):
-        self.words, self.known = words, {}
-
-    def hash(self, word: bytes) -> int:
-        h = self.known[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def set(self, text: str) -> np.ndarray:
-        """Distinct hashes in ascending order. bytes.lower() and bytes.split() change and cut
-        at just A-Z and the six ASCII white spaces."""
-        words = text.encode().lower().split()
-        if not words:
-            return np.zeros(0, np.int64)
-        if len(self.known) > KEPT:
-            self.known.clear()
-        known, new = self.known.get, self.hash
-        h = np.fromiter((known(w) or new(w) for w in words), np.uint64, len(words))
-        n = max(1, len(h) - self.words + 1)
-        out = np.full(n, min(len(h), self.words), np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(min(len(h), self.words)):
-                out = (out ^ h[k : k + n]) * np.uint64(0x9FB21C651E98DF25)
-                out ^= out >> np.uint64(29)
-        return np.unique(out.view(np.int64))
+def sets(texts: list[str]) -> list[np.ndarray]:
+    """For each text the distinct hashes of its shingles, ascending."""
+    h, of = shingle_hashes(texts)
+    ends = np.cumsum(np.bincount(of, minlength=len(texts)))
+    out = []
+    for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+        x = np.sort(h[a:b])
+        out.append(x[np.r_[True, x[1:] != x[:-1]]] if len(x) > 1 else x)
+    return out
 
 
 def digest(x: np.ndarray) -> tuple[int, int]:
@@ -89,15 +129,21 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100 + 1 if n else 0
 
 
+def rest_size(n: str, percent: int = PERCENT) -> str:
+    """What a set has beyond its prefix, in SQL."""
+    return f"(({percent} * {n} + 99) div 100 - 1)"
+
+
 def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles, ascending, and how many documents each is in."""
+    """Frequent shingles, ascending, and how often each occurs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = Shingler()
         for b in batches:
-            sets = [s.set(t) for t in b.text]
-            h, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            yield pd.DataFrame({"h": h[n >= IN_BATCH], "n": n[n >= IN_BATCH].astype(np.int64)})
+            x = np.sort(shingle_hashes(b.text.tolist())[0])
+            if len(x) >= IN_BATCH:  # runs of IN_BATCH equal ones
+                starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+                n = np.diff(np.r_[starts, len(x)])
+                yield pd.DataFrame({"h": x[starts[n >= IN_BATCH]], "n": n[n >= IN_BATCH]})
 
     rows = docs.mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
     h, n = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
@@ -105,6 +151,21 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
+def prefix_of(x: np.ndarray, often: np.ndarray, count: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The first of a set in the common order: rare shingles by hash, then frequent ones by
+    frequency and hash. ``seen`` tells for the low bits of a hash whether it may be frequent."""
+    size = prefix_size(len(x))
+    may = np.flatnonzero(seen[x & (len(seen) - 1)])
+    if len(may):
+        at = np.minimum(np.searchsorted(often, x[may]), len(often) - 1)
+        hit = often[at] == x[may]
+        may, at = may[hit], at[hit]
+        if len(may):
+            rare = np.delete(x, may)
+            return rare[:size] if len(rare) >= size else np.r_[rare, x[may[np.argsort(count[at], kind="stable")]]][:size]
+    return x[:size]
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n (size of the set), a, b (its digests), g (of its prefix and size) and prefix;
     that is null where an earlier row of the same task has the same, so that of a large group of
@@ -112,41 +173,41 @@ def signatures(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s, (often, count), seen = Shingler(), shared.value, set()
+        (often, count), known = shared.value, set()
+        low = np.zeros(1 << 20, bool)
+        low[often & (len(low) - 1)] = True
         for b in batches:
+            if len(known) > KEPT:
+                known.clear()
             out = []
-            if len(seen) > KEPT:
-                seen.clear()
-            for d, t in zip(b.doc_id, b.text, strict=True):
-                x = s.set(t)
-                p = x
-                if len(often) and len(x):
-                    at = np.minimum(np.searchsorted(often, x), len(often) - 1)
-                    p = x[np.lexsort((x, np.where(often[at] == x, count[at], 0)))]
-                p = np.sort(p[: prefix_size(len(x))])
-                g, known = digest(p)[1] ^ (len(x) << 40), not pd.isna(d)
-                out.append((int(d) if known else None, len(x), *digest(x), g, None if g in seen or not known else p))
-                if known:
-                    seen.add(g)
+            for d, x in zip(b.doc_id, sets(b.text.tolist()), strict=True):
+                p = prefix_of(x, often, count, low)
+                g, has = digest(p)[1] ^ (len(x) << 40), not pd.isna(d)
+                out.append((int(d) if has else None, len(x), *digest(x), g, None if g in known or not has else p))
+                if has:
+                    known.add(g)
             yield pd.DataFrame(out, columns=["doc_id", "n", "a", "b", "g", "prefix"]).astype({"doc_id": "Int64"})
 
     return written(docs.mapInPandas(run, "doc_id long, n long, a long, b long, g long, prefix array<long>"), "signatures")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, s for the documents in ids: the whole sets, made again from their texts."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = Shingler()
-        for b in batches:
-            yield pd.DataFrame({"id": b.doc_id, "s": [s.set(t) for t in b.text]})
+def verify(pairs: DataFrame, lists: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Of the candidate pairs u, v: u, v, linked.
 
-    return written(docs.join(ids.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi").mapInPandas(run, "id long, s array<long>"), "sets")
+    First by the prefixes: two sets that link have so many shingles in common that, as what lies
+    beyond a prefix is of known size, enough of them must be in both prefixes. What passes is
+    verified on the whole sets, made again from the texts of just those documents."""
+    a, b = (lists.select(F.col("cid").alias(c), F.col("n").alias(n), F.col("hs").alias(h)) for c, n, h in (("u", "n", "x"), ("v", "o", "y")))
+    enough = f"size(array_intersect(x, y)) >= ceil({percent} * (n + o) / {100.0 + percent}) - greatest({rest_size('n')}, {rest_size('o')})"
+    pairs = written(pairs.join(a, "u").join(b, "v").where(enough).select("u", "v"), "pairs")
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            yield pd.DataFrame({"id": x.doc_id, "s": sets(x.text.tolist())})
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of the pairs u, v: u, v, linked."""
-    a, b = sets.select(F.col("id").alias("u"), F.col("s").alias("x")), sets.select(F.col("id").alias("v"), F.col("s").alias("y"))
+    ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
+    whole = written(docs.join(ids, "doc_id", "left_semi").mapInPandas(run, "id long, s array<long>"), "sets")
+    a, b = whole.select(F.col("id").alias("u"), F.col("s").alias("x")), whole.select(F.col("id").alias("v"), F.col("s").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     linked = 100 * both >= percent * (F.size("x") + F.size("y") - both)
     return written(pairs.join(b, "v").join(a, "u").select("u", "v", linked.alias("linked")), "verified")
@@ -170,26 +231,25 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     entries = known.where("prefix IS NOT NULL").select("g", F.explode("prefix").alias("h"))
     index = entries.withColumns({"lo": F.min("g").over(same), "hi": F.max("g").over(same)}).where("lo <> hi").select("h", "g").distinct()
     # 2. groups expand; a group of several classes meets in itself
-    inside = classes.join(classes.groupBy("g", "n").count().where("count > 1").select("g", "n"), ["g", "n"], "left_semi").select(F.col("g").alias("h"), "cid", "n")
+    several = Window.partitionBy("g", "n")
+    inside = classes.withColumn("k", F.count("*").over(several)).where("k > 1").select(F.col("g").alias("h"), "cid", "n")
     index = written(index.join(classes, "g").select("h", "cid", "n").unionByName(inside).distinct(), "index")
-    sets = sets_of(docs, index.select("cid").distinct())
+    lists = written(known.where("prefix IS NOT NULL").select("g", "prefix").join(classes, "g").join(index.select("cid").distinct(), "cid", "left_semi").groupBy("cid", "n").agg(F.first("prefix").alias("hs")), "lists")
 
     # 3. pivots, then what is left
-    done = None
-    for r in range(PIVOT_ROUNDS):
+    pairs = None
+    for r in range(PIVOTS):
         pivot = index.groupBy("h").agg(F.min(F.struct(F.xxhash64(F.lit(r), "cid").alias("k"), F.col("cid").alias("p"), F.col("n").alias("o"))).alias("p")).select("h", "p.p", "p.o")
-        pairs = index.join(pivot, "h").where(f"cid <> p AND {alike()}").select(F.least("cid", "p").alias("u"), F.greatest("cid", "p").alias("v")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["u", "v"], "left_anti")
-        new = verify(pairs, sets)
-        done = new if done is None else done.unionByName(new)
+        new = index.join(pivot, "h").where(f"cid <> p AND {alike()}").select(F.least("cid", "p").alias("u"), F.greatest("cid", "p").alias("v"))
+        pairs = new if pairs is None else pairs.unionByName(new)
+    done = verify(pairs.distinct(), lists, docs)
     root = components(done.where("linked").select("u", "v")).withColumnRenamed("id", "cid")
     placed = index.join(root, "cid", "left").select("h", "cid", "n", F.coalesce("root", "cid").alias("c"))
     most = placed.groupBy("h", "c").count().groupBy("h").agg(F.max(F.struct("count", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("h", F.col("most.c").alias("most"))
     placed = written(placed.join(most, "h"), "placed")
     few = placed.where("c <> most").select("h", F.col("cid").alias("p"), F.col("n").alias("o"), F.col("c").alias("d"))
     left = few.join(placed, "h").where(f"c <> d AND {alike()} AND (c = most OR cid < p)").select(F.least("cid", "p").alias("u"), F.greatest("cid", "p").alias("v")).distinct()
-    new = verify(left.join(done, ["u", "v"], "left_anti"), sets)
+    new = verify(left.join(done, ["u", "v"], "left_anti"), lists, docs)
     links = done.unionByName(new).where("linked").select("u", "v")
     copies = known.join(classes, ["g", "n", "a", "b"]).where("doc_id <> cid").select(F.col("doc_id").alias("u"), F.col("cid").alias("v"))
     root = components(links.unionByName(copies)).withColumnRenamed("id", "doc_id")
