@@ -47,6 +47,7 @@ FREQUENT = 100_000
 PIVOTS = 2
 KEPT = 1_000_000
 LONG = 48
+BITS = 1 << 24
 
 
 @functools.lru_cache(maxsize=1)
@@ -191,26 +192,37 @@ def signatures(docs: DataFrame) -> DataFrame:
     return written(docs.mapInPandas(run, "doc_id long, n long, a long, b long, g long, prefix array<long>"), "signatures")
 
 
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id is in ids. Before texts are shuffled for the join, a bitmap of
+    the ids' hashes, of at most BITS / 64 rows whatever their number, drops most others."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    bits = ids.select((bit / 64).cast("int").alias("_word"), F.expr("shiftleft(1L, cast(%s %% 64 AS int))" % f"pmod(xxhash64(doc_id), {BITS}L)").alias("_bit"))
+    bits = bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    near = docs.join(F.broadcast(bits), F.floor(bit / 64).cast("int") == F.col("_word")).where(f"getbit(_bits, cast(pmod(xxhash64(doc_id), {BITS}L) % 64 AS int)) = 1")
+    return near.select(*docs.columns).join(ids, "doc_id", "left_semi")
+
+
 def verify(pairs: DataFrame, lists: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of the candidate pairs u, v: u, v, linked.
 
     First by the prefixes: two sets that link have so many shingles in common that, as what lies
-    beyond a prefix is of known size, enough of them must be in both prefixes. What passes is
-    verified on the whole sets, made again from the texts of just those documents."""
-    a, b = (lists.select(F.col("cid").alias(c), F.col("n").alias(n), F.col("hs").alias(h)) for c, n, h in (("u", "n", "x"), ("v", "o", "y")))
-    enough = f"size(array_intersect(x, y)) >= ceil({percent} * (n + o) / {100.0 + percent}) - greatest({rest_size('n')}, {rest_size('o')})"
-    pairs = written(pairs.join(a, "u").join(b, "v").where(enough).select("u", "v"), "pairs")
+    beyond a prefix is of known size, enough of them must be in both prefixes (lists holds what
+    a prefix shares with another group's; of one group, all is shared). What passes is verified
+    on the whole sets, made again from the texts of just those documents."""
+    a, b = (lists.select(F.col("cid").alias(c), F.col("n").alias(n), F.col("g").alias(g), F.col("hs").alias(h)) for c, n, g, h in (("u", "n", "e", "x"), ("v", "o", "f", "y")))
+    enough = f"e = f OR size(array_intersect(x, y)) >= ceil({percent} * (n + o) / {100.0 + percent}) - greatest({rest_size('n')}, {rest_size('o')})"
+    pairs = written(pairs.join(a, "u").join(b, "v").where(enough).select("u", "v").distinct(), "pairs")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             yield pd.DataFrame({"id": x.doc_id, "s": sets(x.text.tolist())})
 
     ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    whole = written(docs.join(ids, "doc_id", "left_semi").mapInPandas(run, "id long, s array<long>"), "sets")
+    whole = written(only(docs, ids).mapInPandas(run, "id long, s array<long>"), "sets")
     a, b = whole.select(F.col("id").alias("u"), F.col("s").alias("x")), whole.select(F.col("id").alias("v"), F.col("s").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     linked = 100 * both >= percent * (F.size("x") + F.size("y") - both)
-    return written(pairs.join(b, "v").join(a, "u").select("u", "v", linked.alias("linked")), "verified")
+    return written(pairs.join(b, "v").join(a, "u").groupBy("u", "v").agg(F.max(linked).alias("linked")), "verified")
 
 
 def alike(m: str = "n", n: str = "o", percent: int = PERCENT) -> str:
@@ -232,9 +244,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     index = entries.withColumns({"lo": F.min("g").over(same), "hi": F.max("g").over(same)}).where("lo <> hi").select("h", "g").distinct()
     # 2. groups expand; a group of several classes meets in itself
     several = Window.partitionBy("g", "n")
-    inside = classes.withColumn("k", F.count("*").over(several)).where("k > 1").select(F.col("g").alias("h"), "cid", "n")
-    index = written(index.join(classes, "g").select("h", "cid", "n").unionByName(inside).distinct(), "index")
-    lists = written(known.where("prefix IS NOT NULL").select("g", "prefix").join(classes, "g").join(index.select("cid").distinct(), "cid", "left_semi").groupBy("cid", "n").agg(F.first("prefix").alias("hs")), "lists")
+    inside = classes.withColumn("k", F.count("*").over(several)).where("k > 1").select(F.col("g").alias("h"), "cid", "n", "g")
+    index = written(index.join(classes, "g").select("h", "cid", "n", "g").unionByName(inside).distinct(), "index")
+    lists = written(index.groupBy("cid", "n", "g").agg(F.collect_set("h").alias("hs")), "lists")
 
     # 3. pivots, then what is left
     pairs = None
