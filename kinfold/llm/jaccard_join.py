@@ -6,10 +6,10 @@ a shingle in common among the first n - ceil(0.75 n) + 1 of each (the prefix).
 
 1. Documents with the same prefix and size are one group; the index over prefix shingles holds
    groups. Shingles of one group alone go.
-2. Group pairs are filtered by size, and groups expand to their distinct sets (equal sets are
+2. Group pairs are filtered by size and by the place of the shingle, and groups expand to their distinct sets (equal sets are
    one class, named by its smallest doc_id).
 3. Members are verified on their whole sets. As links are wanted for components, pairs already
-   connected need no proof: first each shingle's members are verified against two of them, the
+   connected need no proof: first each shingle's members are verified against eight of them, the
    shingle's pivots; then all pairs left of one shingle that are in different components and
    were not verified yet. In that last step each such pair has
    a member outside the shingle's largest component, so that a large group of copies, which is
@@ -44,7 +44,7 @@ PERCENT = 75
 #: ones the first FREQUENT are put last in the order (a bound of what is broadcast: 1.6 MB).
 IN_BATCH = 4
 FREQUENT = 100_000
-PIVOTS = 2
+PIVOTS = 8
 KEPT = 1_000_000
 LONG = 48
 BITS = 1 << 24
@@ -225,9 +225,11 @@ def verify(pairs: DataFrame, lists: DataFrame, docs: DataFrame, percent: int = P
     return written(pairs.join(b, "v").join(a, "u").groupBy("u", "v").agg(F.max(linked).alias("linked")), "verified")
 
 
-def alike(m: str = "n", n: str = "o", percent: int = PERCENT) -> str:
-    """Sizes that a pair of this similarity can have."""
-    return f"100 * least({m}, {n}) >= {percent} * greatest({m}, {n})"
+def alike(percent: int = PERCENT) -> str:
+    """What sets of sizes n and o that link fulfil at their first common shingle, which stands at
+    pos in the one and at ``at`` in the other: enough of both must be left from there on."""
+    overlap = f"ceil({percent} * (n + o) / {100.0 + percent})"
+    return f"100 * least(n, o) >= {percent} * greatest(n, o) AND pos <= n - {overlap} AND at <= o - {overlap}"
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -240,28 +242,29 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     # 1. the index of groups; one exchange, and what only one group has goes
     same = Window.partitionBy("h")
-    entries = known.where("prefix IS NOT NULL").select("g", F.explode("prefix").alias("h"))
-    index = entries.withColumns({"lo": F.min("g").over(same), "hi": F.max("g").over(same)}).where("lo <> hi").select("h", "g").distinct()
+    entries = known.where("prefix IS NOT NULL").select("g", F.posexplode("prefix").alias("pos", "h"))
+    index = entries.withColumns({"lo": F.min("g").over(same), "hi": F.max("g").over(same)}).where("lo <> hi").select("h", "pos", "g").distinct()
     # 2. groups expand; a group of several classes meets in itself
     several = Window.partitionBy("g", "n")
-    inside = classes.withColumn("k", F.count("*").over(several)).where("k > 1").select(F.col("g").alias("h"), "cid", "n", "g")
-    index = written(index.join(classes, "g").select("h", "cid", "n", "g").unionByName(inside).distinct(), "index")
+    inside = classes.withColumn("k", F.count("*").over(several)).where("k > 1").select(F.col("g").alias("h"), F.lit(0).alias("pos"), "cid", "n", "g")
+    index = written(index.join(classes, "g").select("h", "pos", "cid", "n", "g").unionByName(inside).distinct(), "index")
     lists = written(index.groupBy("cid", "n", "g").agg(F.collect_set("h").alias("hs")), "lists")
 
     # 3. pivots, then what is left
-    pairs = None
-    for r in range(PIVOTS):
-        pivot = index.groupBy("h").agg(F.min(F.struct(F.xxhash64(F.lit(r), "cid").alias("k"), F.col("cid").alias("p"), F.col("n").alias("o"))).alias("p")).select("h", "p.p", "p.o")
-        new = index.join(pivot, "h").where(f"cid <> p AND {alike()}").select(F.least("cid", "p").alias("u"), F.greatest("cid", "p").alias("v"))
-        pairs = new if pairs is None else pairs.unionByName(new)
+    # one pivot has its shared shingles first, as the text that copies were made of; others are random
+    first = lambda r: F.xxhash64(F.lit(r), "cid") if r else F.col("pos").cast("long")
+    least = [F.min(F.struct(first(r).alias("k"), F.col("cid").alias("p"), F.col("n").alias("o"), F.col("pos").alias("at"))) for r in range(PIVOTS)]
+    pivots = index.groupBy("h").agg(F.array(*least).alias("ps")).select("h", F.explode(F.array_distinct("ps")).alias("q")).select("h", "q.p", "q.o", "q.at").distinct()
+    pairs = index.join(pivots, "h").where(f"cid <> p AND {alike()}").select(F.least("cid", "p").alias("u"), F.greatest("cid", "p").alias("v"))
     done = verify(pairs.distinct(), lists, docs)
     root = components(done.where("linked").select("u", "v")).withColumnRenamed("id", "cid")
-    placed = index.join(root, "cid", "left").select("h", "cid", "n", F.coalesce("root", "cid").alias("c"))
+    placed = index.join(root, "cid", "left").select("h", "pos", "cid", "n", F.coalesce("root", "cid").alias("c"))
     most = placed.groupBy("h", "c").count().groupBy("h").agg(F.max(F.struct("count", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("h", F.col("most.c").alias("most"))
     placed = written(placed.join(most, "h"), "placed")
-    few = placed.where("c <> most").select("h", F.col("cid").alias("p"), F.col("n").alias("o"), F.col("c").alias("d"))
+    few = placed.where("c <> most").select("h", F.col("cid").alias("p"), F.col("n").alias("o"), F.col("pos").alias("at"), F.col("c").alias("d"))
     left = few.join(placed, "h").where(f"c <> d AND {alike()} AND (c = most OR cid < p)").select(F.least("cid", "p").alias("u"), F.greatest("cid", "p").alias("v")).distinct()
-    new = verify(left.join(done, ["u", "v"], "left_anti"), lists, docs)
+    left = left.join(done, ["u", "v"], "left_anti")
+    new = verify(left, lists, docs)
     links = done.unionByName(new).where("linked").select("u", "v")
     copies = known.join(classes, ["g", "n", "a", "b"]).where("doc_id <> cid").select(F.col("doc_id").alias("u"), F.col("cid").alias("v"))
     root = components(links.unionByName(copies)).withColumnRenamed("id", "doc_id")
