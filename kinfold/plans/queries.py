@@ -213,11 +213,11 @@ def _allele(spark, sf_dir) -> DataFrame:
     return p.withColumn("lx", lx).withColumn("v", F.aggregate("lx", F.lit(0.0), lambda s, x: s + x) / F.col("n_alleles"))
 
 
-@query(PANEL + """, l AS (SELECT site_id, sample_id, lik.n_alleles, CASE WHEN pl IS NULL THEN NULL ELSE pow(CAST(10 AS DOUBLE), -pl / CAST(10 AS DOUBLE)) END AS p, i, j FROM lik JOIN geno ON geno.n_alleles = lik.n_alleles AND geno.g = lik.k),
-ends AS (SELECT site_id, sample_id, n_alleles, p, i AS a FROM l UNION ALL SELECT site_id, sample_id, n_alleles, p, j AS a FROM l WHERE i <> j),
-lxs AS (SELECT site_id, sample_id, n_alleles, a, sum(p) / n_alleles AS lx FROM ends WHERE p IS NOT NULL GROUP BY ALL),
-dens AS (SELECT *, sum(lx) OVER (PARTITION BY site_id, sample_id) / n_alleles + 1e-8 AS den FROM lxs)
-SELECT site_id, a AS allele, round(-2 * avg(lx / den), 7) AS gradient FROM dens GROUP BY site_id, a""")
+@query(PANEL + """, l AS (SELECT site_id, sample_id, lik.n_alleles AS na, pow(CAST(10 AS DOUBLE), -pl / CAST(10 AS DOUBLE)) AS p, i, j FROM lik JOIN geno ON geno.n_alleles = lik.n_alleles AND geno.g = lik.k WHERE pl IS NOT NULL),
+ends AS (SELECT site_id, sample_id, na, p, i AS allele FROM l UNION ALL SELECT site_id, sample_id, na, p, j AS allele FROM l WHERE i <> j),
+sums AS (SELECT site_id, sample_id, na, allele, sum(p) / na AS v FROM ends GROUP BY site_id, sample_id, na, allele),
+tot AS (SELECT site_id, sample_id, sum(v / na) + 1e-8 AS w FROM sums GROUP BY site_id, sample_id)
+SELECT s.site_id, s.allele, round(-2 * avg(s.v / t.w), 7) AS gradient FROM sums s JOIN tot t ON s.site_id = t.site_id AND s.sample_id = t.sample_id GROUP BY s.site_id, s.allele""")
 def allele_gradient_uniform(spark, sf_dir):
     rows = _allele(spark, sf_dir).select("site_id", "v", F.posexplode("lx").alias("allele", "lx"))
     return rows.groupBy("site_id", "allele").agg(F.round(-2 * F.avg(F.col("lx") / (F.col("v") + 1e-8)), 7).alias("gradient"))
