@@ -26,6 +26,7 @@ from kinfold.llm.text_stats import add_base, add_words, ratio, shares
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 THRESHOLD = 0.5
+LEAST, MOST = 0.95, 0.005
 #: Rules that name a kind of bad document; the others only add to the evidence.
 KINDS = ("symbols", "capitals", "pipes", "stutter")
 ROUNDS = 50
@@ -60,8 +61,8 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], kinds: tuple[int, ...]
     for the most frequent way alone. So there is a class for good and one for each kind of bad,
     named by a rule (its place is in ``kinds``, all rules if that is empty). It begins with its
     rule voting bad mostly, good with rules seldom voting bad. What keeps the classes' meaning:
-    a kind's own rule votes bad on at least half of it, and no rule votes bad on more than a
-    twentieth of good documents. One vote is added to each count, so that nothing is 0."""
+    a kind's own rule votes bad on at least LEAST of it, and no rule votes bad on more than MOST
+    of good documents. One vote is added to each count, so that nothing is 0."""
     if not patterns:
         return {}
     m, total = len(patterns[0][0]), sum(n for _, n in patterns)
@@ -84,7 +85,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], kinds: tuple[int, ...]
             for p, n in patterns:
                 for j, v in enumerate(p):
                     counts[j][v] += n * share[p][c]
-            table[c] = [bounded([x / (mass + 3) for x in row], most=0.05 if c == 0 else 1.0, least=0.5 if c and j == kinds[c - 1] else 0.0) for j, row in enumerate(counts)]
+            table[c] = [bounded([x / (mass + 3) for x in row], most=MOST if c == 0 else 1.0, least=LEAST if c and j == kinds[c - 1] else 0.0) for j, row in enumerate(counts)]
     return post
 
 
