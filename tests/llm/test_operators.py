@@ -176,7 +176,7 @@ def test_quality_rules(docs, empty):
         assert r["base_failed"] == (len(w) < 10 or 100 * len(covered) > 20 * len(w)) and not (r["base_failed"] and r["kept"])
     assert quality_rules.quality_rules(empty).count() == 0
     post = quality_rules.estimate([((2, 2, 2), 900), ((1, 2, 2), 50), ((2, 1, 2), 30), ((2, 2, 0), 20)], (0, 1))
-    assert post[2, 2, 2] > 0.9 > 0.1 > max(post[1, 2, 2], post[2, 1, 2]) and post[2, 2, 0] > 0.5
+    assert min(post[2, 2, 2], post[2, 2, 0]) > quality_rules.THRESHOLD > max(post[1, 2, 2], post[2, 1, 2])
 
 
 def test_quality_classifier(spark, docs, empty):
