@@ -251,14 +251,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     lists = written(index.groupBy("cid", "n", "g").agg(F.collect_set("h").alias("hs")), "lists")
 
     # 3. pivots, then what is left
-    # one pivot has its shared shingles first, as the text that copies were made of; others are random
-    first = lambda r: F.xxhash64(F.lit(r), "cid") if r else F.col("pos").cast("long")
-    least = [F.min(F.struct(first(r).alias("k"), F.col("cid").alias("p"), F.col("n").alias("o"), F.col("pos").alias("at"))) for r in range(PIVOTS)]
-    pivots = index.groupBy("h").agg(F.array(*least).alias("ps")).select("h", F.explode(F.array_distinct("ps")).alias("q")).select("h", "q.p", "q.o", "q.at").distinct()
-    pairs = index.join(pivots, "h").where(f"cid <> p AND {alike()}").select(F.least("cid", "p").alias("u"), F.greatest("cid", "p").alias("v"))
-    done = verify(pairs.distinct(), lists, docs)
-    root = components(done.where("linked").select("u", "v")).withColumnRenamed("id", "cid")
-    placed = index.join(root, "cid", "left").select("h", "pos", "cid", "n", F.coalesce("root", "cid").alias("c"))
+    done, placed = None, index.withColumn("c", F.col("cid"))
+    # the first pivot has its shared shingles first, as the text that copies were made of; what it
+    # does not connect is tried with others, which are random
+    for seeds in ((0,), tuple(range(1, PIVOTS))):
+        first = lambda r: F.xxhash64(F.lit(r), "cid") if r else F.col("pos").cast("long")
+        least = [F.min(F.struct(first(r).alias("k"), F.col("cid").alias("p"), F.col("n").alias("o"), F.col("pos").alias("at"), F.col("c").alias("d"))) for r in seeds]
+        pivots = placed.groupBy("h").agg(F.array(*least).alias("ps")).select("h", F.explode("ps").alias("q")).select("h", "q.p", "q.o", "q.at", "q.d").distinct()
+        pairs = placed.join(pivots, "h").where(f"c <> d AND {alike()}").select(F.least("cid", "p").alias("u"), F.greatest("cid", "p").alias("v")).distinct()
+        new = verify(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), lists, docs)
+        done = new if done is None else done.unionByName(new)
+        root = components(done.where("linked").select("u", "v")).withColumnRenamed("id", "cid")
+        placed = written(index.join(root, "cid", "left").select("h", "pos", "cid", "n", F.coalesce("root", "cid").alias("c")), "placed")
     most = placed.groupBy("h", "c").count().groupBy("h").agg(F.max(F.struct("count", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("h", F.col("most.c").alias("most"))
     placed = written(placed.join(most, "h"), "placed")
     few = placed.where("c <> most").select("h", F.col("cid").alias("p"), F.col("n").alias("o"), F.col("pos").alias("at"), F.col("c").alias("d"))
