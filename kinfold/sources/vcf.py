@@ -46,7 +46,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != ""))
     if path.endswith(".gz"):  # a gzipped file is one partition
         rows = rows.repartition(spark.sparkContext.defaultParallelism)
-    rows = rows.select(f[0].alias("chrom"), f[1].cast("long").alias("pos"), f[3].alias("ref"), F.split(f[4], ",").alias("alts"), f[7].alias("info"), F.split(f[8], ":").alias("format"), F.slice(f, 10, 2**30).alias("calls"))
+    rows = rows.select(F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).cast("long").alias("pos"), F.get(f, F.lit(3)).alias("ref"), F.split(F.get(f, F.lit(4)), ",").alias("alts"), F.get(f, F.lit(7)).alias("info"), F.split(F.get(f, F.lit(8)), ":").alias("format"), F.slice(f, 10, 2**30).alias("calls"))
     return rows.withColumn("site_id", F.xxhash64("chrom", "pos", "ref", "alts")).withColumn("n_alleles", s.snp_status(F.col("ref"), F.col("alts")))
 
 
