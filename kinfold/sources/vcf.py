@@ -46,14 +46,14 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != ""))
     if path.endswith(".gz"):  # a gzipped file is one partition
         rows = rows.repartition(spark.sparkContext.defaultParallelism)
-    rows = rows.select(F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).cast("long").alias("pos"), F.get(f, F.lit(3)).alias("ref"), F.split(F.get(f, F.lit(4)), ",").alias("alts"), F.get(f, F.lit(7)).alias("info"), F.split(F.get(f, F.lit(8)), ":").alias("format"), F.slice(f, 10, 2**30).alias("calls"))
+    rows = rows.select(F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).try_cast("long").alias("pos"), F.get(f, F.lit(3)).alias("ref"), F.split(F.get(f, F.lit(4)), ",").alias("alts"), F.get(f, F.lit(7)).alias("info"), F.split(F.get(f, F.lit(8)), ":").alias("format"), F.slice(f, 10, 2**30).alias("calls"))
     return rows.withColumn("site_id", F.xxhash64("chrom", "pos", "ref", "alts")).withColumn("n_alleles", s.snp_status(F.col("ref"), F.col("alts")))
 
 
 def tagged(rows: DataFrame, tag: str) -> Column:
     """For each sample the text of one tag."""
     place = F.array_position("format", tag).cast("int") - 1
-    return F.when(F.array_contains("format", tag), F.transform("calls", lambda c: F.coalesce(s.field(c, place), F.lit(".")))).otherwise(F.raise_error(F.concat(F.lit(f"no {tag} data found at "), "chrom", F.lit(":"), F.col("pos").cast("string"))))
+    return F.when(F.array_contains("format", tag), F.transform("calls", lambda c: F.coalesce(s.field(c, place), F.lit(".")))).when(F.col("pos").isNotNull(), F.raise_error(F.concat(F.lit(f"no {tag} data found at "), "chrom", F.lit(":"), F.col("pos").cast("string"))))
 
 
 def read_gt(spark: SparkSession, path: str, with_af: bool = False) -> Parsed:
