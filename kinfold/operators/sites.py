@@ -31,7 +31,7 @@ def has_missing(calls: Column) -> Column:
 def decode_gt(call: Column) -> Column:
     """Two allele numbers from text like 0/1 or 1|0; an error if there are not just two."""
     parts = F.split(call, "[/|]")
-    return F.when(F.size(parts) == 2, F.transform(parts, lambda x: x.cast("int"))).otherwise(F.raise_error(F.concat(F.lit("not a diploid call: "), call)))
+    return F.when(F.size(parts) == 2, F.transform(parts, lambda x: x.try_cast("int"))).when(call.isNotNull(), F.raise_error(F.concat(F.lit("not a diploid call: "), call)))
 
 
 def decode_gl(text: Column) -> Column:

@@ -69,7 +69,7 @@ def read_gt(spark: SparkSession, path: str, with_af: bool = False) -> Parsed:
     counters = s.counters(rows.where("n_alleles IS NULL").select("n_alleles", status.alias("status")).unionByName(missing))
     good = snps.where(~s.has_missing(F.col("gt"))).withColumn("a", F.transform("gt", s.decode_gt))
     fits = F.forall("a", lambda x: (F.array_max(x) < F.col("n_alleles")) & (F.array_min(x) >= 0))
-    good = good.withColumn("a", F.when(fits, F.col("a")).otherwise(F.raise_error(F.lit("an allele beyond the alternatives"))))
+    good = good.withColumn("a", F.when(F.coalesce(fits, F.lit(True)), F.col("a")).otherwise(F.raise_error(F.lit("an allele beyond the alternatives"))))
     out = [F.transform("a", lambda x: F.array_min(x)).alias("lo"), F.transform("a", lambda x: F.array_max(x)).alias("hi")]
     if with_af:
         out.append(s.decode_af(F.col("info"), F.size("alts")).alias("af"))
