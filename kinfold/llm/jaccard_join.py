@@ -193,13 +193,13 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id is in ids. Before texts are shuffled for the join, a bitmap of
+    """The documents whose doc_id is in ids (each there once). Before texts are shuffled for the join, a bitmap of
     the ids' hashes, of at most BITS / 64 rows whatever their number, drops most others."""
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
     bits = ids.select((bit / 64).cast("int").alias("_word"), F.expr("shiftleft(1L, cast(%s %% 64 AS int))" % f"pmod(xxhash64(doc_id), {BITS}L)").alias("_bit"))
     bits = bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
     near = docs.join(F.broadcast(bits), F.floor(bit / 64).cast("int") == F.col("_word")).where(f"getbit(_bits, cast(pmod(xxhash64(doc_id), {BITS}L) % 64 AS int)) = 1")
-    return near.select(*docs.columns).join(ids, "doc_id", "left_semi")
+    return near.select(*docs.columns).join(ids, "doc_id")  # a semi-join would be moved before the bitmap
 
 
 def verify(pairs: DataFrame, lists: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
