@@ -247,7 +247,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # 2. groups expand; a group of several classes meets in itself
     several = Window.partitionBy("g", "n")
     inside = classes.withColumn("k", F.count("*").over(several)).where("k > 1").select(F.col("g").alias("h"), F.lit(0).alias("pos"), "cid", "n", "g")
-    index = written(index.join(classes, "g").select("h", "pos", "cid", "n", "g").unionByName(inside).distinct(), "index")
+    index = written(index.join(classes, "g").select("h", "pos", "cid", "n", "g").unionByName(inside), "index")
     lists = written(index.groupBy("cid", "n", "g").agg(F.collect_set("h").alias("hs")), "lists")
 
     # 3. pivots, then what is left
