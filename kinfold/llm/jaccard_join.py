@@ -207,10 +207,12 @@ def verify(pairs: DataFrame, lists: DataFrame, docs: DataFrame, percent: int = P
 
     First by the prefixes: two sets that link have so many shingles in common that, as what lies
     beyond a prefix is of known size, enough of them must be in both prefixes (lists holds what
-    a prefix shares with another group's; of one group, all is shared). What passes is verified
-    on the whole sets, made again from the texts of just those documents."""
-    a, b = (lists.select(F.col("cid").alias(c), F.col("n").alias(n), F.col("g").alias(g), F.col("hs").alias(h)) for c, n, g, h in (("u", "n", "e", "x"), ("v", "o", "f", "y")))
-    enough = f"e = f OR size(array_intersect(x, y)) >= ceil({percent} * (n + o) / {100.0 + percent}) - greatest({rest_size('n')}, {rest_size('o')})"
+    a prefix shares with another group's, as low bits, and how many of these fell together; of
+    one group, all is shared). What passes is verified on the whole sets, made again from the
+    texts of just those documents."""
+    a = lists.select(F.col("cid").alias("u"), "n", F.col("g").alias("e"), F.col("hs").alias("x"), "lost")
+    b = lists.select(F.col("cid").alias("v"), F.col("n").alias("o"), F.col("g").alias("f"), F.col("hs").alias("y"))
+    enough = f"e = f OR size(array_intersect(x, y)) + lost >= ceil({percent} * (n + o) / {100.0 + percent}) - greatest({rest_size('n')}, {rest_size('o')})"
     pairs = written(pairs.join(a, "u").join(b, "v").where(enough).select("u", "v").distinct(), "pairs")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -248,7 +250,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     several = Window.partitionBy("g", "n")
     inside = classes.withColumn("k", F.count("*").over(several)).where("k > 1").select(F.col("g").alias("h"), F.lit(0).alias("pos"), "cid", "n", "g")
     index = written(index.join(classes, "g").select("h", "pos", "cid", "n", "g").unionByName(inside), "index")
-    lists = written(index.groupBy("cid", "n", "g").agg(F.collect_set("h").alias("hs")), "lists")
+    low = F.collect_set(F.expr("cast(h & 2147483647 AS int)"))
+    lists = written(index.groupBy("cid", "n", "g").agg(low.alias("hs"), (F.count("*") - F.size(low)).alias("lost")), "lists")
 
     # 3. pivots, then what is left
     done, placed = None, index.withColumn("c", F.col("cid"))
