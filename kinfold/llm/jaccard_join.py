@@ -256,11 +256,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # 3. pivots, then what is left
     done, placed = None, index.withColumn("c", F.col("cid"))
     # the first pivot has its shared shingles first, as the text that copies were made of; what it
-    # does not connect is tried with others, which are random
-    for seeds in ((0,), tuple(range(1, PIVOTS))):
-        first = lambda r: F.xxhash64(F.lit(r), "cid") if r else F.col("pos").cast("long")
-        least = [F.min(F.struct(first(r).alias("k"), F.col("cid").alias("p"), F.col("n").alias("o"), F.col("pos").alias("at"), F.col("c").alias("d"))) for r in seeds]
-        pivots = placed.groupBy("h").agg(F.array(*least).alias("ps")).select("h", F.explode("ps").alias("q")).select("h", "q.p", "q.o", "q.at", "q.d").distinct()
+    # does not connect is tried with others, which are random. Ranks are cut before the exchange too
+    for order, most in ((F.col("pos"), 1), (F.xxhash64("cid"), PIVOTS - 1)):
+        ranked = placed.withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy(order, "cid")))
+        pivots = ranked.where(F.col("k") <= most).select("h", F.col("cid").alias("p"), F.col("n").alias("o"), F.col("pos").alias("at"), F.col("c").alias("d"))
         pairs = placed.join(pivots, "h").where(f"c <> d AND {alike()}").select(F.least("cid", "p").alias("u"), F.greatest("cid", "p").alias("v")).distinct()
         new = verify(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), lists, docs)
         done = new if done is None else done.unionByName(new)
