@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.shared import written
+from kinfold.llm.shared import discard, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -38,6 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before or now["n"] == 0:
             break
-        before = now
-        edges = written(_star(_star(edges, True), False), "edges")
+        before, old = now, edges
+        edges = written(_star(_star(old, True), False), "edges")
+        discard(old)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm.components import components
-from kinfold.llm.shared import small_batches, written
+from kinfold.llm.shared import discard, small_batches, written
 
 WORDS = 5
 PERCENT = 75
@@ -224,7 +224,9 @@ def verify(pairs: DataFrame, lists: DataFrame, docs: DataFrame, percent: int = P
     a, b = whole.select(F.col("id").alias("u"), F.col("s").alias("x")), whole.select(F.col("id").alias("v"), F.col("s").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     linked = 100 * both >= percent * (F.size("x") + F.size("y") - both)
-    return written(pairs.join(b, "v").join(a, "u").groupBy("u", "v").agg(F.max(linked).alias("linked")), "verified")
+    out = written(pairs.join(b, "v").join(a, "u").groupBy("u", "v").agg(F.max(linked).alias("linked")), "verified")
+    discard(pairs, whole)
+    return out
 
 
 def alike(percent: int = PERCENT) -> str:
@@ -238,23 +240,25 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of docs (doc_id, text)."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sign = signatures(docs)
+    full = signatures(docs)
+    sign = written(full.drop("prefix"), "digests")  # what is needed to the end, without prefixes
     known = sign.where("doc_id IS NOT NULL AND n > 0")
     classes = written(known.groupBy("g", "n", "a", "b").agg(F.min("doc_id").alias("cid")), "classes")
 
     # 1. the index of groups; one exchange, and what only one group has goes
     same = Window.partitionBy("h")
-    entries = known.where("prefix IS NOT NULL").select("g", F.posexplode("prefix").alias("pos", "h"))
+    entries = full.where("doc_id IS NOT NULL AND n > 0 AND prefix IS NOT NULL").select("g", F.posexplode("prefix").alias("pos", "h"))
     index = entries.withColumns({"lo": F.min("g").over(same), "hi": F.max("g").over(same)}).where("lo <> hi").select("h", "pos", "g").distinct()
     # 2. groups expand; a group of several classes meets in itself
     several = Window.partitionBy("g", "n")
     inside = classes.withColumn("k", F.count("*").over(several)).where("k > 1").select(F.col("g").alias("h"), F.lit(0).alias("pos"), "cid", "n", "g")
     index = written(index.join(classes, "g").select("h", "pos", "cid", "n", "g").unionByName(inside), "index")
+    discard(full)
     low = F.collect_set(F.expr("cast(h & 2147483647 AS int)"))
     lists = written(index.groupBy("cid", "n", "g").agg(low.alias("hs"), (F.count("*") - F.size(low)).alias("lost")), "lists")
 
     # 3. pivots, then what is left
-    done, placed = None, index.withColumn("c", F.col("cid"))
+    done, table, placed = None, index, index.withColumn("c", F.col("cid"))
     # the first pivot has its shared shingles first, as the text that copies were made of; what it
     # does not connect is tried with others, which are random. Ranks are cut before the exchange too
     for order, most in ((F.col("pos"), 1), (F.xxhash64("cid"), PIVOTS - 1)):
@@ -264,13 +268,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         new = verify(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), lists, docs)
         done = new if done is None else done.unionByName(new)
         root = components(done.where("linked").select("u", "v")).withColumnRenamed("id", "cid")
-        placed = written(index.join(root, "cid", "left").select("h", "pos", "cid", "n", F.coalesce("root", "cid").alias("c")), "placed")
+        placed = written(table.drop("c").join(root, "cid", "left").select("h", "pos", "cid", "n", F.coalesce("root", "cid").alias("c")), "placed")
+        discard(table)
+        table = placed
     most = placed.groupBy("h", "c").count().groupBy("h").agg(F.max(F.struct("count", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("h", F.col("most.c").alias("most"))
     placed = written(placed.join(most, "h"), "placed")
+    discard(table)
     few = placed.where("c <> most").select("h", F.col("cid").alias("p"), F.col("n").alias("o"), F.col("pos").alias("at"), F.col("c").alias("d"))
     left = few.join(placed, "h").where(f"c <> d AND {alike()} AND (c = most OR cid < p)").select(F.least("cid", "p").alias("u"), F.greatest("cid", "p").alias("v")).distinct()
     left = left.join(done, ["u", "v"], "left_anti")
     new = verify(left, lists, docs)
+    discard(placed, lists)
     links = done.unionByName(new).where("linked").select("u", "v")
     copies = known.join(classes, ["g", "n", "a", "b"]).where("doc_id <> cid").select(F.col("doc_id").alias("u"), F.col("cid").alias("v"))
     root = components(links.unionByName(copies)).withColumnRenamed("id", "doc_id")

@@ -45,7 +45,18 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kinfold_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables that ``written`` returned as these frames. For tables whose readers have
+    all been written themselves: then nothing, not even a lost task, reads them again."""
+    for df in frames:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(df._kinfold_path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_batches(spark: SparkSession) -> None:
