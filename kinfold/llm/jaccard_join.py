@@ -5,12 +5,12 @@ one order, frequent shingles last; two sets of a Jaccard similarity of 0.75 or m
 a shingle in common among the first n - ceil(0.75 n) + 1 of each (the prefix).
 
 1. Documents with the same prefix and size are one group; the index over prefix shingles holds
-   groups. Shingles of one group alone go.
+   groups. An entry goes that no other group of a size within the threshold has.
 2. Group pairs are filtered by size and by the place of the shingle, and groups expand to their distinct sets (equal sets are
    one class, named by its smallest doc_id).
 3. Members are verified on their whole sets. As links are wanted for components, pairs already
-   connected need no proof: first each shingle's members are verified against eight of them, the
-   shingle's pivots; then all pairs left of one shingle that are in different components and
+   connected need no proof: first each shingle's members are verified against its first pivot,
+   then those of shingles with many members against seven more; then all pairs left of one shingle that are in different components and
    were not verified yet. In that last step each such pair has
    a member outside the shingle's largest component, so that a large group of copies, which is
    one component by then, costs no more than its size. No link is lost.
@@ -245,14 +245,22 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     known = sign.where("doc_id IS NOT NULL AND n > 0")
     classes = written(known.groupBy("g", "n", "a", "b").agg(F.min("doc_id").alias("cid")), "classes")
 
-    # 1. the index of groups; one exchange, and what only one group has goes
-    same = Window.partitionBy("h")
-    entries = full.where("doc_id IS NOT NULL AND n > 0 AND prefix IS NOT NULL").select("g", F.posexplode("prefix").alias("pos", "h"))
-    index = entries.withColumns({"lo": F.min("g").over(same), "hi": F.max("g").over(same)}).where("lo <> hi").select("h", "pos", "g").distinct()
-    # 2. groups expand; a group of several classes meets in itself
+    # 1. the index of groups; one exchange. An entry goes unless another group of a size that can
+    # link has the shingle: of the sizes in order, the nearest. Rows of one group stand together
+    # (its first row sees what is below it, its last one what is above)
+    size, pos = F.shiftright("at", 32), F.col("at").bitwiseAND(0xFFFFFFFF)
+    entries = full.where("doc_id IS NOT NULL AND n > 0 AND prefix IS NOT NULL").select("g", "n", F.posexplode("prefix").alias("pos", "h"))
+    same = Window.partitionBy("h").orderBy("n", "g")
+    entries = entries.select("h", "g", (F.shiftleft("n", 32) + F.col("pos")).alias("at")).withColumn("n", size)
+    near = entries.withColumns({"rank": F.row_number().over(same), "n0": F.lag("n").over(same), "g0": F.lag("g").over(same), "n1": F.lead("n").over(same), "g1": F.lead("g").over(same)})
+    near = near.where(f"(g0 <> g AND 100 * n0 >= {PERCENT} * n) OR (g1 <> g AND 100 * n >= {PERCENT} * n1)")
+    index = near.groupBy("h", "g", "at").agg(F.max(F.col("rank") > PIVOTS).alias("many")).select("h", "g", pos.alias("pos"), "many")
+    # 2. groups expand; a group of several classes meets in itself. Not more than PIVOTS entries of
+    # a shingle are not marked as one of many
     several = Window.partitionBy("g", "n")
-    inside = classes.withColumn("k", F.count("*").over(several)).where("k > 1").select(F.col("g").alias("h"), F.lit(0).alias("pos"), "cid", "n", "g")
-    index = written(index.join(classes, "g").select("h", "pos", "cid", "n", "g").unionByName(inside), "index")
+    classes_of = classes.withColumn("k", F.count("*").over(several))
+    inside = classes_of.where("k > 1").select(F.col("g").alias("h"), F.lit(0).cast("long").alias("pos"), "cid", "n", "g", (F.col("k") > PIVOTS).alias("many"))
+    index = written(index.join(classes_of, "g").select("h", "pos", "cid", "n", "g", (F.col("many") | (F.col("k") > 1)).alias("many")).unionByName(inside), "index")
     discard(full)
     low = F.collect_set(F.expr("cast(h & 2147483647 AS int)"))
     lists = written(index.groupBy("cid", "n", "g").agg(low.alias("hs"), (F.count("*") - F.size(low)).alias("lost")), "lists")
@@ -260,15 +268,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # 3. pivots, then what is left
     done, table, placed = None, index, index.withColumn("c", F.col("cid"))
     # the first pivot has its shared shingles first, as the text that copies were made of; what it
-    # does not connect is tried with others, which are random. Ranks are cut before the exchange too
-    for order, most in ((F.col("pos"), 1), (F.xxhash64("cid"), PIVOTS - 1)):
-        ranked = placed.withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy(order, "cid")))
+    # does not connect is tried with others, which are random, among the marked entries: what is
+    # not marked makes with the others of its shingle no more than PIVOTS pairs for each of them.
+    # Ranks are cut before the exchange too
+    for order, most, of in ((F.col("pos"), 1, "true"), (F.xxhash64("cid"), PIVOTS - 1, "many")):
+        tried = placed.where(of)
+        ranked = tried.withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy(order, "cid")))
         pivots = ranked.where(F.col("k") <= most).select("h", F.col("cid").alias("p"), F.col("n").alias("o"), F.col("pos").alias("at"), F.col("c").alias("d"))
-        pairs = placed.join(pivots, "h").where(f"c <> d AND {alike()}").select(F.least("cid", "p").alias("u"), F.greatest("cid", "p").alias("v")).distinct()
+        pairs = tried.join(pivots, "h").where(f"c <> d AND {alike()}").select(F.least("cid", "p").alias("u"), F.greatest("cid", "p").alias("v")).distinct()
         new = verify(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), lists, docs)
         done = new if done is None else done.unionByName(new)
         root = components(done.where("linked").select("u", "v")).withColumnRenamed("id", "cid")
-        placed = written(table.drop("c").join(root, "cid", "left").select("h", "pos", "cid", "n", F.coalesce("root", "cid").alias("c")), "placed")
+        placed = written(table.drop("c").join(root, "cid", "left").select("h", "pos", "cid", "n", "many", F.coalesce("root", "cid").alias("c")), "placed")
         discard(table)
         table = placed
     most = placed.groupBy("h", "c").count().groupBy("h").agg(F.max(F.struct("count", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("h", F.col("most.c").alias("most"))
