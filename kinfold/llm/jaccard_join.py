@@ -252,21 +252,26 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     entries = full.where("doc_id IS NOT NULL AND n > 0 AND prefix IS NOT NULL").select("g", "n", F.posexplode("prefix").alias("pos", "h"))
     same = Window.partitionBy("h").orderBy("n", "g")
     entries = entries.select("h", "g", (F.shiftleft("n", 32) + F.col("pos")).alias("at")).withColumn("n", size)
-    near = entries.withColumns({"rank": F.row_number().over(same), "n0": F.lag("n").over(same), "g0": F.lag("g").over(same), "n1": F.lead("n").over(same), "g1": F.lead("g").over(same)})
+    near = entries.withColumns({"rank": F.row_number().over(same), "n0": F.lag("n").over(same), "n_min": F.first("n").over(same), "g0": F.lag("g").over(same), "n1": F.lead("n").over(same), "g1": F.lead("g").over(same)})
     near = near.where(f"(g0 <> g AND 100 * n0 >= {PERCENT} * n) OR (g1 <> g AND 100 * n >= {PERCENT} * n1)")
-    index = near.groupBy("h", "g", "at").agg(F.max(F.col("rank") > PIVOTS).alias("many")).select("h", "g", pos.alias("pos"), "many")
+    # what stands too far back to be the first common shingle with even the smallest partner finds
+    # no pairs; it only counts in the lists
+    first = f"(at & {0xFFFFFFFF}L) <= n - ceil({PERCENT} * (n + greatest(n_min, ceil({PERCENT} * n / 100))) / {100.0 + PERCENT})"
+    index = near.groupBy("h", "g", "at").agg(F.max(F.col("rank") > PIVOTS).alias("many"), F.max(F.expr(first)).alias("first")).select("h", "g", pos.alias("pos"), "many", "first")
     # 2. groups expand; a group of several classes meets in itself. Not more than PIVOTS entries of
     # a shingle are not marked as one of many
     several = Window.partitionBy("g", "n")
     classes_of = classes.withColumn("k", F.count("*").over(several))
-    inside = classes_of.where("k > 1").select(F.col("g").alias("h"), F.lit(0).cast("long").alias("pos"), "cid", "n", "g", (F.col("k") > PIVOTS).alias("many"))
-    index = written(index.join(classes_of, "g").select("h", "pos", "cid", "n", "g", (F.col("many") | (F.col("k") > 1)).alias("many")).unionByName(inside), "index")
+    inside = classes_of.where("k > 1").select(F.col("g").alias("h"), F.lit(0).cast("long").alias("pos"), "cid", "n", "g", (F.col("k") > PIVOTS).alias("many"), F.lit(True).alias("first"))
+    index = written(index.join(classes_of, "g").select("h", "pos", "cid", "n", "g", (F.col("many") | (F.col("k") > 1)).alias("many"), "first").unionByName(inside), "index")
     discard(full)
     low = F.collect_set(F.expr("cast(h & 2147483647 AS int)"))
     lists = written(index.groupBy("cid", "n", "g").agg(low.alias("hs"), (F.count("*") - F.size(low)).alias("lost")), "lists")
 
     # 3. pivots, then what is left
-    done, table, placed = None, index, index.withColumn("c", F.col("cid"))
+    placed = written(index.where("first").select("h", "pos", "cid", "n", "many", F.col("cid").alias("c")), "placed")
+    discard(index)
+    done, table = None, placed
     # the first pivot has its shared shingles first, as the text that copies were made of; what it
     # does not connect is tried with others, which are random, among the marked entries: what is
     # not marked makes with the others of its shingle no more than PIVOTS pairs for each of them.
