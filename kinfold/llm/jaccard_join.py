@@ -47,6 +47,7 @@ FREQUENT = 100_000
 PIVOTS = 8
 KEPT = 1_000_000
 LONG = 48
+SKETCH = 1024
 BITS = 1 << 24
 
 
@@ -126,6 +127,12 @@ def digest(x: np.ndarray) -> tuple[int, int]:
     return int(np.uint64(a).view(np.int64)), int(np.uint64(b).view(np.int64))
 
 
+def parities(x: np.ndarray) -> np.ndarray:
+    """For each of SKETCH classes of hashes, a bit: whether an odd number of the set's is in it."""
+    odd = np.bincount((x.view(np.uint64) >> np.uint64(20)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100 + 1 if n else 0
 
@@ -168,8 +175,8 @@ def prefix_of(x: np.ndarray, often: np.ndarray, count: np.ndarray, seen: np.ndar
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n (size of the set), a, b (its digests), g (of its prefix and size) and prefix;
-    that is null where an earlier row of the same task has the same, so that of a large group of
+    """doc_id, n (size of the set), a, b (its digests), g (of its prefix and size), bits (see
+    parities) and prefix; that is null where an earlier row of the same task has the same, so that of a large group of
     copies no more prefixes go into the index than there are tasks."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs))
 
@@ -184,12 +191,12 @@ def signatures(docs: DataFrame) -> DataFrame:
             for d, x in zip(b.doc_id, sets(b.text.tolist()), strict=True):
                 p = prefix_of(x, often, count, low)
                 g, has = digest(p)[1] ^ (len(x) << 40), not pd.isna(d)
-                out.append((int(d) if has else None, len(x), *digest(x), g, None if g in known or not has else p))
+                out.append((int(d) if has else None, len(x), *digest(x), g, parities(x), None if g in known or not has else p))
                 if has:
                     known.add(g)
-            yield pd.DataFrame(out, columns=["doc_id", "n", "a", "b", "g", "prefix"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "n", "a", "b", "g", "bits", "prefix"]).astype({"doc_id": "Int64"})
 
-    return written(docs.mapInPandas(run, "doc_id long, n long, a long, b long, g long, prefix array<long>"), "signatures")
+    return written(docs.mapInPandas(run, "doc_id long, n long, a long, b long, g long, bits array<long>, prefix array<long>"), "signatures")
 
 
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -202,30 +209,40 @@ def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return near.select(*docs.columns).join(ids, "doc_id")  # a semi-join would be moved before the bitmap
 
 
-def verify(pairs: DataFrame, lists: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def members(pairs: DataFrame) -> DataFrame:
+    """The ids in pairs u, v, each once, as doc_id."""
+    return pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
+
+
+def verify(pairs: DataFrame, lists: DataFrame, sketches: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of the candidate pairs u, v: u, v, linked.
 
     First by the prefixes: two sets that link have so many shingles in common that, as what lies
     beyond a prefix is of known size, enough of them must be in both prefixes (lists holds what
     a prefix shares with another group's, as low bits, and how many of these fell together; of
-    one group, all is shared). What passes is verified on the whole sets, made again from the
+    one group, all is shared). Then by the sketches (doc_id, n, bits): no more bits differ than
+    there are shingles that only one of both has. What passes is verified on the whole sets, made again from the
     texts of just those documents."""
     a = lists.select(F.col("cid").alias("u"), "n", F.col("g").alias("e"), F.col("hs").alias("x"), "lost")
     b = lists.select(F.col("cid").alias("v"), F.col("n").alias("o"), F.col("g").alias("f"), F.col("hs").alias("y"))
     enough = f"e = f OR size(array_intersect(x, y)) + lost >= ceil({percent} * (n + o) / {100.0 + percent}) - greatest({rest_size('n')}, {rest_size('o')})"
-    pairs = written(pairs.join(a, "u").join(b, "v").where(enough).select("u", "v").distinct(), "pairs")
+    tried = written(pairs.join(a, "u").join(b, "v").where(enough).select("u", "v").distinct(), "tried")
+    bits = only(sketches, members(tried))
+    a = bits.select(F.col("doc_id").alias("u"), "n", F.col("bits").alias("x"))
+    b = bits.select(F.col("doc_id").alias("v"), F.col("n").alias("o"), F.col("bits").alias("y"))
+    near = f"(100 + {percent}) * (n + o - aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (p, q) -> p + q)) >= 2 * {percent} * (n + o)"
+    pairs = written(tried.join(a, "u").join(b, "v").where(near).select("u", "v"), "pairs")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             yield pd.DataFrame({"id": x.doc_id, "s": sets(x.text.tolist())})
 
-    ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    whole = written(only(docs, ids).mapInPandas(run, "id long, s array<long>"), "sets")
+    whole = written(only(docs, members(pairs)).mapInPandas(run, "id long, s array<long>"), "sets")
     a, b = whole.select(F.col("id").alias("u"), F.col("s").alias("x")), whole.select(F.col("id").alias("v"), F.col("s").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     linked = 100 * both >= percent * (F.size("x") + F.size("y") - both)
     out = written(pairs.join(b, "v").join(a, "u").groupBy("u", "v").agg(F.max(linked).alias("linked")), "verified")
-    discard(pairs, whole)
+    discard(tried, pairs, whole)
     return out
 
 
@@ -241,15 +258,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     full = signatures(docs)
-    sign = written(full.drop("prefix"), "digests")  # what is needed to the end, without prefixes
-    known = sign.where("doc_id IS NOT NULL AND n > 0")
-    classes = written(known.groupBy("g", "n", "a", "b").agg(F.min("doc_id").alias("cid")), "classes")
+    sign = written(full.drop("prefix", "bits"), "digests")  # what is needed to the end
+    known = full.where("doc_id IS NOT NULL AND n > 0")
+    of_set = written(known.groupBy("g", "n", "a", "b").agg(F.min(F.struct("doc_id", "bits")).alias("s")).select("g", "n", "a", "b", F.col("s.doc_id").alias("cid"), F.col("s.bits").alias("bits")), "classes")
+    classes = of_set.drop("bits")
 
     # 1. the index of groups; one exchange. An entry goes unless another group of a size that can
     # link has the shingle: of the sizes in order, the nearest. Rows of one group stand together
     # (its first row sees what is below it, its last one what is above)
     size, pos = F.shiftright("at", 32), F.col("at").bitwiseAND(0xFFFFFFFF)
-    entries = full.where("doc_id IS NOT NULL AND n > 0 AND prefix IS NOT NULL").select("g", "n", F.posexplode("prefix").alias("pos", "h"))
+    entries = known.where("prefix IS NOT NULL").select("g", "n", F.posexplode("prefix").alias("pos", "h"))
     same = Window.partitionBy("h").orderBy("n", "g")
     entries = entries.select("h", "g", (F.shiftleft("n", 32) + F.col("pos")).alias("at")).withColumn("n", size)
     near = entries.withColumns({"rank": F.row_number().over(same), "n0": F.lag("n").over(same), "n_min": F.first("n").over(same), "g0": F.lag("g").over(same), "n1": F.lead("n").over(same), "g1": F.lead("g").over(same)})
@@ -271,6 +289,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # 3. pivots, then what is left
     placed = written(index.where("first").select("h", "pos", "cid", "n", "many", F.col("cid").alias("c")), "placed")
     discard(index)
+    sketches = of_set.select(F.col("cid").alias("doc_id"), "n", "bits")
     done, table = None, placed
     # the first pivot has its shared shingles first, as the text that copies were made of; what it
     # does not connect is tried with others, which are random, among the marked entries: what is
@@ -281,7 +300,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         ranked = tried.withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy(order, "cid")))
         pivots = ranked.where(F.col("k") <= most).select("h", F.col("cid").alias("p"), F.col("n").alias("o"), F.col("pos").alias("at"), F.col("c").alias("d"))
         pairs = tried.join(pivots, "h").where(f"c <> d AND {alike()}").select(F.least("cid", "p").alias("u"), F.greatest("cid", "p").alias("v")).distinct()
-        new = verify(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), lists, docs)
+        new = verify(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), lists, sketches, docs)
         done = new if done is None else done.unionByName(new)
         root = components(done.where("linked").select("u", "v")).withColumnRenamed("id", "cid")
         placed = written(table.drop("c").join(root, "cid", "left").select("h", "pos", "cid", "n", "many", F.coalesce("root", "cid").alias("c")), "placed")
@@ -293,10 +312,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     few = placed.where("c <> most").select("h", F.col("cid").alias("p"), F.col("n").alias("o"), F.col("pos").alias("at"), F.col("c").alias("d"))
     left = few.join(placed, "h").where(f"c <> d AND {alike()} AND (c = most OR cid < p)").select(F.least("cid", "p").alias("u"), F.greatest("cid", "p").alias("v")).distinct()
     left = left.join(done, ["u", "v"], "left_anti")
-    new = verify(left, lists, docs)
+    new = verify(left, lists, sketches, docs)
     discard(placed, lists)
     links = done.unionByName(new).where("linked").select("u", "v")
-    copies = known.join(classes, ["g", "n", "a", "b"]).where("doc_id <> cid").select(F.col("doc_id").alias("u"), F.col("cid").alias("v"))
+    copies = sign.where("doc_id IS NOT NULL AND n > 0").join(classes, ["g", "n", "a", "b"]).where("doc_id <> cid").select(F.col("doc_id").alias("u"), F.col("cid").alias("v"))
     root = components(links.unionByName(copies)).withColumnRenamed("id", "doc_id")
     return sign.select("doc_id", F.col("n").alias("n_shingles")).join(root, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
