@@ -264,3 +264,14 @@ def test_html(spark):
 def test_scan_is_the_pattern():
     text = LONG[:3000].replace("日本", "x")
     assert pretokens.SCAN.findall(text) == regex.findall(public_tokenizers.PATTERN, text)
+
+
+def test_parity_sketches_bound_the_difference():
+    from kinfold.llm.jaccard_join import SKETCH, parities
+
+    rng = np.random.default_rng(3)
+    pool = rng.integers(-(2**63), 2**63, 6000, np.int64)
+    for n, o, both in ((0, 3, 0), (1, 1, 1), (300, 280, 250), (3000, 2900, 100)):
+        x, y = pool[:n], pool[n - both : n - both + o]
+        bits = np.bitwise_count((parities(x) ^ parities(y)).view(np.uint64)).sum()
+        assert bits <= min(n + o - 2 * both, SKETCH) and bits % 2 == (n + o) % 2
