@@ -64,14 +64,18 @@ def mixture_rows(sites: DataFrame, limit: int | None = None) -> DataFrame:
     """For each site and pair the nine component likelihoods m1 to m9: the sum over pairs of
     genotypes of the samples' likelihoods and the model. sites: site_id, n_alleles, af, gl
     (array over samples of arrays). Sites where either sample has a missing value go."""
-    rows = pair_rows(sites.select("site_id", "n_alleles", "af", "gl"), ("gl",), limit)
-    rows = rows.where(~F.exists("gl_x", F.isnan) & ~F.exists("gl_y", F.isnan))
-    # the model of a site, as one array of nine sums' weights a pair of genotypes
+    # the model of a site, as an array over genotypes of x of arrays over those of y
     model = site_model(sites).groupBy("site_id").agg(F.sort_array(F.collect_list(F.struct("gx", "gy", *M))).alias("model"))
-    joined = rows.join(model, "site_id")
-    weight = lambda e: F.get("gl_x", e["gx"]) * F.get("gl_y", e["gy"])
-    total = lambda m: F.aggregate("model", F.lit(0.0), lambda a, e: a + weight(e) * e[m])
-    return joined.select("site_id", "n_alleles", "x", "y", *(total(m).alias(m) for m in M))
+    g = F.col("n_alleles") * (F.col("n_alleles") + 1) / 2
+    table = lambda m: F.transform(F.sequence(F.lit(0), g.cast("int") - 1), lambda x: F.transform(F.slice("model", (x * g).cast("int") + 1, g.cast("int")), lambda e: e[m]))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
+    joined = sites.select("site_id", "n_alleles", "gl").join(model, "site_id").select("site_id", "n_alleles", "gl", *(table(m).alias(m) for m in M))
+    # the sum over genotypes of y is made once a sample, so that a pair has only that over x
+    half = F.transform("gl", lambda row: F.struct(*(F.transform(m, lambda w: dot(w, row)).alias(m) for m in M)))
+    there = F.transform("gl", lambda row: ~F.exists(row, F.isnan))
+    rows = pair_rows(joined.select("site_id", "n_alleles", "gl", half.alias("half"), there.alias("there")), ("gl", "half", "there"), limit)
+    rows = rows.where("there_x AND there_y")
+    return rows.select("site_id", "n_alleles", "x", "y", *(dot("gl_x", F.col("half_y")[m]).alias(m) for m in M))
 
 
 def uniform_objective(rows: DataFrame, gradient: bool = False, hessian: bool = False) -> DataFrame:

@@ -118,5 +118,21 @@ def test_oracles(spark):
         assert columns == sorted(got.columns) and sorted(map(tuple, want[columns].values.tolist())) == sorted(map(tuple, got[columns].values.tolist())), name
 
 
+@pytest.mark.parametrize("name", ["mixture_biallelic", "mixture_multiallelic", "jacquard_nll_uniform", "jacquard_gradient_uniform", "jacquard_hessian_uniform", "nan_pair_filter"])
+def test_all_pairs(spark, name):
+    """All 528 pairs, as by the SQL without its limit to the first samples."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    sql = queries.ORACLE_SQL[name]
+    for limit in (f" WHERE sample_id < {queries.SMALL}", f" AND x.sample_id < {queries.SMALL} AND y.sample_id < {queries.SMALL}"):
+        sql = sql.replace(limit, "")
+    assert "sample_id <" not in sql.replace("sample_id <= y", "")
+    want, got = con.execute(sql).df(), queries.QUERIES[name](spark, SF).toPandas()
+    keys = [c for c in ("site_id", "x", "y") if c in want.columns]
+    want, got = (t.sort_values(keys).reset_index(drop=True) for t in (want, got[want.columns]))
+    assert len(got[["x", "y"]].drop_duplicates()) == 528 and want[keys].astype(int).equals(got[keys].astype(int))
+    assert np.allclose(want, got, rtol=0, atol=2e-6)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 528
