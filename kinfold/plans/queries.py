@@ -361,4 +361,4 @@ def relatedness_gl(spark, sf_dir):
 
 @query()
 def relatedness_gl_given_frequencies(spark, sf_dir):
-    return relatedness.relatedness_gl(panel.likelihoods(spark, sf_dir, "GL"), samples=8)
+    return relatedness.relatedness_gl(panel.likelihoods(spark, sf_dir, "GL"))

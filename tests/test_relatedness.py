@@ -134,5 +134,13 @@ def test_all_pairs(spark, name):
     assert np.allclose(want, got, rtol=0, atol=2e-6)
 
 
+def test_given_frequencies_solves_all_pairs(spark):
+    rows = queries.QUERIES["relatedness_gl_given_frequencies"](spark, SF).collect()
+    assert sorted((r["x"], r["y"]) for r in rows) == list(itertools.combinations_with_replacement(range(panel.SAMPLES), 2))
+    few = relatedness.relatedness_gl(panel.likelihoods(spark, SF, "GL"), samples=8).collect()
+    want = {(r["x"], r["y"]): r["kinship"] for r in rows if r["y"] < 8}
+    assert len(few) == 36 and all(abs(r["kinship"] - want[r["x"], r["y"]]) < 1e-6 for r in few)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 528
