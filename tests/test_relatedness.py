@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from kinfold.functions import solver
 from kinfold.functions.identity import joint_genotypes, mirror
-from kinfold.operators import sites
+from kinfold.operators import evaluate, sites
 from kinfold.plans import panel, queries, relatedness
 from kinfold.sources import tables, vcf
 
@@ -142,5 +142,22 @@ def test_given_frequencies_solves_all_pairs(spark):
     assert len(few) == 36 and all(abs(r["kinship"] - want[r["x"], r["y"]]) < 1e-6 for r in few)
 
 
+def test_inbred_families(spark):
+    """Kinship of the focal pairs, and of each with itself, by recursion over the pedigree."""
+    rows = evaluate.pedigree(spark).collect()
+    for family, pair, own in (("inbred_full_sib", 0.375, 0.625), ("inbred_half_sib", 0.3125, 0.625), ("inbred_first_cousin", 0.25, 0.625), ("inbred_unrelated", 0.0, 0.625)):
+        up = {r["ind"]: [p for p in (r["parent1"], r["parent2"]) if p] for r in rows if r["family"] == family}
+        age = lambda i: 1 + max(map(age, up[i]), default=0)  # noqa: B023, E731
+
+        def phi(i, j):
+            if i == j:
+                return 0.5 + (phi(*up[i]) / 2 if up[i] else 0)  # noqa: B023
+            i, j = sorted((i, j), key=age)  # noqa: B023
+            return sum(phi(p, i) for p in up[j]) / 2  # noqa: B023
+
+        a, b = evaluate.FAMILIES[family][1]
+        assert (phi(a, b), phi(a, a), phi(b, b)) == (pair, own, own), family
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 528
