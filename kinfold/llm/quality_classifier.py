@@ -122,5 +122,7 @@ def classify(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ("doc_
     model = train_on(docs, labels, sample)
     names = {c: f"_carry_{k}" for k, c in enumerate(carry)}
     rows = docs.select(*(F.col(c).alias(n) for c, n in names.items()), held_out().alias("held_out"), "text")
-    scored = add_words(rows).withColumns(statistics()).select(*names.values(), "held_out", model.score().alias("score"))
+    # exploding an array of the one score keeps a later filter above it: pushed below, the filter
+    # would have the whole ensemble, with each statistic, written into it once for each rule
+    scored = add_words(rows).withColumns(statistics()).select(*names.values(), "held_out", F.explode(F.array(model.score())).alias("score"))
     return scored.select(*(F.col(n).alias(c) for c, n in names.items()), "held_out", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
