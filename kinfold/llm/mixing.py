@@ -4,9 +4,10 @@ Each document gets a random key, a hash of its id. Within a source, documents st
 order of their keys, and the mix is read off that order: full epochs first, then as far as
 the rest of the budget goes; the document at the cut gives only the words that are left.
 Prefix sums of sizes are taken in two steps, so that no task sees a whole source: the key
-range is cut into equal bins (a range sort, as keys are uniform), sizes are summed in each
-(source, bin) before any shuffle, sums of the bins before are added up over that small
-table, and only then each bin adds up its own documents.
+range is cut into equal bins (a range sort, as keys are uniform), so many that one holds some
+``BIN_ROWS`` rows; sizes are summed in each (source, bin) before any shuffle, sums of the bins
+before are added up over that small table, and only then each bin adds up its own documents.
+Documents are dealt out once, by source and bin, for both the join with those sums and theirs.
 
 Targets: sources by code point, null last, weigh 5, 2, 1, repeating, and share ``share``
 times all sizes; none goes above ``epochs`` times its source's size, and what it can't take
@@ -14,9 +15,10 @@ is shared by weight among the others (the level at which all is shared out is fo
 sweep over the sources in the order in which they fill up).
 
 Cases: null and empty texts have size 0 and are taken 0 times; a null source is a source of
-its own; equal rows stand next to each other in any order, which changes no row's values
-but for those at the cut; an empty table gives an empty one; further columns are kept, and
-those named like a result column are replaced.
+its own; rows without an id get their keys from their texts; equal rows stand next to each
+other in any order, which changes no row's values but for those at the cut; an empty table
+gives an empty one; further columns are kept, whatever their names, and those named like a
+result column are replaced.
 """
 
 from __future__ import annotations
@@ -27,19 +29,19 @@ import operator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.shared import WORD
+from kinfold.llm.shared import WORD, free
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 EPOCHS = 2
-BINS = 4096
+BIN_ROWS = 20_000
 ADDED = ("size", "source_size", "target", "taken", "mix_key", "words_before")
 HEX_DIGITS = 12  # of the key: 48 bits
 
 
 def key(seed: str = "mix") -> Column:
     """A random 48-bit integer for a row, the same in each run."""
-    text = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    text = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, HEX_DIGITS), 16, 10).cast("long")
 
 
@@ -62,41 +64,51 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return s.withColumn("target", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("weight") * F.col("level"))).select("source", "source_size", "weight", "target")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, bins: int = BINS) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, bin_rows: int = BIN_ROWS) -> DataFrame:
     """The documents with size, source_size, target, mix_key, words_before (its place in the
     source's order, in words) and taken."""
     docs = docs.drop(*(c for c in docs.columns if c.lower() in ADDED))
-    keyed = docs.withColumns({"size": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"), "mix_key": key()})
-    keyed = keyed.withColumn("_bin", F.floor(F.col("mix_key") / F.lit(2.0 ** (4 * HEX_DIGITS) / bins)).cast("int"))
-    by_bin = keyed.groupBy("source", "_bin").agg(F.sum("size").alias("_sum"))
-    order = Window.partitionBy("source").orderBy("_bin")
-    sizes = by_bin.groupBy("source").agg(F.sum("_sum").alias("source_size"))
-    t = targets(sizes, weights, share, epochs)
-    by_bin = by_bin.withColumn("_before", F.coalesce(F.sum("_sum").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    bases = by_bin.alias("b").join(t.alias("t"), F.expr("b.source <=> t.source")).select(F.col("b.source").alias("_source"), F.col("_bin").alias("_of"), "_before", "source_size", "target")
-    placed = keyed.join(bases, F.expr("source <=> _source AND _bin = _of"), "left").drop("_source", "_of")
-    own = Window.partitionBy("source", "_bin").orderBy("mix_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("words_before", F.coalesce(F.sum("size").over(own), F.lit(0)) + F.col("_before"))
+    name, bin_, before = free([*docs.columns, *ADDED], "_name", "_bin", "_before")
+    bins = -(-docs.count() // bin_rows) or 1
+    keyed = docs.withColumns({
+        "size": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"),
+        "mix_key": key(),
+        name: F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")),  # never null, so that one exchange serves join and window
+    })
+    keyed = keyed.withColumn(bin_, F.floor(F.col("mix_key") / F.lit(2.0 ** (4 * HEX_DIGITS) / bins)).cast("int"))
+    by_bin = keyed.groupBy("source", name, bin_).agg(F.sum("size").alias("sum"))
+    order = Window.partitionBy(name).orderBy(bin_)
+    t = targets(by_bin.groupBy("source").agg(F.sum("sum").alias("source_size")), weights, share, epochs)
+    t = t.select(F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias(name), "source_size", "target")
+    sums = by_bin.select(name, bin_, F.coalesce(F.sum("sum").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    placed = keyed.join(sums.join(t, name), [name, bin_], "left")
+    own = Window.partitionBy(name, bin_).orderBy("mix_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("words_before", F.coalesce(F.sum("size").over(own), F.lit(0)) + F.col(before))
     budget = F.floor(F.col("target"))
     rest = [F.least("size", F.greatest(F.lit(0), budget - k * F.col("source_size") - F.col("words_before"))) for k in range(epochs)]
-    return placed.withColumn("taken", functools.reduce(operator.add, rest).cast("long")).drop("_bin", "_before")
+    return placed.withColumn("taken", functools.reduce(operator.add, rest).cast("long")).drop(name, bin_, before)
 
 
-def copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
+def copies(mixed: DataFrame, columns: list[str], lengths: tuple[str, ...] = ("n_chars",)) -> DataFrame:
     """The mix itself: each document as often as it is taken, the last time cut to the words
-    that are left; documents of which nothing is taken go."""
+    that are left; documents of which nothing is taken go. Columns named in ``lengths`` hold
+    the length of the text; where that is cut, they follow it."""
+    (copy,) = free(mixed.columns, "_copy")
     full = F.col("taken").cast("double") / F.col("size")
     left = F.col("taken") % F.col("size")
-    rows = mixed.where("taken > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(full).cast("int"))))
+    rows = mixed.where("taken > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.ceil(full).cast("int"))))
     word_ends = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    text = F.when((F.col("_copy") == F.ceil(full)) & (left > 0), F.array_join(F.slice(word_ends, 1, F.greatest(left, F.lit(1)).cast("int")), "")).otherwise(F.col("text"))
-    return rows.withColumn("text", text).select(*columns)
+    cut = (F.col(copy) == F.ceil(full)) & (left > 0)
+    whole = {c: F.col(c) for c in columns}
+    new = whole | {"text": F.array_join(F.slice(word_ends, 1, F.greatest(left, F.lit(1)).cast("int")), "")}
+    new |= {c: F.length(new["text"]).cast(rows.schema[c].dataType) for c in columns if c in lengths}
+    return rows.select(*(F.when(cut, new[c]).otherwise(whole[c]).alias(c) if new[c] is not whole[c] else whole[c] for c in columns))
 
 
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS k
+         CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 12) AS BIGINT) AS k
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,12 +20,15 @@ BATCH_ROWS = 1000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the one in ``spark.checkpoint.dir``. Where that is unset (tests on one
-    machine) a temporary folder is made, once for a session.
+    It is the one in ``spark.checkpoint.dir``. Where that is unset and all runs on one
+    machine (a local master, as in tests) a temporary folder is made, once for a session;
+    on a cluster it must be set, as executors would not share such a folder.
     """
     sc = spark.sparkContext
     there = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: a folder that the driver and all executors share")
         there = getattr(sc, "_kinfold_shared", None) or "file://" + tempfile.mkdtemp(prefix="kinfold-")
         sc._kinfold_shared = there
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -64,6 +68,17 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened until none is that of a column (names are told apart without case)."""
+    there, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in there:
+            n += "_"
+        there.add(n.lower())
+        out.append(n)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row, however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

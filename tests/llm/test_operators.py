@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 import regex
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from kinfold.llm import bpe, chat_format, html_extract, jaccard_join, lattice_dedup, mixing, pretokens, quality_classifier, quality_rules, token_counts, token_files
@@ -137,6 +138,20 @@ def test_mixing(spark, docs, empty):
     assert words == taken
 
 
+def test_mixing_keeps_clashing_columns_and_lengths(spark, docs):
+    names = ("_source", "_bin", "_before", "_of", "_copy", "_NAME", "Taken")
+    odd = docs.withColumns({n: F.lit(n) for n in names})
+    mixed = mixing.mix(odd)
+    assert {r[n] for r in mixed.collect() for n in names[:-1]} == set(names[:-1])
+    rows = mixing.copies(mixing.mix(odd.withColumn("n_chars", F.length("text"))), [*docs.columns, "_copy"]).collect()
+    assert rows and all(r["n_chars"] == len(r["text"]) and r["_copy"] == "_copy" for r in rows)
+    nulls = spark.createDataFrame([(None, f"a {k} b", "s") for k in range(50)], "doc_id long, text string, source string")
+    first, again = ({r["text"]: r["taken"] for r in mixing.mix(nulls.repartition(n)).collect()} for n in (1, 5))
+    assert first == again and len({r["mix_key"] for r in mixing.mix(nulls).collect()}) == 50
+    few, many = ({r["doc_id"]: r["taken"] for r in mixing.mix(docs, bin_rows=n).where("doc_id IS NOT NULL").collect()} for n in (1, 10**6))
+    assert few == many
+
+
 def test_targets_fill_up(spark):
     got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 0)], "source string, source_size long")).collect()}
     want, left, cap, w = {}, 3015.0, {"a": 20, "b": 2000, "c": 2000, None: 0}, {"a": 5, "b": 2, "c": 1, None: 5}
