@@ -6,17 +6,19 @@ a shingle in common among the first n - ceil(0.75 n) + 1 of each (the prefix).
 
 1. Documents with the same prefix and size are one group; the index over prefix shingles holds
    groups. An entry goes that no other group of a size within the threshold has.
-2. Group pairs are filtered by size and by the place of the shingle, and groups expand to their distinct sets (equal sets are
-   one class, named by its smallest doc_id).
+2. Group pairs are filtered by size, by the place of the shingle, and by how many entries each of
+   the two has left; groups expand to their distinct sets (equal sets are one class, named by
+   its smallest doc_id).
 3. Members are verified on their whole sets. As links are wanted for components, pairs already
    connected need no proof: first each shingle's members are verified against its first pivot,
-   then those of shingles with many members against seven more; then all pairs left of one shingle that are in different components and
-   were not verified yet. In that last step each such pair has
-   a member outside the shingle's largest component, so that a large group of copies, which is
-   one component by then, costs no more than its size. No link is lost.
+   then those of shingles with many members against seven more; then all pairs left of one
+   shingle that are in different components and were not verified yet. In that last step each
+   such pair has a member outside the shingle's largest component, so that a large group of
+   copies, which is one component by then, costs no more than its size. No link is lost.
 
-Frequencies only decide the order, and any order is exact. They are counted over all documents,
-a batch at a time; shingles rare within each batch count as rare.
+Frequencies only decide the order, and any order is exact. They are counted over all documents;
+shingles that occur seldom within each part of a task's documents count as rare. In the index,
+entries of a frequent shingle are dealt into parts.
 
 Cases: without words or text the set is empty, and links with nothing; with fewer words than
 five the whole sequence is the one shingle; rows of one doc_id are one document as to links;
@@ -40,10 +42,13 @@ from kinfold.llm.shared import discard, small_batches, written
 
 WORDS = 5
 PERCENT = 75
-#: A shingle counts as frequent from so many documents in one Arrow batch on; of the frequent
-#: ones the first FREQUENT are put last in the order (a bound of what is broadcast: 1.6 MB).
-IN_BATCH = 4
+#: A shingle counts as frequent from IN_PART occurrences among TOGETHER of a task's shingles on;
+#: of the frequent ones the first FREQUENT are put last in the order (a bound of what is broadcast:
+#: 1.6 MB). Rows of one of these are dealt into SALTS parts.
+IN_PART = 8
+TOGETHER = 4_000_000
 FREQUENT = 100_000
+SALTS = 64
 PIVOTS = 8
 KEPT = 1_000_000
 LONG = 48
@@ -143,25 +148,46 @@ def rest_size(n: str, percent: int = PERCENT) -> str:
 
 
 def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles, ascending, and how often each occurs."""
+    """Frequent shingles, ascending, and how often each occurs (FREQUENT at most)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, size = [], 0
         for b in batches:
-            x = np.sort(shingle_hashes(b.text.tolist())[0])
-            if len(x) >= IN_BATCH:  # runs of IN_BATCH equal ones
-                starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-                n = np.diff(np.r_[starts, len(x)])
-                yield pd.DataFrame({"h": x[starts[n >= IN_BATCH]], "n": n[n >= IN_BATCH]})
-
-    rows = docs.mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+            parts.append(shingle_hashes(b.text.tolist())[0])
+            size += len(parts[-1])
+            if size >= TOGETHER:
+                yield runs(np.concatenate(parts))
+                parts, size = [], 0
+        if size:
+            yield runs(np.concatenate(parts))
+
+    def runs(x: np.ndarray) -> pd.DataFrame:
+        """What occurs IN_PART times or more."""
+        x.sort()
+        starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+        n = np.diff(np.r_[starts, len(x)])
+        return pd.DataFrame({"h": x[starts[n >= IN_PART]], "n": n[n >= IN_PART]})
+
+    counts = written(docs.mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "frequent")
+    # how many there are of each size of count, so that no task or driver sees more than FREQUENT
+    size = F.floor(F.log2("n") * 64).cast("int")
+    least, total = 1 << 30, 0
+    for r in sorted(counts.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        total += r["n"]
+        if total > FREQUENT:
+            break
+        least = r["size"]
+    rows = counts.where(size >= least).collect()
+    discard(counts)
     h, n = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
     order = np.argsort(h)
     return h[order], n[order]
 
 
-def prefix_of(x: np.ndarray, often: np.ndarray, count: np.ndarray, seen: np.ndarray) -> np.ndarray:
+def prefix_of(x: np.ndarray, often: np.ndarray, count: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, int]:
     """The first of a set in the common order: rare shingles by hash, then frequent ones by
-    frequency and hash. ``seen`` tells for the low bits of a hash whether it may be frequent."""
+    frequency and hash; and how many of them are rare. ``seen`` tells for the low bits of a hash
+    whether it may be frequent."""
     size = prefix_size(len(x))
     may = np.flatnonzero(seen[x & (len(seen) - 1)])
     if len(may):
@@ -170,14 +196,15 @@ def prefix_of(x: np.ndarray, often: np.ndarray, count: np.ndarray, seen: np.ndar
         may, at = may[hit], at[hit]
         if len(may):
             rare = np.delete(x, may)
-            return rare[:size] if len(rare) >= size else np.r_[rare, x[may[np.argsort(count[at], kind="stable")]]][:size]
-    return x[:size]
+            return (rare[:size], size) if len(rare) >= size else (np.r_[rare, x[may[np.argsort(count[at], kind="stable")]]][:size], len(rare))
+    return x[:size], size
 
 
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n (size of the set), a, b (its digests), g (of its prefix and size), bits (see
-    parities) and prefix; that is null where an earlier row of the same task has the same, so that of a large group of
-    copies no more prefixes go into the index than there are tasks."""
+    parities), rare (how many of the prefix are not frequent) and prefix; that is null where an
+    earlier row of the same task has the same, so that of a large group of copies no more
+    prefixes go into the index than there are tasks."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,14 +216,14 @@ def signatures(docs: DataFrame) -> DataFrame:
                 known.clear()
             out = []
             for d, x in zip(b.doc_id, sets(b.text.tolist()), strict=True):
-                p = prefix_of(x, often, count, low)
+                p, rare = prefix_of(x, often, count, low)
                 g, has = digest(p)[1] ^ (len(x) << 40), not pd.isna(d)
-                out.append((int(d) if has else None, len(x), *digest(x), g, parities(x), None if g in known or not has else p))
+                out.append((int(d) if has else None, len(x), *digest(x), g, parities(x), rare, None if g in known or not has else p))
                 if has:
                     known.add(g)
-            yield pd.DataFrame(out, columns=["doc_id", "n", "a", "b", "g", "bits", "prefix"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "n", "a", "b", "g", "bits", "rare", "prefix"]).astype({"doc_id": "Int64"})
 
-    return written(docs.mapInPandas(run, "doc_id long, n long, a long, b long, g long, bits array<long>, prefix array<long>"), "signatures")
+    return written(docs.mapInPandas(run, "doc_id long, n long, a long, b long, g long, bits array<long>, rare long, prefix array<long>"), "signatures")
 
 
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -219,13 +246,14 @@ def verify(pairs: DataFrame, lists: DataFrame, sketches: DataFrame, docs: DataFr
 
     First by the prefixes: two sets that link have so many shingles in common that, as what lies
     beyond a prefix is of known size, enough of them must be in both prefixes (lists holds what
-    a prefix shares with another group's, as low bits, and how many of these fell together; of
-    one group, all is shared). Then by the sketches (doc_id, n, bits): no more bits differ than
+    a prefix shares with another group's; low bits of these are compared, as many as fell together
+    counted on top; of one group, all is shared). Then by the sketches (doc_id, n, bits): no more bits differ than
     there are shingles that only one of both has. What passes is verified on the whole sets, made again from the
     texts of just those documents."""
-    a = lists.select(F.col("cid").alias("u"), "n", F.col("g").alias("e"), F.col("hs").alias("x"), "lost")
-    b = lists.select(F.col("cid").alias("v"), F.col("n").alias("o"), F.col("g").alias("f"), F.col("hs").alias("y"))
-    enough = f"e = f OR size(array_intersect(x, y)) + lost >= ceil({percent} * (n + o) / {100.0 + percent}) - greatest({rest_size('n')}, {rest_size('o')})"
+    low = F.array_distinct(F.transform("entries", lambda e: e["h"].bitwiseAND(0x7FFFFFFF).cast("int")))
+    a = lists.select(F.col("cid").alias("u"), "n", F.col("g").alias("e"), low.alias("x"), (F.size("entries") - F.size(low)).alias("lost"))
+    b = lists.select(F.col("cid").alias("v"), F.col("n").alias("o"), F.col("g").alias("f"), low.alias("y"))
+    enough = f"e = f OR size(array_intersect(x, y)) + lost >= {in_prefixes(percent)}"
     tried = written(pairs.join(a, "u").join(b, "v").where(enough).select("u", "v").distinct(), "tried")
     bits = only(sketches, members(tried))
     a = bits.select(F.col("doc_id").alias("u"), "n", F.col("bits").alias("x"))
@@ -246,11 +274,17 @@ def verify(pairs: DataFrame, lists: DataFrame, sketches: DataFrame, docs: DataFr
     return out
 
 
+def in_prefixes(percent: int = PERCENT) -> str:
+    """How many shingles sets of sizes n and o that link have in common within their prefixes."""
+    return f"ceil({percent} * (n + o) / {100.0 + percent}) - greatest({rest_size('n', percent)}, {rest_size('o', percent)})"
+
+
 def alike(percent: int = PERCENT) -> str:
     """What sets of sizes n and o that link fulfil at their first common shingle, which stands at
-    pos in the one and at ``at`` in the other: enough of both must be left from there on."""
+    pos in the one and at ``at`` in the other: enough of both must be left from there on. Also
+    each must have enough entries, s and t, that any other group has."""
     overlap = f"ceil({percent} * (n + o) / {100.0 + percent})"
-    return f"100 * least(n, o) >= {percent} * greatest(n, o) AND pos <= n - {overlap} AND at <= o - {overlap}"
+    return f"100 * least(n, o) >= {percent} * greatest(n, o) AND pos <= n - {overlap} AND at <= o - {overlap} AND least(s, t) >= {in_prefixes(percent)}"
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -265,32 +299,35 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     # 1. the index of groups; one exchange. An entry goes unless another group of a size that can
     # link has the shingle: of the sizes in order, the nearest. Rows of one group stand together
-    # (its first row sees what is below it, its last one what is above)
-    size, pos = F.shiftright("at", 32), F.col("at").bitwiseAND(0xFFFFFFFF)
-    entries = known.where("prefix IS NOT NULL").select("g", "n", F.posexplode("prefix").alias("pos", "h"))
-    same = Window.partitionBy("h").orderBy("n", "g")
-    entries = entries.select("h", "g", (F.shiftleft("n", 32) + F.col("pos")).alias("at")).withColumn("n", size)
+    # (its first row sees what is below it, its last one what is above). Entries of frequent
+    # shingles are dealt into parts, which see no neighbours beyond them; they all stay
+    size, pos, hot = F.shiftright("at", 32), F.shiftright("at", 1).bitwiseAND(0x7FFFFFFF), F.col("at").bitwiseAND(1) == 1
+    entries = known.where("prefix IS NOT NULL").select("g", "n", "rare", F.posexplode("prefix").alias("pos", "h"))
+    entries = entries.select("h", "g", (F.shiftleft("n", 32) + 2 * F.col("pos") + (F.col("pos") >= F.col("rare")).cast("int")).alias("at")).withColumn("n", size)
+    entries = entries.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("g"), F.lit(SALTS))).otherwise(0))
+    same = Window.partitionBy("h", "salt").orderBy("n", "g")
     near = entries.withColumns({"rank": F.row_number().over(same), "n0": F.lag("n").over(same), "n_min": F.first("n").over(same), "g0": F.lag("g").over(same), "n1": F.lead("n").over(same), "g1": F.lead("g").over(same)})
-    near = near.where(f"(g0 <> g AND 100 * n0 >= {PERCENT} * n) OR (g1 <> g AND 100 * n >= {PERCENT} * n1)")
+    near = near.where(hot | F.expr(f"(g0 <> g AND 100 * n0 >= {PERCENT} * n) OR (g1 <> g AND 100 * n >= {PERCENT} * n1)"))
     # what stands too far back to be the first common shingle with even the smallest partner finds
     # no pairs; it only counts in the lists
-    first = f"(at & {0xFFFFFFFF}L) <= n - ceil({PERCENT} * (n + greatest(n_min, ceil({PERCENT} * n / 100))) / {100.0 + PERCENT})"
-    index = near.groupBy("h", "g", "at").agg(F.max(F.col("rank") > PIVOTS).alias("many"), F.max(F.expr(first)).alias("first")).select("h", "g", pos.alias("pos"), "many", "first")
-    # 2. groups expand; a group of several classes meets in itself. Not more than PIVOTS entries of
-    # a shingle are not marked as one of many
-    several = Window.partitionBy("g", "n")
-    classes_of = classes.withColumn("k", F.count("*").over(several))
-    inside = classes_of.where("k > 1").select(F.col("g").alias("h"), F.lit(0).cast("long").alias("pos"), "cid", "n", "g", (F.col("k") > PIVOTS).alias("many"), F.lit(True).alias("first"))
-    index = written(index.join(classes_of, "g").select("h", "pos", "cid", "n", "g", (F.col("many") | (F.col("k") > 1)).alias("many"), "first").unionByName(inside), "index")
+    smallest = F.greatest(F.when(hot, 0).otherwise(F.col("n_min")), F.ceil(PERCENT * F.col("n") / 100))
+    first = pos <= F.col("n") - F.ceil(PERCENT * (F.col("n") + smallest) / (100.0 + PERCENT))
+    index = near.groupBy("h", "salt", "g", "at").agg(F.max((F.col("rank") > PIVOTS) | hot).alias("many"), F.max(first).alias("first"))
+    # 2. groups expand; a group of several classes meets in itself, in an entry of its own. Not more
+    # than PIVOTS entries of a shingle are not marked as one of many
+    classes_of = classes.withColumn("k", F.count("*").over(Window.partitionBy("g")))
+    entry = F.struct("h", pos.alias("pos"), (F.col("many") | (F.col("k") > 1)).alias("many"), "first")
+    own = F.array(F.struct(F.col("g").alias("h"), F.lit(0).cast("long").alias("pos"), (F.col("k") > PIVOTS).alias("many"), F.lit(True).alias("first")))
+    lists = classes_of.join(index, "g", "left").where("h IS NOT NULL OR k > 1").groupBy("g", "cid", "n", "k").agg(F.collect_list(F.when(F.col("h").isNotNull(), entry)).alias("entries"))
+    lists = written(lists.select("g", "cid", "n", F.when(F.col("k") > 1, F.concat("entries", own)).otherwise(F.col("entries")).alias("entries")), "lists")
     discard(full)
-    low = F.collect_set(F.expr("cast(h & 2147483647 AS int)"))
-    lists = written(index.groupBy("cid", "n", "g").agg(low.alias("hs"), (F.count("*") - F.size(low)).alias("lost")), "lists")
 
     # 3. pivots, then what is left
-    placed = written(index.where("first").select("h", "pos", "cid", "n", "many", F.col("cid").alias("c")), "placed")
-    discard(index)
+    placed = lists.select("g", "cid", "n", F.size("entries").alias("s"), F.explode("entries").alias("e")).where("e.first")
+    shared = F.when(F.col("e.h") == F.col("g"), F.col("n")).otherwise(F.col("s"))  # of one group, all is shared
+    placed = placed.select("e.h", "e.pos", "cid", "n", "e.many", shared.alias("s"), F.col("cid").alias("c"))
     sketches = of_set.select(F.col("cid").alias("doc_id"), "n", "bits")
-    done, table = None, placed
+    done, table = None, (first_ := placed)
     # the first pivot has its shared shingles first, as the text that copies were made of; what it
     # does not connect is tried with others, which are random, among the marked entries: what is
     # not marked makes with the others of its shingle no more than PIVOTS pairs for each of them.
@@ -298,18 +335,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     for order, most, of in ((F.col("pos"), 1, "true"), (F.xxhash64("cid"), PIVOTS - 1, "many")):
         tried = placed.where(of)
         ranked = tried.withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy(order, "cid")))
-        pivots = ranked.where(F.col("k") <= most).select("h", F.col("cid").alias("p"), F.col("n").alias("o"), F.col("pos").alias("at"), F.col("c").alias("d"))
+        pivots = ranked.where(F.col("k") <= most).select("h", F.col("cid").alias("p"), F.col("n").alias("o"), F.col("pos").alias("at"), F.col("s").alias("t"), F.col("c").alias("d"))
         pairs = tried.join(pivots, "h").where(f"c <> d AND {alike()}").select(F.least("cid", "p").alias("u"), F.greatest("cid", "p").alias("v")).distinct()
         new = verify(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), lists, sketches, docs)
         done = new if done is None else done.unionByName(new)
         root = components(done.where("linked").select("u", "v")).withColumnRenamed("id", "cid")
-        placed = written(table.drop("c").join(root, "cid", "left").select("h", "pos", "cid", "n", "many", F.coalesce("root", "cid").alias("c")), "placed")
-        discard(table)
+        placed = written(table.drop("c").join(root, "cid", "left").select("h", "pos", "cid", "n", "many", "s", F.coalesce("root", "cid").alias("c")), "placed")
+        if table is not first_:
+            discard(table)
         table = placed
     most = placed.groupBy("h", "c").count().groupBy("h").agg(F.max(F.struct("count", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("h", F.col("most.c").alias("most"))
     placed = written(placed.join(most, "h"), "placed")
     discard(table)
-    few = placed.where("c <> most").select("h", F.col("cid").alias("p"), F.col("n").alias("o"), F.col("pos").alias("at"), F.col("c").alias("d"))
+    few = placed.where("c <> most").select("h", F.col("cid").alias("p"), F.col("n").alias("o"), F.col("pos").alias("at"), F.col("s").alias("t"), F.col("c").alias("d"))
     left = few.join(placed, "h").where(f"c <> d AND {alike()} AND (c = most OR cid < p)").select(F.least("cid", "p").alias("u"), F.greatest("cid", "p").alias("v")).distinct()
     left = left.join(done, ["u", "v"], "left_anti")
     new = verify(left, lists, sketches, docs)

@@ -263,6 +263,33 @@ def test_jaccard(spark, docs, empty):
     assert len(jaccard_join.sets([LONG])[0]) == jaccard_brute([LONG])[0][0]
 
 
+def test_jaccard_with_a_shingle_of_thousands(spark, monkeypatch):
+    """A passage that opens thousands of unlike documents, near copies among them, and frequent
+    shingles whose entries are dealt into parts."""
+    monkeypatch.setattr(jaccard_join, "IN_PART", 3)
+    r = random.Random(9)
+    passage = " ".join(f"p{k}" for k in range(20))
+    texts = [passage + " " + " ".join(str(r.randrange(10**6)) for _ in range(12)) for _ in range(2000)]
+    texts += [passage] * 40 + [f"{passage} x{k % 30}" for k in range(60)]
+    texts += [t + " more" for t in texts[:50]]
+    got = by_id(jaccard_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    sets, at = [], {}
+    for k, t in enumerate(texts):
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+        for x in sets[-1]:
+            at.setdefault(x, []).append(k)
+    root = list(range(len(texts)))
+    sharing = [k for k in range(len(texts)) if k < 50 or k >= 2000]  # others share the passage alone: 16 of 40 shingles
+    for a in sharing:
+        for b in sharing:
+            if b < a and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if x == old else x for x in root]
+    assert [got[k]["component_id"] for k in range(len(texts))] == root
+    assert [got[k]["n_shingles"] for k in range(len(texts))] == list(map(len, sets))
+
+
 def test_html(spark):
     trees, r = html_extract.model(), random.Random(77)
     right = sum(html_extract.extract(p, trees) == "\n\n".join(b) for p, b in (html_extract.made_page(r) for _ in range(200)))
