@@ -7,7 +7,7 @@ a shingle in common among the first n - ceil(0.75 n) + 1 of each (the prefix).
 1. Documents with the same prefix and size are one group; the index over prefix shingles holds
    groups. An entry goes that no other group of a size within the threshold has.
 2. Group pairs are filtered by size, by the place of the shingle, and by how many entries each of
-   the two has left; groups expand to their distinct sets (equal sets are one class, named by
+   the two has from there on; groups expand to their distinct sets (equal sets are one class, named by
    its smallest doc_id).
 3. Members are verified on their whole sets. As links are wanted for components, pairs already
    connected need no proof: first each shingle's members are verified against its first pivot,
@@ -44,10 +44,10 @@ WORDS = 5
 PERCENT = 75
 #: A shingle counts as frequent from IN_PART occurrences among TOGETHER of a task's shingles on;
 #: of the frequent ones the first FREQUENT are put last in the order (a bound of what is broadcast:
-#: 1.6 MB). Rows of one of these are dealt into SALTS parts.
-IN_PART = 8
+#: 16 MB). Rows of one of these are dealt into SALTS parts.
+IN_PART = 3
 TOGETHER = 4_000_000
-FREQUENT = 100_000
+FREQUENT = 1_000_000
 SALTS = 64
 PIVOTS = 8
 KEPT = 1_000_000
@@ -281,8 +281,8 @@ def in_prefixes(percent: int = PERCENT) -> str:
 
 def alike(percent: int = PERCENT) -> str:
     """What sets of sizes n and o that link fulfil at their first common shingle, which stands at
-    pos in the one and at ``at`` in the other: enough of both must be left from there on. Also
-    each must have enough entries, s and t, that any other group has."""
+    pos in the one and at ``at`` in the other: enough of both must be left from there on, of all
+    and of the prefixes' entries that any other group has (s and t of them)."""
     overlap = f"ceil({percent} * (n + o) / {100.0 + percent})"
     return f"100 * least(n, o) >= {percent} * greatest(n, o) AND pos <= n - {overlap} AND at <= o - {overlap} AND least(s, t) >= {in_prefixes(percent)}"
 
@@ -316,15 +316,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # 2. groups expand; a group of several classes meets in itself, in an entry of its own. Not more
     # than PIVOTS entries of a shingle are not marked as one of many
     classes_of = classes.withColumn("k", F.count("*").over(Window.partitionBy("g")))
-    entry = F.struct("h", pos.alias("pos"), (F.col("many") | (F.col("k") > 1)).alias("many"), "first")
-    own = F.array(F.struct(F.col("g").alias("h"), F.lit(0).cast("long").alias("pos"), (F.col("k") > PIVOTS).alias("many"), F.lit(True).alias("first")))
+    entry = F.struct(pos.alias("pos"), "h", (F.col("many") | (F.col("k") > 1)).alias("many"), "first")
+    own = F.array(F.struct(F.lit(0).cast("long").alias("pos"), F.col("g").alias("h"), (F.col("k") > PIVOTS).alias("many"), F.lit(True).alias("first")))
     lists = classes_of.join(index, "g", "left").where("h IS NOT NULL OR k > 1").groupBy("g", "cid", "n", "k").agg(F.collect_list(F.when(F.col("h").isNotNull(), entry)).alias("entries"))
-    lists = written(lists.select("g", "cid", "n", F.when(F.col("k") > 1, F.concat("entries", own)).otherwise(F.col("entries")).alias("entries")), "lists")
+    lists = written(lists.select("g", "cid", "n", F.when(F.col("k") > 1, F.concat(F.sort_array("entries"), own)).otherwise(F.sort_array("entries")).alias("entries")), "lists")
     discard(full)
 
     # 3. pivots, then what is left
-    placed = lists.select("g", "cid", "n", F.size("entries").alias("s"), F.explode("entries").alias("e")).where("e.first")
-    shared = F.when(F.col("e.h") == F.col("g"), F.col("n")).otherwise(F.col("s"))  # of one group, all is shared
+    placed = lists.select("g", "cid", "n", F.size("entries").alias("s"), F.posexplode("entries").alias("r", "e")).where("e.first")
+    shared = F.when(F.col("e.h") == F.col("g"), F.col("n")).otherwise(F.col("s") - F.col("r"))  # from there on; of one group, all is shared
     placed = placed.select("e.h", "e.pos", "cid", "n", "e.many", shared.alias("s"), F.col("cid").alias("c"))
     sketches = of_set.select(F.col("cid").alias("doc_id"), "n", "bits")
     done, table = None, (first_ := placed)
