@@ -1,16 +1,19 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-A text of up to ``chunk`` code points is one piece. A longer one is cut into
-chunks that overlap; each chunk is a row of its own, dealt out over the cluster,
-and pre-tokenised there by itself. Neighbouring chunks are stitched at the first
-position of their overlap where the pre-token boundaries of both agree. A piece is
-what lies between two stitches; it is encoded by itself, and the ids of the pieces
-in order are the ids of the text. Decoding concatenates the raw bytes of the ids.
-
-Why the stitch is exact: no pre-token holds a visible character followed by a
-space, so that each change from one to the other is a boundary for every chunk that
-sees it, wherever its own scan began. Only such boundaries are taken. If the overlap
-has none it is made longer until it has one, or ends with the text.
+Each text is cut into chunks of ``chunk`` code points that overlap, and each chunk is
+pre-tokenised by itself. Neighbouring chunks are stitched at the first position of their
+overlap where the pre-token boundaries of both agree. A piece is what lies between two
+stitches; it is encoded by itself, and the ids of the pieces in order are the ids of the
+text. Decoding concatenates the raw bytes of the ids. Chunks of a text of more than ``deal``
+code points are rows of their own, dealt out over the cluster, so that no task encodes a very
+long text alone; those of other texts are worked on where the text was read.
+
+Why the stitch is exact: in each of the pattern's alternatives a run of letters or of digits
+goes on as far as it can, and white space stands only at a pre-token's beginning, so that the
+end of such a run, and of what white space follows, is a boundary for every chunk that sees it,
+wherever its own scan began. Only such boundaries are taken. If the overlap has none it is
+made longer until it has one, or ends with the text: a rest without any is one pre-token, or
+marks alone.
 
 Cases: a null or empty text has no ids; a null id is kept; rows that are equal each
 give a row; an empty table gives an empty one; further columns are dropped.
@@ -21,7 +24,6 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +37,11 @@ from pyspark.sql import functions as F
 from kinfold.llm.shared import small_batches
 
 RANKS = "byte_bpe_50k.tiktoken"
-CHUNK = 65_536
-OVERLAP = 512
-#: The end of a pre-token for certain: a letter, digit or mark before a space or line end.
-SURE = re.compile(r"(?:[^\W_]|[.,;:!?])(?=[ \n])")
+CHUNK = 2048
+OVERLAP = 256
+DEAL = 262_144
+#: The end of a pre-token for certain.
+SURE = regex.compile(r"\S(?=\s)|\p{L}(?=\P{L})|\p{N}(?=\P{N})")
 PIECE_SCHEMA = "row_id long, doc_id long, seq int, pieces int, ids binary, raw binary"
 DIGEST_SCHEMA = "row_id long, doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -55,9 +58,9 @@ def encode_piece(enc: tiktoken.Encoding, pattern: str, text: str) -> list[int]:
     """Ids of a text; a run that the library's own scanner gives up on is scanned here."""
     try:
         return enc.encode_ordinary(text)
-    except (KeyboardInterrupt, SystemExit, MemoryError):
-        raise
-    except BaseException:  # the library's scanner panics on runs of about a million characters
+    except BaseException as e:  # the library's scanner panics on runs of about a million characters
+        if type(e).__name__ != "PanicException":  # its class cannot be imported
+            raise
         return [i for x in regex.findall(pattern, text) for i in enc._encode_single_piece(x.encode())]
 
 
@@ -85,27 +88,34 @@ def stitches(text: str, zone: int, first: bool, pattern: str) -> tuple[int, int]
     return 0 if first else sync(0), len(text) if zone < 0 else sync(zone)
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, chunk: int = CHUNK) -> DataFrame:
-    """A row for each piece: row_id, doc_id, seq, pieces (of this text), ids (little-endian
-    unsigned 32-bit integers) and raw, the bytes that the ids decode to."""
+def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, chunk: int = CHUNK, deal: int = DEAL) -> DataFrame:
+    """A row for each text, or for each piece of one that is dealt out: row_id, doc_id, seq, pieces
+    (rows of this text), ids (little-endian unsigned 32-bit integers) and raw, the bytes that
+    the ids decode to."""
     spark = docs.sparkSession
     small_batches(spark)
     path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
-    def run(row_id, doc_id, seq, n, text):
-        ids = encode_piece(encoding(path, pattern), pattern, text)
-        return row_id, doc_id, seq, n, np.asarray(ids, "<u4").tobytes(), encoding(path, pattern).decode_bytes(ids)
+    def piece(text: str, zone: int, seq: int) -> list[int]:
+        """Ids of the piece of one chunk."""
+        a, b = stitches(text, zone, seq == 0, pattern) if zone >= 0 or seq else (0, len(text))
+        return encode_piece(encoding(path, pattern), pattern, text[a:b])
+
+    def row(row_id, doc_id, seq, n, ids: list[int]) -> tuple:
+        return row_id, None if pd.isna(doc_id) else int(doc_id), seq, n, np.asarray(ids, "<u4").tobytes(), encoding(path, pattern).decode_bytes(ids)
 
     def frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=columns)
-        return out.astype({"doc_id": "Int64"})
+        return pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
 
     columns = ["row_id", "doc_id", "seq", "pieces", "ids", "raw"]
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def here(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield frame([run(r, None if pd.isna(d) else int(d), 0, 1, t) for r, d, t in zip(b.row_id, b.doc_id, b.text, strict=True)], columns)
+            out = []
+            for r, d, t in zip(b.row_id, b.doc_id, b.text, strict=True):
+                out.append(row(r, d, 0, 1, [i for k, (x, z) in enumerate(chunks(t, chunk)) for i in piece(x, z, k)]))
+            yield frame(out, columns)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -113,17 +123,13 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
                 parts = chunks(t, chunk)
                 yield frame([(r, None if pd.isna(d) else int(d), k, len(parts), z, x) for k, (x, z) in enumerate(parts)], ["row_id", "doc_id", "seq", "pieces", "zone", "text"])
 
-    def piece(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for r, d, k, n, z, t in zip(b.row_id, b.doc_id, b.seq, b.pieces, b.zone, b.text, strict=True):
-                a, e = stitches(t, z, k == 0, pattern) if n > 1 else (0, len(t))
-                out.append(run(r, None if pd.isna(d) else int(d), k, n, t[a:e]))
-            yield frame(out, columns)
+            yield frame([row(r, d, k, n, piece(t, z, k)) for r, d, k, n, z, t in zip(b.row_id, b.doc_id, b.seq, b.pieces, b.zone, b.text, strict=True)], columns)
 
-    short = rows.where(F.length("text") <= chunk).mapInPandas(whole, PIECE_SCHEMA)
-    long = rows.where(F.length("text") > chunk).mapInPandas(cut, "row_id long, doc_id long, seq int, pieces int, zone int, text string")
-    return short.unionByName(long.repartition("row_id", "seq").mapInPandas(piece, PIECE_SCHEMA))
+    near = rows.where(F.length("text") <= deal).mapInPandas(here, PIECE_SCHEMA)
+    far = rows.where(F.length("text") > deal).mapInPandas(cut, "row_id long, doc_id long, seq int, pieces int, zone int, text string")
+    return near.unionByName(far.repartition("row_id", "seq").mapInPandas(dealt, PIECE_SCHEMA))
 
 
 def digests(pieces: DataFrame) -> DataFrame:

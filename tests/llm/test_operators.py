@@ -46,12 +46,14 @@ def by_id(df):
 
 
 def test_bpe_is_the_librarys(docs, empty, ranks):
-    got = by_id(bpe.digests(bpe.encode(docs, chunk=2000)))
-    for k, t in enumerate(TEXTS):
-        ids = ranks.encode_ordinary(t or "")
-        assert got[k]["n_tokens"] == len(ids)
-        assert got[k]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
-        assert got[k]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+    assert len(bpe.chunks(LONG)) > 50 and len(bpe.chunks("漢字、" * 5000)) > 2
+    for deal in (3000, bpe.DEAL):
+        got = by_id(bpe.digests(bpe.encode(docs, chunk=2000, deal=deal)))
+        for k, t in enumerate(TEXTS):
+            ids = ranks.encode_ordinary(t or "")
+            assert got[k]["n_tokens"] == len(ids)
+            assert got[k]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+            assert got[k]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
     assert None in got and bpe.digests(bpe.encode(docs)).count() == len(TEXTS) + 2
     assert bpe.digests(bpe.encode(empty)).count() == 0
 
@@ -175,6 +177,14 @@ def test_chat(spark):
     assert [tuple(t) for t in back[1]["turns"]] == [(r, t) for _, _, r, t in rows[:3]] and back[1]["loss_text"] == control and back[1]["valid"]
     assert not back[2]["valid"] and [tuple(t) for t in back[2]["turns"]] == [("", "x"), ("assistant", "")]
     assert len(back[3]["turns"]) == 2 and None in back
+    assert {k: back[k]["state"] for k in back} == {1: "assistant", 2: "error", 3: "error", None: "user"}
+    made = chat_format.format_chats(df)
+    for r in made.collect():
+        raw = r["formatted"].encode()
+        assert "".join(s["text"] for s in r["segments"]) == r["formatted"]
+        assert [raw[m["start"] : m["start"] + m["length"]].decode() for m in r["mask"]] == [s["text"] for s in r["segments"] if s["loss"]]
+    plan = chat_format.digests(chat_format.read_back(made))._jdf.queryExecution().optimizedPlan().toString()
+    assert "error" in plan and "system" in plan  # the machine is in the plan of the digests
     assert chat_format.digests(chat_format.read_back(chat_format.format_chats(df.limit(0)))).count() == 0
 
 
