@@ -40,8 +40,7 @@ def library(path: str):
 
 
 class Encoder:
-    """``ids(texts)``: for each text its ids; ``counts(texts)``: the pre-tokens' lengths in
-    ids, in order (the whole text's as one where the library took it whole)."""
+    """``ids``: a text's ids; ``scan``: its pre-tokens."""
 
     def __init__(self, path: str, kept: int = KEPT):
         self.lib, self.kept, self.table = library(path), kept, {}
@@ -75,31 +74,8 @@ class Encoder:
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.bytes(text), "<u4")
 
-    def pretokens(self, text: str) -> tuple[list[str], np.ndarray]:
-        """Pre-tokens and how many ids each has; for text that goes to the library whole, its
-        own pre-tokens as far as they can be told apart by the ids' offsets."""
-        if self.plain(text):
-            tokens = SCAN.findall(text)
-            self.learn(tokens)
-            return tokens, np.fromiter((len(self.table[x]) // 4 for x in tokens), np.int64, len(tokens))
-        e = self.lib.encode(text, add_special_tokens=False)
-        starts = [a for _, (a, _) in self.lib.pre_tokenizer.pre_tokenize_str(text)]
-        specials = [m.span() for x in self.special for m in re.finditer(re.escape(x), text)]
-        if specials:  # a special string is one token, and what is around it is scanned by itself
-            parts, at = [], 0
-            for a, b in sorted(specials):
-                parts += [(at, a, False), (a, b, True)]
-                at = b
-            tokens, counts = [], []
-            for a, b, one in [*parts, (at, len(text), False)]:
-                if one:
-                    tokens.append(text[a:b])
-                    counts.append(1)
-                elif b > a:
-                    t, c = self.pretokens(text[a:b])
-                    tokens += t
-                    counts += c.tolist()
-            return tokens, np.asarray(counts, np.int64)
-        ends = [*starts[1:], len(text)] if starts else []
-        at = np.searchsorted(np.asarray(starts), [a for a, _ in e.offsets], "right") - 1 if starts else np.zeros(0, int)
-        return [text[a:b] for a, b in zip(starts, ends, strict=True)], np.bincount(at, minlength=len(starts)).astype(np.int64)
+    def scan(self, text: str) -> list[str]:
+        """Pre-tokens of a text in which no special string is."""
+        if PLAIN.match(text):
+            return SCAN.findall(text)
+        return [text[a:b] for _, (a, b) in self.lib.pre_tokenizer.pre_tokenize_str(text)]

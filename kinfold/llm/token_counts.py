@@ -1,11 +1,14 @@
 """Exact token counts at every prefix of a text, by dynamic programming.
 
-Two levels. Over the pre-tokens: count at the end of one = count before it + its ids.
-Inside a pre-token, over its bytes: the encoding of the first k bytes ends with the only
-token t such that the encoding of the first k - len(t) bytes ends with a token u for
-which (u, t) is what the pair's own bytes encode to; count[k] = count[k - len(t)] + 1.
-The inner level is worked out for those pre-tokens in which a question falls, and kept.
-Truncation and budget questions are then answered by looking up, without re-encoding.
+For each text an array holds the number of tokens of each of its prefixes, by code points.
+It is put together from arrays of its pre-tokens, which repeat and are kept: count at a place
+within a pre-token = count before the pre-token + count at that place of it. A pre-token's own
+array comes from a dynamic programme over its bytes: the encoding of the first k bytes ends
+with the only token t such that the encoding of the first k - len(t) bytes ends with a token u
+for which (u, t) is what the pair's own bytes encode to; count[k] = count[k - len(t)] + 1.
+Where a prefix ends inside white space of several characters, that is one pre-token as far as
+it goes, whatever the text has after it. The number of tokens, truncation and budget
+questions are then answered by looking up, without encoding again.
 
 Cases: a null or empty text has 0 tokens and 0 bytes; a null id is kept; equal rows each
 give a row; an empty table gives an empty one; further columns are dropped.
@@ -14,6 +17,7 @@ give a row; an empty table gives an empty one; further columns are dropped.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +42,13 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in same} | {b: chr(256 + k) for k, b in enumerate(other)}
 
 
+#: Pre-tokens whose arrays a Python worker keeps at once.
+KEPT = 500_000
+CONTRACTION = re.compile(r"'(?:s|t|re|ve|m|ll|d)\Z")
+#: White space as the library's scanner has it.
+SPACE_ONLY = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+\Z")
+
+
 class PrefixCounts:
     """Prefix counts of texts for one tokenizer."""
 
@@ -45,6 +56,7 @@ class PrefixCounts:
         self.encoder = Encoder(path)
         letters = byte_letters()
         self.letters = letters
+        self.special = re.compile("|".join(map(re.escape, sorted(self.encoder.special, key=len, reverse=True))) or r"(?!)")
         self.vocabulary = set(self.encoder.lib.get_vocab(with_added_tokens=False))
         self.longest = max(map(len, self.vocabulary))
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -59,57 +71,70 @@ class PrefixCounts:
         return self.pairs[u, t]
 
     def inside(self, token: str) -> np.ndarray:
-        """Counts at each byte prefix of one pre-token, from 0 bytes to all."""
+        """Counts at each prefix of one pre-token, from 1 code point to all."""
         if token not in self.inner:
-            if len(self.inner) > 200_000:
+            if len(self.inner) > KEPT:
                 self.inner.clear()
-            s = "".join(map(self.letters.__getitem__, token.encode()))
-            counts, last = np.zeros(len(s) + 1, np.int64), [""] * (len(s) + 1)
-            for k in range(1, len(s) + 1):
-                for n in range(min(k, self.longest), 0, -1):
-                    t = s[k - n : k]
-                    if t in self.vocabulary and (n == k or self.follows(last[k - n], t)):
-                        counts[k], last[k] = counts[k - n] + 1, t
-                        break
-            self.inner[token] = counts
+            if CONTRACTION.match(token):  # cut short, it is a mark and a letter
+                self.inner[token] = np.array([1, 2, 0][: len(token)], np.int32)
+                self.inner[token][-1] = self.over_bytes(token)[-1]
+            else:
+                self.inner[token] = self.over_bytes(token)
         return self.inner[token]
 
-    def table(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Pre-tokens, where each starts (code points; one more for the end), and the count
-        of tokens before each (one more for all)."""
-        tokens, counts = self.encoder.pretokens(text)
-        return tokens, np.concatenate(([0], np.cumsum([len(x) for x in tokens], dtype=np.int64))), np.concatenate(([0], np.cumsum(counts)))
-
-    def count_at(self, text: str, k: int, table=None) -> int:
-        """Tokens of text[:k]."""
-        tokens, starts, before = table or self.table(text)
-        k = min(max(k, 0), len(text))
-        j = int(np.searchsorted(starts, k, "right")) - 1
-        if starts[j] == k and not (k and text[k - 1].isspace()):
-            return int(before[j])
-        # what stands before the cut in its own pre-token, with white space before it, which a
-        # following visible character had split
-        while j > 0 and text[starts[j] : k].strip() == "" and text[starts[j] - 1].isspace():
-            j -= 1
-        if j < len(tokens) and tokens[j] in self.encoder.special:  # part of a special string is ordinary text
-            while j > 0 and tokens[j - 1] not in self.encoder.special:
-                j -= 1
-        rest = text[starts[j] : k]
-        parts = self.encoder.pretokens(rest)[0]
-        return int(before[j]) + sum(1 if x in self.encoder.special else int(self.inside(x)[-1]) for x in parts)
-
-    def cut(self, text: str, budget: int, table=None) -> int:
-        """The most code points k for which text[:k] and no shorter prefix passes the budget:
-        all prefixes up to k have budget tokens at most."""
-        table = table or self.table(text)
-        tokens, starts, before = table
-        if before[-1] <= budget:
-            return len(text)
-        j = max(0, int(np.searchsorted(before, budget, "right")) - 1)
-        k = int(starts[j])
-        while k < len(text) and self.count_at(text, k + 1, table) <= budget:
-            k += 1
-        return k
+    def over_bytes(self, token: str) -> np.ndarray:
+        raw = token.encode()
+        s = raw.decode("latin-1").translate(self.letters)
+        counts, last = [0] * (len(s) + 1), [""] * (len(s) + 1)
+        for k in range(1, len(s) + 1):
+            for n in range(min(k, self.longest), 0, -1):
+                t = s[k - n : k]
+                if t in self.vocabulary and (n == k or self.follows(last[k - n], t)):
+                    counts[k], last[k] = counts[k - n] + 1, t
+                    break
+        out = np.array(counts[1:], np.int32)
+        if len(raw) == len(token):
+            return out
+        return out[np.flatnonzero(np.append((np.frombuffer(raw, np.uint8)[1:] & 0xC0) != 0x80, True))]  # ends of code points
+
+    def ordinary(self, text: str) -> np.ndarray:
+        """Counts at each prefix of a text without special strings, from 0 code points to all."""
+        if not text:
+            return np.zeros(1, np.int64)
+        tokens = self.encoder.scan(text)
+        parts = list(map(self.inside, tokens))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        before = np.cumsum(np.fromiter((x[-1] for x in parts), np.int64, len(parts)))
+        out = np.zeros(len(text) + 1, np.int64)
+        out[1:] = np.concatenate(parts)
+        out[1:] += np.repeat(before - [x[-1] for x in parts], sizes)
+        ends = np.cumsum(sizes)
+        for j in [j for j, x in enumerate(tokens) if SPACE_ONLY.match(x)]:
+            e = int(ends[j])
+            if e < len(text) and SPACE_ONLY.match(text[e]):  # the last of a run, which what follows takes or splits off
+                out[e + 1] = before[j] - parts[j][-1] + self.inside(tokens[j] + text[e])[-1]
+        return out
+
+    def table(self, text: str) -> np.ndarray:
+        """Tokens of text[:k] for each k from 0 to the text's length."""
+        out, at = [np.zeros(1, np.int64)], 0
+        if not any(x in text for x in self.encoder.special):
+            return self.ordinary(text)
+        for m in self.special.finditer(text):
+            # a special string is one token if it is whole, and ordinary text after what is before it if not
+            one, size = self.ordinary(text[at : m.end()]), m.start() - at
+            base = int(out[-1][-1])
+            out.append(base + one[1:-1])
+            out.append(np.array([base + one[size] + 1]))
+            at = m.end()
+        rest = self.ordinary(text[at:])
+        return np.concatenate([*out, int(out[-1][-1]) + rest[1:]])
+
+    @staticmethod
+    def cut(table: np.ndarray, budget: int) -> int:
+        """The most code points k for which all prefixes up to k have budget tokens at most."""
+        over = table > budget
+        return int(over.argmax()) - 1 if over.any() else len(table) - 1
 
 
 @functools.lru_cache(maxsize=2)
@@ -119,7 +144,7 @@ def prefix_counts(path: str) -> PrefixCounts:
 
 def token_counts(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (more than ``limit``) and limit_chars: how many
-    code points can be kept within the limit."""
+    code points can be kept within the limit. All are read off the text's array of counts."""
     small_batches(docs.sparkSession)
     path = path or public_tokenizers.path(TOKENIZER)
 
@@ -129,8 +154,8 @@ def token_counts(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -
             out = []
             for text in b.text:
                 t = counts.table(text)
-                n = int(t[2][-1])
-                out.append((len(text.encode()), n, n > limit, len(text) if n <= limit else counts.cut(text, limit, t)))
+                n = int(t[-1])
+                out.append((len(text.encode()), n, n > limit, counts.cut(t, limit)))
             yield pd.concat([b[["doc_id"]].astype({"doc_id": "Int64"}), pd.DataFrame(out, columns=["n_bytes", "n_tokens", "over_limit", "limit_chars"])], axis=1)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

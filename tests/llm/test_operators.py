@@ -73,15 +73,25 @@ def test_stitched_chunks(ranks, chunk):
 
 def test_counts_and_every_prefix(docs, empty):
     lib = Tokenizer.from_file(public_tokenizers.path(token_counts.TOKENIZER))
-    want = {k: len(lib.encode(t or "", add_special_tokens=False).ids) for k, t in enumerate(TEXTS)}
+    total = {k: len(lib.encode(t or "", add_special_tokens=False).ids) for k, t in enumerate(TEXTS)}
     got = by_id(token_counts.token_counts(docs))
-    assert {k: got[k]["n_tokens"] for k in want} == want
-    assert all(got[k]["n_bytes"] == len((t or "").encode()) and got[k]["over_limit"] == (want[k] > 1024) for k, t in enumerate(TEXTS))
+    assert {k: got[k]["n_tokens"] for k in total} == total
+    assert all(got[k]["n_bytes"] == len((t or "").encode()) and got[k]["over_limit"] == (total[k] > 1024) for k, t in enumerate(TEXTS))
     counts = token_counts.PrefixCounts(public_tokenizers.path(token_counts.TOKENIZER))
-    for text in [TEXTS[5], LONG[:200], "a  b\n\n c 've 'v <|endoftext|>  x"]:
+    library = counts.encoder.lib
+    r = random.Random(11)
+    parts = ["a", "the", " ", "  ", "\n", "\n\n", "'s", "'ve", "'", "²", "ª", "\x1c", "\x85", "\xa0", "日本語", "<|endoftext|>", "<|", "\r\n", "ß", "é", "!!", " x", "\t", "🎉", "e\u0301"]
+    mixed = ["".join(r.choice(parts) for _ in range(r.randint(1, 25))) for _ in range(300)]
+    for text in [TEXTS[5], LONG[:200], "a  b\n\n c 've 'v <|endoftext|>  x", "!<|endoftext|><|endoftext|>", *mixed]:
         t = counts.table(text)
-        for k in range(len(text) + 1):
-            assert counts.count_at(text, k, t) == len(lib.encode(text[:k], add_special_tokens=False).ids)
+        want = [len(library.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+        assert t.tolist() == want, text
+        for budget in (0, 1, 3, want[-1]):
+            assert counts.cut(t, budget) == max(k for k in range(len(text) + 1) if max(want[: k + 1]) <= budget)
+    assert all((got[k]["limit_chars"] == len(t or "")) == (not got[k]["over_limit"]) for k, t in enumerate(TEXTS))
+    calls = []
+    counts.encoder.lib = type("Lib", (), {"__getattr__": lambda self, name: calls.append(name) or getattr(library, name)})()
+    assert counts.cut(t, 2) >= 0 and not calls  # questions encode nothing
     assert token_counts.token_counts(empty).count() == 0
 
 
@@ -91,8 +101,7 @@ def test_pretokens_agree_with_the_library():
     for _ in range(1500):
         text = "".join(r.choice(parts) for _ in range(r.randint(0, 25)))
         assert e.ids(text).tolist() == e.whole(text).tolist()
-        tokens, n = e.pretokens(text)
-        assert "".join(tokens) == text and n.sum() == len(e.whole(text))
+        assert "".join(e.scan(text)) == text
 
 
 def test_token_files(docs, empty, tmp_path):
