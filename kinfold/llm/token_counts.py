@@ -42,8 +42,9 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in same} | {b: chr(256 + k) for k, b in enumerate(other)}
 
 
-#: Pre-tokens whose arrays a Python worker keeps at once.
-KEPT = 500_000
+#: Pre-tokens whose arrays a Python worker keeps at once, and beginnings of them with their counts
+#: and last tokens; of those no longer ones than SHORT bytes.
+KEPT, SHORT = 500_000, 24
 CONTRACTION = re.compile(r"'(?:s|t|re|ve|m|ll|d)\Z")
 #: White space as the library's scanner has it.
 SPACE_ONLY = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+\Z")
@@ -60,7 +61,8 @@ class PrefixCounts:
         self.vocabulary = set(self.encoder.lib.get_vocab(with_added_tokens=False))
         self.longest = max(map(len, self.vocabulary))
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.inner: dict[str, np.ndarray] = {}
+        self.inner: dict[str, bytes] = {}
+        self.steps: dict[str, tuple[int, str]] = {}
 
     def follows(self, u: str, t: str) -> bool:
         """Whether the bytes of u and t together encode to just u, t."""
@@ -70,29 +72,31 @@ class PrefixCounts:
             self.pairs[u, t] = [x.value for x in self.encoder.lib.model.tokenize(u + t)] == [u, t]
         return self.pairs[u, t]
 
-    def inside(self, token: str) -> np.ndarray:
-        """Counts at each prefix of one pre-token, from 1 code point to all."""
-        if token not in self.inner:
-            if len(self.inner) > KEPT:
-                self.inner.clear()
-            if CONTRACTION.match(token):  # cut short, it is a mark and a letter
-                self.inner[token] = np.array([1, 2, 0][: len(token)], np.int32)
-                self.inner[token][-1] = self.over_bytes(token)[-1]
-            else:
-                self.inner[token] = self.over_bytes(token)
-        return self.inner[token]
+    def inside(self, token: str) -> bytes:
+        """Counts at each prefix of one pre-token, from 1 code point to all, as 32-bit integers."""
+        if CONTRACTION.match(token):  # cut short, it is a mark and a letter
+            return np.array([*[1, 2][: len(token) - 1], self.over_bytes(token)[-1]], "<u4").tobytes()
+        return self.over_bytes(token).tobytes()
 
     def over_bytes(self, token: str) -> np.ndarray:
         raw = token.encode()
         s = raw.decode("latin-1").translate(self.letters)
-        counts, last = [0] * (len(s) + 1), [""] * (len(s) + 1)
+        steps, counts, last = self.steps, [0], [""]
+        if len(steps) > KEPT:
+            steps.clear()
         for k in range(1, len(s) + 1):
-            for n in range(min(k, self.longest), 0, -1):
-                t = s[k - n : k]
-                if t in self.vocabulary and (n == k or self.follows(last[k - n], t)):
-                    counts[k], last[k] = counts[k - n] + 1, t
-                    break
-        out = np.array(counts[1:], np.int32)
+            known = steps.get(s[:k]) if k <= SHORT else None
+            if known is None:
+                for n in range(min(k, self.longest), 0, -1):
+                    t = s[k - n : k]
+                    if t in self.vocabulary and (n == k or self.follows(last[k - n], t)):
+                        known = counts[k - n] + 1, t
+                        break
+                if k <= SHORT:
+                    steps[s[:k]] = known
+            counts.append(known[0])
+            last.append(known[1])
+        out = np.array(counts[1:], "<u4")
         if len(raw) == len(token):
             return out
         return out[np.flatnonzero(np.append((np.frombuffer(raw, np.uint8)[1:] & 0xC0) != 0x80, True))]  # ends of code points
@@ -101,18 +105,21 @@ class PrefixCounts:
         """Counts at each prefix of a text without special strings, from 0 code points to all."""
         if not text:
             return np.zeros(1, np.int64)
-        tokens = self.encoder.scan(text)
-        parts = list(map(self.inside, tokens))
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        before = np.cumsum(np.fromiter((x[-1] for x in parts), np.int64, len(parts)))
-        out = np.zeros(len(text) + 1, np.int64)
-        out[1:] = np.concatenate(parts)
-        out[1:] += np.repeat(before - [x[-1] for x in parts], sizes)
+        tokens, inner = self.encoder.scan(text), self.inner
+        if len(inner) > KEPT:
+            inner.clear()
+        for x in set(tokens).difference(inner):
+            inner[x] = self.inside(x)
+        parts = np.frombuffer(b"".join(map(inner.__getitem__, tokens)), "<u4").astype(np.int64)
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
         ends = np.cumsum(sizes)
-        for j in [j for j, x in enumerate(tokens) if SPACE_ONLY.match(x)]:
+        own = parts[ends - 1]
+        before = np.cumsum(own) - own
+        out = np.concatenate([[0], parts + np.repeat(before, sizes)])
+        for j in [j for j, x in enumerate(tokens) if x.isspace() and SPACE_ONLY.match(x)]:
             e = int(ends[j])
             if e < len(text) and SPACE_ONLY.match(text[e]):  # the last of a run, which what follows takes or splits off
-                out[e + 1] = before[j] - parts[j][-1] + self.inside(tokens[j] + text[e])[-1]
+                out[e + 1] = before[j] + np.frombuffer(self.inside(tokens[j] + text[e]), "<u4")[-1]
         return out
 
     def table(self, text: str) -> np.ndarray:
