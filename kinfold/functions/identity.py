@@ -49,6 +49,17 @@ def genotypes(n_alleles: int) -> list[tuple[int, int]]:
     return [(i, j) for j in range(n_alleles) for i in range(j + 1)]
 
 
+def mode(i: int, j: int, k: int, l: int) -> int:
+    """MODE for given alleles."""
+    if i == j:
+        return (1 if i == k else 2) if k == l else 3 if i == k else 4 if i == l else 5
+    if k == l:
+        return 6 if i == k else 7 if j == k else 8
+    if i == k:
+        return 9 if j == l else 11
+    return (10 if j == k else 12) if i == l else 13 if j == k else 14 if j == l else 15
+
+
 def joint_genotypes(spark: SparkSession) -> DataFrame:
     """All pairs of genotypes for 2, 3 and 4 alleles and their pattern: 145 rows."""
     rows = [(a, x, y, *g, *h) for a in (2, 3, 4) for x, g in enumerate(genotypes(a)) for y, h in enumerate(genotypes(a))]

@@ -6,6 +6,8 @@ the only shuffle is that of the partial sums, keyed by pair.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +50,8 @@ def quadratic_terms(sites: DataFrame) -> DataFrame:
     """Rows r, c, q of the upper triangle of Q, the mean over sites of the sum of m m'."""
     model = site_model(sites)
     sums = [F.sum(F.col(M[r]) * F.col(M[c])).alias(f"q{r}_{c}") for r in range(9) for c in range(r, 9)]
-    one = model.agg(*sums, F.count_distinct("site_id").alias("v"))
+    # sites are counted where their first pair of genotypes stands, without an exchange by site
+    one = model.agg(*sums, F.count(F.when((F.col("gx") == 0) & (F.col("gy") == 0), 1)).alias("v"))
     parts = F.array(*(F.struct(F.lit(r + 1).alias("r"), F.lit(c + 1).alias("c"), (F.col(f"q{r}_{c}") / F.col("v")).alias("q")) for r in range(9) for c in range(r, 9)))
     return one.select(F.explode(parts).alias("e")).select("e.*")
 
@@ -64,12 +67,16 @@ def mixture_rows(sites: DataFrame, limit: int | None = None) -> DataFrame:
     """For each site and pair the nine component likelihoods m1 to m9: the sum over pairs of
     genotypes of the samples' likelihoods and the model. sites: site_id, n_alleles, af, gl
     (array over samples of arrays). Sites where either sample has a missing value go."""
-    # the model of a site, as an array over genotypes of x of arrays over those of y
-    model = site_model(sites).groupBy("site_id").agg(F.sort_array(F.collect_list(F.struct("gx", "gy", *M))).alias("model"))
+    # the model of a site, as an array over genotypes of x of arrays over those of y, made within
+    # its row from the patterns of the genotypes of 2, 3 and 4 alleles: three rows, sent to all
+    patterns = joint_genotypes(sites.sparkSession).groupBy("n_alleles").agg(F.sort_array(F.collect_list(F.struct("gx", "gy", "i", "j", "k", "l", "mode"))).alias("_patterns"))
+    states = ", ".join(f"CAST({re.sub(r'p([ijkl])', r'af[e.\1]', state_sql(k + 1, 'e.mode'))} AS DOUBLE) AS {m}" for k, m in enumerate(M))
+    modelled = sites.select("site_id", "n_alleles", "af", "gl").join(F.broadcast(patterns), "n_alleles")
+    modelled = modelled.select("site_id", "n_alleles", "gl", F.explode(F.array(F.expr(f"transform(_patterns, e -> struct({states}))"))).alias("model"))
     g = F.col("n_alleles") * (F.col("n_alleles") + 1) / 2
     table = lambda m: F.transform(F.sequence(F.lit(0), g.cast("int") - 1), lambda x: F.transform(F.slice("model", (x * g).cast("int") + 1, g.cast("int")), lambda e: e[m]))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
-    joined = sites.select("site_id", "n_alleles", "gl").join(model, "site_id").select("site_id", "n_alleles", "gl", *(table(m).alias(m) for m in M))
+    joined = modelled.select("site_id", "n_alleles", "gl", *(table(m).alias(m) for m in M))
     # the sum over genotypes of y is made once a sample, so that a pair has only that over x
     half = F.transform("gl", lambda row: F.struct(*(F.transform(m, lambda w: dot(w, row)).alias(m) for m in M)))
     there = F.transform("gl", lambda row: ~F.exists(row, F.isnan))

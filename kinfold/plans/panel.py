@@ -12,6 +12,13 @@ from kinfold.operators.sites import count_frequencies, normalise_gl, pl_to_likel
 SAMPLES = 32
 
 
+def fenced(df: DataFrame, **made: Column) -> DataFrame:
+    """Adds columns that filters above are not pushed below: exploding an array adds such a filter
+    on its size, into which all that the array is made of would be written once more."""
+    row = F.explode(F.array(F.struct(*(c.alias(n) for n, c in made.items()))))
+    return df.select("*", row.alias("_made")).select(*df.columns, "_made.*")
+
+
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """site_id, n_alleles, lo, hi, g: arrays over samples."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("site_id"), (F.lit(2) + F.col("label") % 3).cast("int").alias("n_alleles"), "embedding")
@@ -20,7 +27,7 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     def quantised(v: Column) -> Column:
         return F.greatest(F.lit(0), F.least(a - 1, F.floor((v.cast("double") + 0.1875) * a / 0.375).cast("int")))
 
-    q = e.select("site_id", "n_alleles", F.transform("embedding", quantised).alias("q"))
+    q = fenced(e, q=F.transform("embedding", quantised)).drop("embedding")
     at = lambda k: F.get("q", k)
     quarter = F.col("site_id") % 4
 
@@ -29,9 +36,9 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
         second = F.when((s == 1) & (quarter == 0), at(F.lit(SAMPLES))).when((s == 4) & (quarter == 0), first).otherwise(at(s + SAMPLES))
         return F.struct(F.least(first, second).alias("lo"), F.greatest(first, second).alias("hi"))
 
-    p = q.select("site_id", "n_alleles", F.transform(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), alleles).alias("c"))
+    p = fenced(q, c=F.transform(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), alleles))
     g = F.transform("c", lambda c: genotype_index(c["lo"], c["hi"]))
-    return p.select("site_id", "n_alleles", F.col("c.lo").alias("lo"), F.col("c.hi").alias("hi"), g.alias("g"))
+    return fenced(p.select("site_id", "n_alleles", "c"), lo=F.col("c.lo"), hi=F.col("c.hi"), g=g).drop("c")
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +49,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sites(spark, sf_dir)
-    return s.withColumn("af", count_frequencies(F.col("n_alleles"), F.concat("lo", "hi")))
+    return fenced(s, af=count_frequencies(F.col("n_alleles"), F.concat("lo", "hi")))
 
 
 def likelihoods(spark: SparkSession, sf_dir: str, tag: str = "PL") -> DataFrame:
@@ -53,12 +60,12 @@ def likelihoods(spark: SparkSession, sf_dir: str, tag: str = "PL") -> DataFrame:
         value = lambda k: F.when((F.col("site_id") + s) % 17 != 0, F.when(k == g, 0).otherwise((10 + (7 * F.col("site_id") + 3 * s + k) % 21).cast("int")))
         return F.transform(F.sequence(F.lit(0), n - 1), value)
 
-    p = frequencies(spark, sf_dir).withColumn("pl", F.transform("g", one))
+    p = fenced(frequencies(spark, sf_dir), pl=F.transform("g", one))
     if tag == "GL":
         gl = F.transform("pl", lambda r: normalise_gl(F.transform(r, lambda x: F.coalesce((-x / 10.0).cast("float").cast("double"), F.lit(float("nan"))))))
     else:
         gl = F.transform("pl", pl_to_likelihood)
-    return p.withColumn("gl", gl)
+    return fenced(p, gl=gl)
 
 
 PANEL_SQL = """

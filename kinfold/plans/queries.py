@@ -23,8 +23,7 @@ STATES = ", ".join(f"CAST({state_sql(k)} AS DOUBLE) AS m{k}" for k in range(1, 1
 #: Over a relation r with i, j, k, l and af: the pattern and the nine probabilities.
 MODEL = f"SELECT *, {STATES} FROM (SELECT *, {MODE} AS mode, af[i + 1] AS pi, af[j + 1] AS pj, af[k + 1] AS pk, af[l + 1] AS pl FROM r)"
 PAIR_CALLS = "SELECT x.site_id, x.n_alleles, x.sample_id AS x, y.sample_id AS y, x.lo AS i, x.hi AS j, y.lo AS k, y.hi AS l, af FROM calls x JOIN calls y ON x.site_id = y.site_id AND x.sample_id <= y.sample_id JOIN afs ON afs.site_id = x.site_id"
-SMALL = 6  # samples of the pairs that the SQL compares site by site; the queries take all
-MIXTURE = f""", prob AS (SELECT site_id, n_alleles, sample_id, k, CASE WHEN pl IS NULL THEN NULL ELSE pow(CAST(10 AS DOUBLE), -pl / CAST(10 AS DOUBLE)) END AS p FROM lik WHERE sample_id < {SMALL}),
+MIXTURE = f""", prob AS (SELECT site_id, n_alleles, sample_id, k, CASE WHEN pl IS NULL THEN NULL ELSE pow(CAST(10 AS DOUBLE), -pl / CAST(10 AS DOUBLE)) END AS p FROM lik),
 r AS (SELECT a.site_id, a.n_alleles, g.g AS gx, h.g AS gy, g.i AS i, g.j AS j, h.i AS k, h.j AS l, af FROM afs a JOIN geno g ON g.n_alleles = a.n_alleles JOIN geno h ON h.n_alleles = a.n_alleles),
 model AS ({MODEL}),
 mix AS (SELECT x.site_id, x.n_alleles, x.sample_id AS x, y.sample_id AS y, {', '.join(f'sum(x.p * y.p * {m}) AS {m}' for m in M)}
@@ -253,7 +252,7 @@ def site_class_counts(spark, sf_dir):
 
 
 @query(PANEL + f"""SELECT x.sample_id AS x, y.sample_id AS y, count(DISTINCT x.site_id) AS n_sites FROM lik x JOIN lik y ON x.site_id = y.site_id AND x.k = 0 AND y.k = 0 AND y.sample_id >= x.sample_id
-  WHERE x.pl IS NOT NULL AND y.pl IS NOT NULL AND x.sample_id < {SMALL} AND y.sample_id < {SMALL} GROUP BY ALL""")
+  WHERE x.pl IS NOT NULL AND y.pl IS NOT NULL GROUP BY ALL""")
 def nan_pair_filter(spark, sf_dir):
     rows = pairs.pair_rows(panel.likelihoods(spark, sf_dir).select("site_id", "gl"), ("gl",))
     return rows.where(~F.exists("gl_x", F.isnan) & ~F.exists("gl_y", F.isnan)).groupBy("x", "y").agg(F.count("*").alias("n_sites"))

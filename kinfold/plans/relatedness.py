@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions import solver
-from kinfold.functions.identity import STATES, genotypes, kinship
+from kinfold.functions.identity import STATES, genotypes, kinship, mode
 from kinfold.operators.pairs import D, linear_terms, quadratic_terms
 from kinfold.operators.sites import apply_threshold, count_frequencies, reduce_sites
 
@@ -79,15 +79,6 @@ def estimate_frequencies(sites: DataFrame, iterations: int = 100) -> DataFrame:
 
 def mode_tables() -> dict[int, list[tuple]]:
     """For 2, 3, 4 alleles: (gx, gy, alleles, pattern)."""
-    def mode(i: int, j: int, k: int, l: int) -> int:
-        if i == j:
-            return (1 if i == k else 2) if k == l else 3 if i == k else 4 if i == l else 5
-        if k == l:
-            return 6 if i == k else 7 if j == k else 8
-        if i == k:
-            return 9 if j == l else 11
-        return (10 if j == k else 12) if i == l else 13 if j == k else 14 if j == l else 15
-
     return {a: [(x, y, g + h, mode(*g, *h)) for x, g in enumerate(genotypes(a)) for y, h in enumerate(genotypes(a))] for a in (2, 3, 4)}
 
 
