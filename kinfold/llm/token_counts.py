@@ -44,7 +44,7 @@ def byte_letters() -> dict[int, str]:
 
 #: Pre-tokens whose arrays a Python worker keeps at once, and beginnings of them with their counts
 #: and last tokens; of those no longer ones than SHORT bytes.
-KEPT, SHORT = 500_000, 24
+KEPT, STEPS, SHORT = 1_000_000, 500_000, 24
 CONTRACTION = re.compile(r"'(?:s|t|re|ve|m|ll|d)\Z")
 #: White space as the library's scanner has it.
 SPACE_ONLY = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+\Z")
@@ -82,7 +82,7 @@ class PrefixCounts:
         raw = token.encode()
         s = raw.decode("latin-1").translate(self.letters)
         steps, counts, last = self.steps, [0], [""]
-        if len(steps) > KEPT:
+        if len(steps) > STEPS:
             steps.clear()
         for k in range(1, len(s) + 1):
             known = steps.get(s[:k]) if k <= SHORT else None
