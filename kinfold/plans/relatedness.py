@@ -57,9 +57,10 @@ def symmetric(lik: np.ndarray, n_alleles: int) -> np.ndarray:
     return out
 
 
-def estimate_frequencies(sites: DataFrame, iterations: int = 100) -> DataFrame:
+def estimate_frequencies(sites: DataFrame, iterations: int = 100, carry: bool = False) -> DataFrame:
     """Maximum likelihood frequencies of each site (site_id, n_alleles, gl), samples with a missing
-    value left out. A row is a site; nothing is shuffled."""
+    value left out. A row is a site; nothing is shuffled. ``carry``: n_alleles and gl stay, so that
+    nothing has to be joined back and equal records stay apart."""
     s = solver.Settings(outer=iterations)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,9 +73,13 @@ def estimate_frequencies(sites: DataFrame, iterations: int = 100) -> DataFrame:
                     raise ValueError(f"no sample has data at site {site}")
                 r = solver.frequencies(symmetric(lik, a), s)
                 out.append((site, r.x.tolist(), r.iterations, r.objective))
-            yield pd.DataFrame(out, columns=["site_id", "af", "af_iterations", "af_objective"])
+            found = pd.DataFrame(out, columns=["site_id", "af", "af_iterations", "af_objective"])
+            if carry:
+                found["n_alleles"], found["gl"] = b.n_alleles.to_numpy(), [[row.tolist() for row in gl] for gl in b.gl]
+            yield found
 
-    return sites.select("site_id", "n_alleles", "gl").mapInPandas(run, "site_id long, af array<double>, af_iterations long, af_objective double")
+    schema = "site_id long, af array<double>, af_iterations long, af_objective double" + ", n_alleles int, gl array<array<double>>" * carry
+    return sites.select("site_id", F.col("n_alleles").cast("int").alias("n_alleles"), "gl").mapInPandas(run, schema)
 
 
 def mode_tables() -> dict[int, list[tuple]]:
@@ -109,7 +114,7 @@ def relatedness_gl(sites: DataFrame, iterations: int = 100, samples: int | None
     n = n["n"]
     least = 1 / (2 * n) if least is None else least
     if "af" not in sites.columns:
-        sites = sites.join(estimate_frequencies(sites, iterations).select("site_id", "af"), "site_id")
+        sites = estimate_frequencies(sites, iterations, carry=True)
     sites = reduce_sites(sites.select("site_id", "n_alleles", "gl", apply_threshold(F.col("af"), least).alias("af")))
     used = n if samples is None else samples
     if used > n:

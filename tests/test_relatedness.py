@@ -103,6 +103,16 @@ def test_vcf(spark, tmp_path):
         vcf.read_gt(spark, str(bad)).sites.collect()
 
 
+def test_equal_records_count_each(spark):
+    """Two equal sites weigh as much as one site given twice under other ids."""
+    some = panel.likelihoods(spark, SF).drop("af").where("site_id < 60").select("site_id", "n_alleles", "gl")
+    kept = {}
+    for name, shift in (("equal", 0), ("other", 1000)):
+        twice = some.unionByName(some.where("site_id < 5").withColumn("site_id", F.col("site_id") + shift))
+        kept[name] = {(r["x"], r["y"]): r["objective"] for r in relatedness.relatedness_gl(twice, samples=3).collect()}
+    assert len(kept["equal"]) == 6 and all(abs(kept["equal"][k] - v) < 1e-9 for k, v in kept["other"].items())
+
+
 def test_nan_is_no_frequency(spark):
     df = spark.createDataFrame([(1, 3, [0.5, float("nan"), 0.5])], "site_id long, n_alleles int, af array<double>")
     assert sites.reduce_sites(df).first()["af"] == [0.5, 0.5]
