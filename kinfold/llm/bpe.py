@@ -24,6 +24,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,7 +81,7 @@ def chunks(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[
 def stitches(text: str, zone: int, first: bool, pattern: str) -> tuple[int, int]:
     """The part of a chunk that is its own piece: from the stitch with the chunk before to
     the stitch with the one after, both boundaries of this chunk's own pre-tokens."""
-    ends = set(np.cumsum([len(x) for x in regex.findall(pattern, text)]).tolist())
+    ends = set(itertools.accumulate(map(len, regex.findall(pattern, text))))
 
     def sync(at: int) -> int:
         return next(m.end() for m in SURE.finditer(text, at) if m.end() in ends)
