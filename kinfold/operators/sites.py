@@ -68,6 +68,20 @@ def count_frequencies(n_alleles: Column, alleles: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n_alleles - 1), lambda a: F.size(F.filter(alleles, lambda x: x == a)) / F.size(alleles).cast("double"))
 
 
+def panel_frequencies(n_alleles: Column, alleles: Column) -> Column:
+    """Share of each allele among the alleles of a panel; missing ones (null or negative) don't
+    count, and where none is left all shares are 0."""
+    seen = F.filter(alleles, lambda x: x >= 0)
+    share = lambda a, all_: F.when(F.size(all_) == 0, F.lit(0.0)).otherwise(F.size(F.filter(all_, lambda x: x == a)) / F.size(all_).cast("double"))
+    return let(seen, lambda all_: F.transform(F.sequence(F.lit(0), n_alleles - 1), lambda a: share(a, all_)))
+
+
+def complete_and_varied(alleles: Column, n: int) -> Column:
+    """Whether all ``n`` alleles of a site are there (not null, not negative) and at least two
+    of them differ."""
+    return let(F.filter(alleles, lambda x: x >= 0), lambda seen: (F.size(seen) == n) & (F.size(F.array_distinct(seen)) >= 2))
+
+
 def apply_threshold(af: Column, least: float) -> Column:
     """Frequencies above 0 and below least become 0; the rest is scaled to sum 1."""
     if not 0 <= least <= 1:

@@ -338,6 +338,81 @@ def segregating_in_panel(spark, sf_dir):
     return s.where(F.array_max("_a") != F.array_min("_a")).select("site_id")
 
 
+@query(PANEL + """, m AS (SELECT site_id, sample_id, unnest([lo, hi]) AS x FROM calls WHERE (site_id * 7 + sample_id) % 301 <> 0)
+SELECT site_id FROM m GROUP BY site_id HAVING count(*) = 64 AND count(DISTINCT x) >= 2""")
+def complete_and_varied_sites(spark, sf_dir):
+    return panel_with_gaps(spark, sf_dir, 301).where(sites.complete_and_varied(F.col("all"), 2 * panel.SAMPLES)).select("site_id")
+
+
+@query(PANEL + """, m AS (SELECT site_id, unnest([lo, hi]) AS x FROM calls WHERE sample_id >= 4 AND (site_id * 7 + sample_id) % 3 <> 0 AND site_id % 10 <> 0)
+SELECT a.site_id, CAST(a.a AS INT) AS allele, round(CASE WHEN count(x) = 0 THEN 0 ELSE CAST(count(x) FILTER (WHERE x = a.a) AS DOUBLE) / count(x) END, 9) AS af
+FROM af a LEFT JOIN m ON m.site_id = a.site_id GROUP BY a.site_id, a.a""")
+def panel_frequencies(spark, sf_dir):
+    """The first four samples are not of the panel; every tenth site has no calls at all."""
+    s = panel_with_gaps(spark, sf_dir, 3).withColumn("all", F.when(F.col("site_id") % 10 == 0, F.array().cast("array<int>")).otherwise(F.slice("all", 9, 2 * panel.SAMPLES)))
+    af = sites.panel_frequencies(F.col("n_alleles"), F.col("all"))
+    return panel.fenced(s.select("site_id", "n_alleles", "all"), af=af).select("site_id", F.posexplode("af").alias("allele", "af")).withColumn("af", F.round("af", 9))
+
+
+def panel_with_gaps(spark, sf_dir, every: int) -> DataFrame:
+    """The panel's sites with all: both alleles of each sample in turn, some missing as -1."""
+    gap = lambda c, k: F.when((F.col("site_id") * 7 + k) % every == 0, F.lit(-1)).otherwise(c)
+    s = panel.sites(spark, sf_dir)
+    both = F.flatten(F.transform(F.arrays_zip("lo", "hi"), lambda c, k: F.array(gap(c["lo"], k), gap(c["hi"], k))))
+    return panel.fenced(s.select("site_id", "n_alleles", "lo", "hi"), all=both)
+
+
+# Records of two tools made of the nations' coefficients: the depth by the row's place.
+SCORES_SQL = COEFFICIENTS_SQL + ", est AS (SELECT 'r' || x AS rel, 'p' || (y % 2) AS rep, (y - x) * 10 AS depth, * FROM c), truth AS (SELECT rel, rep, " + ", ".join(f"min({d}) AS t{d}" for d in D) + " FROM est WHERE rel <> 'r4' GROUP BY rel, rep)"
+TRUE_KINSHIP_SQL = "td1 + 0.5::DOUBLE * (td3 + td5 + td7) + 0.25::DOUBLE * td8"
+SCORED_SQL = f"""WITH {SCORES_SQL},
+own AS (SELECT 'first' AS tool, rep, depth, rel, {', '.join(D)} FROM est UNION ALL SELECT 'second', rep, depth, rel, {', '.join(mirror(D))} FROM est WHERE depth < 30),
+j AS (SELECT own.*, {', '.join(f't{d}' for d in D)} FROM own JOIN truth USING (rep, rel)
+  UNION ALL SELECT 'true', rep, depth, rel, {', '.join(f't{d}' for d in D)}, {', '.join(f't{d}' for d in D)} FROM (SELECT DISTINCT rep, depth, rel FROM est) JOIN truth USING (rep, rel)),
+scored AS (SELECT rep, depth, rel, tool, {KINSHIP_SQL} AS kinship, ({' + '.join(f'abs({d} - t{d})' for d in D)}) / 2 AS jac_tvd, abs({TRUE_KINSHIP_SQL} - ({KINSHIP_SQL})) AS kin_abs_err, {', '.join(D)} FROM j)
+"""
+
+
+def _scored(spark, sf_dir) -> DataFrame:
+    c = coefficients(spark, sf_dir)
+    est = c.select(F.concat(F.lit("r"), "x").alias("rel"), F.concat(F.lit("p"), F.col("y") % 2).alias("rep"), ((F.col("y") - F.col("x")) * 10).alias("depth"), *D)
+    truth = est.where("rel <> 'r4'").groupBy("rel", "rep").agg(*(F.min(d).alias(d) for d in D))
+    second = est.where("depth < 30").select("rel", "rep", "depth", *(F.col(b).alias(a) for a, b in zip(D, mirror(D), strict=True)))
+    return evaluate.scoring_table({"first": est, "second": second}, truth)
+
+
+@query(SCORED_SQL + f"SELECT rep, depth, rel, tool, round(kinship, 9) AS kinship, round(jac_tvd, 9) AS jac_tvd, round(kin_abs_err, 9) AS kin_abs_err, {', '.join(D)} FROM scored")
+def scoring_table(spark, sf_dir):
+    return _scored(spark, sf_dir).withColumns({c: F.round(c, 9) for c in ("kinship", "jac_tvd", "kin_abs_err")})
+
+
+@query(SCORED_SQL + "SELECT CAST(k AS INT) AS rank, r.rel, " + ", ".join(f"round(avg(jac_tvd) FILTER (WHERE depth = {d}), 4) AS d{d}" for d in (0, 10, 20)) + " FROM (SELECT unnest(range(5)) AS k, unnest(['r3', 'r1', 'r0', 'r4', 'r2']) AS rel) r LEFT JOIN scored s ON s.rel = r.rel AND tool = 'second' GROUP BY ALL")
+def score_means(spark, sf_dir):
+    return evaluate.score_means(_scored(spark, sf_dir), "second", "jac_tvd", ["r3", "r1", "r0", "r4", "r2"])
+
+
+NAMED_SQL = f"WITH {COEFFICIENTS_SQL}, k AS (SELECT 's' || x AS sample1, 's' || y AS sample2, {KINSHIP_SQL} AS kinship FROM c)"
+
+
+def _named(spark, sf_dir) -> DataFrame:
+    return kinship_from_jacquard(spark, sf_dir).select(F.concat(F.lit("s"), "x").alias("sample1"), F.concat(F.lit("s"), "y").alias("sample2"), "kinship")
+
+
+@query(NAMED_SQL + " SELECT * FROM k WHERE sample1 <> sample2 AND (contains(sample1, '3') OR contains(sample2, '3')) ORDER BY kinship DESC, sample1, sample2 LIMIT 5")
+def top_pairs_by_name(spark, sf_dir):
+    return evaluate.top_pairs(_named(spark, sf_dir), "3", 5)
+
+
+@query(NAMED_SQL + " SELECT count(kinship) AS n, round(avg(kinship), 9) AS mean, round(stddev_samp(kinship), 9) AS std, min(kinship) AS min, " + ", ".join(f"round(quantile_cont(kinship, {q / 100}), 9) AS q{q}" for q in (25, 50, 75)) + ", max(kinship) AS max FROM k")
+def kinship_described(spark, sf_dir):
+    return evaluate.described(_named(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in ("mean", "std", "q25", "q50", "q75")})
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY o) - 1 AS BIGINT) AS place, name FROM (SELECT r * 2 + k AS o, (['full_sib', 'unrelated'])[r + 1] || k AS name FROM range(2) a(r), range(2) b(k) UNION ALL SELECT 4 + i, 'ref' || i FROM range(6) c(i))")
+def focal_names(spark, sf_dir):
+    return evaluate.focal_names(spark, ["full_sib", "unrelated"], 6)
+
+
 @query()
 def allele_frequency_mle(spark, sf_dir):
     return relatedness.estimate_frequencies(panel.likelihoods(spark, sf_dir))

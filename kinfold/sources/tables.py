@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.functions.identity import kinship
 from kinfold.operators.pairs import D
 
 NINE = ", ".join(f"jacquard{k} double" for k in range(1, 10))
@@ -42,9 +43,24 @@ def read_comparator(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), *(F.col(f"J{k}").cast("double").alias(d) for k, d in enumerate(D, 1)))
 
 
-def read_frequencies(spark: SparkSession, path: str) -> DataFrame:
-    """The column knownEM of a table separated by tabs, perhaps gzipped."""
-    return spark.read.csv(path, sep="\t", header=True).select(F.col("knownEM").cast("double").alias("knownEM"))
+def read_frequencies(spark: SparkSession, path: str, column: str = "knownEM") -> DataFrame:
+    """One column, by its name in the first line, of a table separated by any white space, perhaps
+    gzipped; words that are no number, and places beyond a line's end, are null. Blank lines go;
+    an empty file gives an empty table."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    head = lines.first()
+    names = head["value"].split() if head else [column]
+    if column not in names:
+        raise ValueError(f"no column {column} in {path}")
+    parts = F.split(F.trim("value"), r"\s+")
+    return lines.where(F.col("value") != (head["value"] if head else "")).select(F.get(parts, F.lit(names.index(column))).try_cast("double").alias(column))
+
+
+def write_truth(truth: DataFrame, path: str) -> None:
+    """The table of known relationships: rel, kinship, jacquard1 to jacquard9. truth: rel, d1..d9."""
+    own = [F.col(d) for d in D]
+    rows = truth.select("rel", kinship(own).alias("kinship"), *(c.alias(f"jacquard{k}") for k, c in enumerate(own, 1)))
+    rows.coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
 def dense(pairs: DataFrame, n: int):

@@ -26,8 +26,15 @@ class Parsed:
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
-    """The header's lines; they are at the start of the file and are few."""
-    return [r["value"] for r in spark.read.text(path).where(F.col("value").startswith("#")).collect()]
+    """The header's lines: those up to the column names, at the start of the file. More and more
+    of the first lines are taken until these are among them, so that a long file is not read."""
+    rows, size = spark.read.text(path), 256
+    while True:
+        lines = [r["value"] for r in rows.take(size)]
+        found = [x for x in lines if x.startswith("#")]
+        if len(lines) < size or any(x.startswith("#CHROM") for x in found):
+            return found
+        size *= 8
 
 
 def samples(spark: SparkSession, path: str) -> list[str]:

@@ -122,7 +122,7 @@ def test_oracles(spark):
     con = duckdb.connect()
     for t in ("nation", "lineitem", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    for name in ("snp_site_filter", "genotype_counts", "allele_frequency_gt", "pair_linear_term", "quadratic_matrix", "jacquard_nll_uniform", "zero_freq_reduction", "ibd_mode_spans", "mirror_pairs"):
+    for name in ("complete_and_varied_sites", "panel_frequencies", "scoring_table", "top_pairs_by_name", "kinship_described", "focal_names", "snp_site_filter", "genotype_counts", "allele_frequency_gt", "pair_linear_term", "quadratic_matrix", "jacquard_nll_uniform", "zero_freq_reduction", "ibd_mode_spans", "mirror_pairs"):
         want, got = con.execute(queries.ORACLE_SQL[name]).df(), queries.QUERIES[name](spark, SF).toPandas()
         columns = sorted(want.columns)
         assert columns == sorted(got.columns) and sorted(map(tuple, want[columns].values.tolist())) == sorted(map(tuple, got[columns].values.tolist())), name
@@ -167,5 +167,46 @@ def test_inbred_families(spark):
         assert (phi(a, b), phi(a, a), phi(b, b)) == (pair, own, own), family
 
 
+def test_frequency_column(spark, tmp_path):
+    path = tmp_path / "maf.txt"
+    path.write_text("chromo  position\tknownEM nInd\n 1 10  0.25 5\n1\t20\tnan 5\n\n1 30\n1 40 x 5\n")
+    got = [r["knownEM"] for r in tables.read_frequencies(spark, str(path)).collect()]
+    assert got[0] == 0.25 and np.isnan(got[1]) and got[2:] == [None, None]
+    with pytest.raises(ValueError, match="no column other"):
+        tables.read_frequencies(spark, str(path), "other")
+    path.write_text("")
+    assert tables.read_frequencies(spark, str(path)).count() == 0
+
+
+def test_truth_table(spark, tmp_path):
+    rows = [("full_sib", *[0.0] * 6, 0.25, 0.5, 0.25), ("unrelated", *[0.0] * 8, 1.0)]
+    tables.write_truth(spark.createDataFrame(rows, "rel string, " + ", ".join(f"d{k} double" for k in range(1, 10))), str(tmp_path / "ibd"))
+    back = {r["rel"]: r for r in tables.read_truth(spark, str(tmp_path / "ibd")).collect()}
+    assert back["full_sib"]["kinship"] == 0.25 and back["full_sib"]["jacquard8"] == 0.5 and back["unrelated"]["kinship"] == 0 and len(back) == 2
+
+
+def test_panel_of_gaps(spark):
+    rows = [(0, [0, 1, 1, -1]), (1, [0, 1, 1, 1]), (2, [1, 1, 1, 1]), (3, [None, None, -1, -1]), (4, []), (5, [0, None, 1, 2])]
+    df = spark.createDataFrame(rows, "site_id long, a array<int>")
+    got = df.select("site_id", sites.complete_and_varied(F.col("a"), 4).alias("fine"), sites.panel_frequencies(F.lit(3), F.col("a")).alias("af")).orderBy("site_id").collect()
+    assert [r["fine"] for r in got] == [False, True, False, False, False, False]
+    assert [[round(x, 6) for x in r["af"]] for r in got] == [[0.333333, 0.666667, 0], [0.25, 0.75, 0], [0, 1, 0], [0, 0, 0], [0, 0, 0], [0.333333] * 3]
+
+
+def test_scores_of_no_records(spark):
+    none = spark.createDataFrame([], "rep string, depth int, rel string, " + ", ".join(f"d{k} double" for k in range(1, 10)))
+    scored = evaluate.scoring_table({"a": none}, none.drop("depth"))
+    assert scored.count() == 0
+    means = evaluate.score_means(scored, "a", "jac_tvd", ["y", "x"]).collect()
+    assert [(r["rank"], r["rel"]) for r in means] == [(0, "y"), (1, "x")]
+    assert evaluate.described(scored).first()["n"] == 0
+
+
+def test_long_header(spark, tmp_path):
+    path = tmp_path / "long.vcf"
+    path.write_text(VCF.replace("#CHROM", "##x=1\n" * 3000 + "#CHROM"))
+    assert vcf.samples(spark, str(path)) == ["a", "b"] and len(vcf.header(spark, str(path))) == 3006
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 528
