@@ -436,3 +436,55 @@ def relatedness_gl(spark, sf_dir):
 @query()
 def relatedness_gl_given_frequencies(spark, sf_dir):
     return relatedness.relatedness_gl(panel.likelihoods(spark, sf_dir, "GL"))
+
+
+# The solvers' results by the conditions of an optimum on the simplex: what a small step towards
+# any corner gains, at best, is the residual. The SQL states for which sites or pairs it holds.
+TOLERANCE = 1e-3
+
+
+def _held(on_simplex, residual) -> list:
+    return [F.coalesce(on_simplex, F.lit(False)).alias("on_simplex"), F.coalesce(residual <= TOLERANCE, F.lit(False)).alias("optimal")]
+
+
+def _simplex(parts) -> object:
+    return (F.abs(sum(parts) - 1) < 1e-6) & (F.least(*parts) >= 0)
+
+
+@query("SELECT vec_id AS site_id, TRUE AS on_simplex, TRUE AS optimal FROM embeddings")
+def allele_frequency_optimality(spark, sf_dir):
+    found = relatedness.estimate_frequencies(panel.likelihoods(spark, sf_dir), carry=True)
+    rows = found.select("site_id", "n_alleles", "af", F.explode("gl").alias("gl")).where(~F.exists("gl", F.isnan))
+    place = "CAST(greatest(a, b) * (greatest(a, b) + 1) / 2 AS INT) + least(a, b)"
+    rows = panel.fenced(rows, s=F.expr(f"transform(sequence(0, n_alleles - 1), a -> aggregate(sequence(0, n_alleles - 1), 0D, (t, b) -> t + get(gl, {place}) * get(af, b)))"))
+    rows = panel.fenced(rows, whole=F.expr("aggregate(zip_with(s, af, (u, p) -> u * p), 0D, (t, u) -> t + u)"))
+    slopes = rows.groupBy("site_id").agg(F.first("af").alias("af"), *(F.avg(F.get("s", F.lit(a)) / F.col("whole")).alias(f"s{a}") for a in range(4)))
+    total = F.aggregate("af", F.lit(0.0), lambda t, p: t + p)
+    return slopes.select("site_id", *_held((F.abs(total - 1) < 1e-6) & (F.array_min("af") >= 0), F.greatest(*(f"s{a}" for a in range(4))) - 1))
+
+
+ALL_OPTIMAL = "SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, TRUE AS on_simplex, TRUE AS optimal FROM range(32) a(x), range(32) b(y) WHERE y >= x"
+
+
+@query(ALL_OPTIMAL)
+def relatedness_gt_optimality(spark, sf_dir):
+    f = panel.frequencies(spark, sf_dir)
+    found = relatedness.relatedness_gt(f).select("x", "y", *D)
+    q = pairs.quadratic_terms(f).agg(F.map_from_entries(F.collect_list(F.struct(F.col("r") * 10 + F.col("c"), "q"))).alias("q"))
+    rows = found.join(pairs.linear_terms(f), ["x", "y"]).join(F.broadcast(q))
+    slope = [sum(F.col("q")[min(a, b) * 10 + max(a, b)] * F.col(f"d{b}") for b in range(1, 10)) - F.col(f"m{a}") / F.col("v") for a in range(1, 10)]
+    rows = panel.fenced(rows, **{f"s{a}": v for a, v in enumerate(slope, 1)})
+    own = [F.col(d) for d in D]
+    return rows.select("x", "y", *_held(_simplex(own), sum(F.col(f"s{a}") * F.col(f"d{a}") for a in range(1, 10)) - F.least(*(f"s{a}" for a in range(1, 10)))))
+
+
+@query(ALL_OPTIMAL)
+def relatedness_gl_optimality(spark, sf_dir):
+    """With the panel's frequencies, none of them cut."""
+    p = panel.likelihoods(spark, sf_dir)
+    found = relatedness.relatedness_gl(p, least=0.0).select("x", "y", *D)
+    rows = pairs.mixture_rows(sites.reduce_sites(p.select("site_id", "n_alleles", "gl", "af"))).join(F.broadcast(found), ["x", "y"])
+    own = [F.col(d) for d in D]
+    dot = sum(F.col(m) * d for m, d in zip(M, own, strict=True))
+    slopes = panel.fenced(rows, dot=dot).groupBy("x", "y", *D).agg(*(F.avg(F.col(m) / F.col("dot")).alias(m) for m in M))
+    return slopes.select("x", "y", *_held(_simplex(own), F.greatest(*M) - 1))
