@@ -91,8 +91,8 @@ def stitches(text: str, zone: int, first: bool, pattern: str) -> tuple[int, int]
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, chunk: int = CHUNK, deal: int = DEAL) -> DataFrame:
     """A row for each text, or for each piece of one that is dealt out: row_id, doc_id, seq, pieces
-    (rows of this text), ids (little-endian unsigned 32-bit integers) and raw, the bytes that
-    the ids decode to."""
+    (rows of this text), ids (little-endian unsigned 32-bit integers), raw, the bytes that the ids
+    decode to, and dealt (whether the text is beyond ``deal``)."""
     spark = docs.sparkSession
     small_batches(spark)
     path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
@@ -130,13 +130,15 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
 
     near = rows.where(F.length("text") <= deal).mapInPandas(here, PIECE_SCHEMA)
     far = rows.where(F.length("text") > deal).mapInPandas(cut, "row_id long, doc_id long, seq int, pieces int, zone int, text string")
-    return near.unionByName(far.repartition("row_id", "seq").mapInPandas(dealt, PIECE_SCHEMA))
+    # a constant of each branch, by which a reader of one of them leaves the other unread
+    far = far.repartition("row_id", "seq").mapInPandas(dealt, PIECE_SCHEMA).withColumn("dealt", F.lit(True))
+    return near.withColumn("dealt", F.lit(False)).unionByName(far)
 
 
 def digests(pieces: DataFrame) -> DataFrame:
     """n_tokens and the digests of ids and of decoded bytes of each text, read piece by piece:
     of a text of many pieces no task ever holds more than one."""
-    one = pieces.where("pieces = 1").select("row_id", "doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))
+    one = pieces.where("NOT dealt").select("row_id", "doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))
 
     def roll(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a = b = n = None
@@ -152,5 +154,5 @@ def digests(pieces: DataFrame) -> DataFrame:
                     out.append((r, None if pd.isna(d) else int(d), n, a.hexdigest(), b.hexdigest()))
             yield pd.DataFrame(out, columns=["row_id", "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
 
-    many = pieces.where("pieces > 1").repartition("row_id").sortWithinPartitions("row_id", "seq").mapInPandas(roll, DIGEST_SCHEMA)
+    many = pieces.where("dealt").drop("dealt").repartition("row_id").sortWithinPartitions("row_id", "seq").mapInPandas(roll, DIGEST_SCHEMA)
     return one.unionByName(many).drop("row_id")
