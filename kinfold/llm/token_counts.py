@@ -42,12 +42,12 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in same} | {b: chr(256 + k) for k, b in enumerate(other)}
 
 
-#: Pre-tokens whose arrays a Python worker keeps at once, and beginnings of them with their counts
-#: and last tokens; of those no longer ones than SHORT bytes.
+#: Pre-tokens whose arrays a Python worker keeps at once, and beginnings of them with their arrays,
+#: counts and last tokens; of those no longer ones than SHORT bytes.
 KEPT, STEPS, SHORT = 1_000_000, 500_000, 24
 CONTRACTION = re.compile(r"'(?:s|t|re|ve|m|ll|d)\Z")
 #: White space as the library's scanner has it.
-SPACE_ONLY = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+\Z")
+SPACE_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2,}")
 
 
 class PrefixCounts:
@@ -59,47 +59,62 @@ class PrefixCounts:
         self.letters = letters
         self.special = re.compile("|".join(map(re.escape, sorted(self.encoder.special, key=len, reverse=True))) or r"(?!)")
         self.vocabulary = set(self.encoder.lib.get_vocab(with_added_tokens=False))
-        self.longest = max(map(len, self.vocabulary))
+        #: By their last two letters, the length of the longest tokens.
+        self.reach: dict[str, int] = {}
+        for t in self.vocabulary:
+            self.reach[t[-2:]] = max(len(t), self.reach.get(t[-2:], 1))
         self.pairs: dict[tuple[str, str], bool] = {}
         self.inner: dict[str, bytes] = {}
-        self.steps: dict[str, tuple[int, str]] = {}
+        self.steps: dict[str, tuple[bytes, int, str]] = {}
 
     def follows(self, u: str, t: str) -> bool:
         """Whether the bytes of u and t together encode to just u, t."""
-        if (u, t) not in self.pairs:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            self.pairs[u, t] = [x.value for x in self.encoder.lib.model.tokenize(u + t)] == [u, t]
-        return self.pairs[u, t]
+        if len(self.pairs) > 2_000_000:
+            self.pairs.clear()
+        found = self.pairs[u, t] = [x.value for x in self.encoder.lib.model.tokenize(u + t)] == [u, t]
+        return found
 
     def inside(self, token: str) -> bytes:
         """Counts at each prefix of one pre-token, from 1 code point to all, as 32-bit integers."""
-        if CONTRACTION.match(token):  # cut short, it is a mark and a letter
-            return np.array([*[1, 2][: len(token) - 1], self.over_bytes(token)[-1]], "<u4").tobytes()
-        return self.over_bytes(token).tobytes()
+        if token[0] == "'" and CONTRACTION.match(token):  # cut short, it is a mark and a letter
+            return np.array([*[1, 2][: len(token) - 1], np.frombuffer(self.over_bytes(token), "<u4")[-1]], "<u4").tobytes()
+        return self.over_bytes(token)
 
-    def over_bytes(self, token: str) -> np.ndarray:
+    def over_bytes(self, token: str) -> bytes:
         raw = token.encode()
         s = raw.decode("latin-1").translate(self.letters)
-        steps, counts, last = self.steps, [0], [""]
+        steps = self.steps
         if len(steps) > STEPS:
             steps.clear()
-        for k in range(1, len(s) + 1):
-            known = steps.get(s[:k]) if k <= SHORT else None
-            if known is None:
-                for n in range(min(k, self.longest), 0, -1):
-                    t = s[k - n : k]
-                    if t in self.vocabulary and (n == k or self.follows(last[k - n], t)):
-                        known = counts[k - n] + 1, t
+        # from the longest beginning that is known, whose own beginnings are known too
+        k = head = min(len(s), SHORT)
+        while k and s[:k] not in steps:
+            k -= 1
+        counts = steps[s[:k]][0] if k else b""
+        further: list[tuple[None, int, str]] = []
+        vocabulary, reach, pairs = self.vocabulary, self.reach, self.pairs
+        for k in range(k + 1, len(s) + 1):
+            for n in range(min(k, reach.get(s[max(k - 2, 0) : k], 1)), 0, -1):
+                t = s[k - n : k]
+                if t in vocabulary:
+                    if n == k:
+                        c = 1
                         break
-                if k <= SHORT:
-                    steps[s[:k]] = known
-            counts.append(known[0])
-            last.append(known[1])
-        out = np.array(counts[1:], "<u4")
+                    _, c, u = steps[s[: k - n]] if k - n <= head else further[k - n - head - 1]
+                    if pairs[u, t] if (u, t) in pairs else self.follows(u, t):
+                        c += 1
+                        break
+            if k <= head:
+                counts += c.to_bytes(4, "little")
+                if k < len(s):
+                    steps[s[:k]] = counts, c, t
+            else:
+                further.append((None, c, t))
+        if further:
+            counts += np.array([c for _, c, _ in further], "<u4").tobytes()
         if len(raw) == len(token):
-            return out
-        return out[np.flatnonzero(np.append((np.frombuffer(raw, np.uint8)[1:] & 0xC0) != 0x80, True))]  # ends of code points
+            return counts
+        return b"".join([counts[4 * j : 4 * j + 4] for j in range(len(raw)) if j + 1 == len(raw) or raw[j + 1] & 0xC0 != 0x80])  # ends of code points
 
     def ordinary(self, text: str) -> np.ndarray:
         """Counts at each prefix of a text without special strings, from 0 code points to all."""
@@ -114,12 +129,12 @@ class PrefixCounts:
         sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
         ends = np.cumsum(sizes)
         own = parts[ends - 1]
-        before = np.cumsum(own) - own
-        out = np.concatenate([[0], parts + np.repeat(before, sizes)])
-        for j in [j for j, x in enumerate(tokens) if x.isspace() and SPACE_ONLY.match(x)]:
-            e = int(ends[j])
-            if e < len(text) and SPACE_ONLY.match(text[e]):  # the last of a run, which what follows takes or splits off
-                out[e + 1] = before[j] + np.frombuffer(self.inside(tokens[j] + text[e]), "<u4")[-1]
+        parts += np.repeat(np.cumsum(own) - own, sizes)
+        out = np.concatenate([[0], parts])
+        for m in SPACE_RUN.finditer(text):
+            e = m.end()
+            if e < len(text):  # the last of a run, which what follows takes or splits off
+                out[e] = out[m.start()] + np.frombuffer(self.inside(m.group()), "<u4")[-1]
         return out
 
     def table(self, text: str) -> np.ndarray:
