@@ -1,7 +1,8 @@
 """Main text of web pages: gradient-boosted trees over DOM nodes, decoded as a hierarchy.
 
-Every element that holds text gets features (its tag, what its attributes' words hint at, its
-ancestors' hints, depth, place among its siblings, density of text, links and marks in its
+Every element that holds text gets features (its tag, hashes of its attributes' words and what
+known words hint at, the same of its ancestors, depth, place among its siblings, how many of them
+are like it and how its size compares with theirs, density of text, links and marks in its
 subtree) and a score, the log-odds of being part of the article. Decoding picks the best
 consistent set: if an element is dropped, so is all below it. A dynamic programme over the
 tree compares, from the leaves up, what a subtree gives if dropped and if kept.
@@ -10,7 +11,8 @@ The trees are trained on pages made here, by a grammar of page layouts whose reg
 (``made_page``); page text comes from no table. Training takes a few seconds on the driver
 and the model, some kilobytes, goes out with the tasks.
 
-Cases: null and empty pages have empty text; broken markup is read as a browser's parser
+Cases: null and empty pages have empty text; text that is in no block but the page's body is a
+block of its own up to the next block's beginning or end, and is scored like others; broken markup is read as a browser's parser
 mostly would (implied ends of paragraphs and items, unclosed elements end with their parent);
 pages of any depth and length are read without recursion; a null id is kept; equal rows each
 give a row; an empty table gives an empty one; other columns drop.
@@ -21,6 +23,8 @@ from __future__ import annotations
 import functools
 import random
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -61,19 +65,24 @@ HINTS = {
 }
 HINT_OF = {w: k for k, words in HINTS.items() for w in words.split()}
 NAMES = list(HINTS)
-TAGS = ["nav", "footer", "header", "aside", "form", "article", "main", "section", "div", "p", "h1", "h2", "li", "ul", "table", "blockquote", "pre", "figure"]
+TAGS = ["nav", "footer", "header", "aside", "form", "article", "main", "section", "div", "p", "h1", "h2", "li", "ul", "table", "blockquote", "pre", "figure", "#text"]
 OF_TAG = {"nav": "menu", "footer": "foot", "header": "head", "aside": "side", "form": "form", "article": "article", "main": "article", "dialog": "notice", "menu": "menu"}
 OF_ROLE = {"navigation": "menu", "contentinfo": "foot", "banner": "head", "complementary": "side", "search": "form", "form": "form", "main": "article", "article": "article", "alert": "notice", "dialog": "notice", "alertdialog": "notice"}
+#: Buckets that attribute words are hashed to.
+BUCKETS = 32
+HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 WORDS_OF = re.compile(r"[a-z]+(?:-title)?|[A-Z][a-z]+")
 
 
 class Page(HTMLParser):
-    """Elements in page order, as lists: tag, parent, hints, and blocks of text."""
+    """Elements in page order, as lists: tag, parent, hints, hashed words (a bit for each bucket),
+    and blocks of text. A block straight in the body gets an element "#text" of its own."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.hints, self.depth, self.nth = ["#page"], [-1], [frozenset()], [0], [0]
-        self.children = [0]
+        self.children, self.hashed = [0], [0]
+        self.inside = 0  # the element in which the block's first word stands
         self.open = [0]
         self.hidden = 0
         self.links = 0
@@ -86,9 +95,22 @@ class Page(HTMLParser):
             text = " ".join("".join(self.words).split())
             if text:
                 at = next(k for k in reversed(self.open) if k == 0 or self.tag[k] in BLOCK)
+                if at == 0 or self.tag[at] in ("html", "body"):
+                    at = self.add("#text", self.inside, frozenset(), 0)
                 self.blocks.append((at, text, min(self.linked, len(text))))
             self.words, self.linked = [], 0
 
+    def add(self, tag: str, up: int, hints: frozenset, hashed: int) -> int:
+        self.tag.append(tag)
+        self.parent.append(up)
+        self.depth.append(self.depth[up] + 1)
+        self.nth.append(self.children[up])
+        self.children[up] += 1
+        self.children.append(0)
+        self.hints.append(hints)
+        self.hashed.append(hashed)
+        return len(self.tag) - 1
+
     def close(self) -> None:
         super().close()
         self.end_block()
@@ -126,23 +148,19 @@ class Page(HTMLParser):
             self.words.append(" ")
         if tag in VOID:
             return
-        up = self.open[-1]
-        self.tag.append(tag)
-        self.parent.append(up)
-        self.depth.append(self.depth[up] + 1)
-        self.nth.append(self.children[up])
-        self.children[up] += 1
-        self.children.append(0)
+        hashed = 0
         found = {OF_TAG[tag]} if tag in OF_TAG else set()
         for name, value in attrs:
             if value and name in ("class", "id", "role", "itemprop", "aria-label", "data-role"):
                 if name == "role":
                     found.update([OF_ROLE[value]] if value in OF_ROLE else [])
-                found.update(HINT_OF[w] for w in map(str.lower, WORDS_OF.findall(value)) if w in HINT_OF)
+                for w in map(str.lower, WORDS_OF.findall(value)):
+                    hashed |= 1 << zlib.crc32(w.encode()) % BUCKETS
+                    if w in HINT_OF:
+                        found.add(HINT_OF[w])
             if name == "hidden" or name == "style" and value and "display:none" in value.replace(" ", ""):
                 found.add("notice")
-        self.hints.append(frozenset(found))
-        self.open.append(len(self.tag) - 1)
+        self.open.append(self.add(tag, self.open[-1], frozenset(found), hashed))
         self.hidden += tag in HIDDEN
         self.links += tag == "a"
 
@@ -164,6 +182,8 @@ class Page(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
+            if not self.words or not data.isspace() and all(map(str.isspace, self.words)):
+                self.inside = self.open[-1]
             self.words.append(data)
             if self.links:
                 self.linked += len(data.strip())
@@ -184,7 +204,7 @@ def parse(html: str) -> Page:
 def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
     """Elements that are blocks and hold text below them, and their features."""
     n = len(page.tag)
-    size, linked, blocks, marks, first = (np.zeros(n) for _ in range(5))
+    size, linked, blocks, marks, headings, first, largest = (np.zeros(n) for _ in range(7))
     first[:] = len(page.blocks)
     for k, (at, text, links) in enumerate(page.blocks):
         size[at] += len(text)
@@ -195,14 +215,19 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
     below = np.ones(n)
     for k in range(n - 1, 0, -1):
         up = page.parent[k]
-        for a in (size, linked, blocks, marks, below):
+        headings[k] += page.tag[k] in HEADINGS
+        largest[up] = max(largest[up], size[k])
+        for a in (size, linked, blocks, marks, headings, below):
             a[up] += a[k]
         first[up] = min(first[up], first[k])
     inherited: list[frozenset] = [frozenset()] * n
+    hashed_above = [0] * n
     for k in range(1, n):
         up = page.parent[k]
         inherited[k] = inherited[up] | page.hints[up] if page.hints[up] else inherited[up]
-    chosen = np.array([k for k in range(1, n) if size[k] and page.tag[k] in BLOCK and page.tag[k] not in ("html", "body")], np.int64)
+        hashed_above[k] = hashed_above[up] | page.hashed[up]
+    chosen = np.array([k for k in range(1, n) if size[k] and (page.tag[k] in BLOCK or page.tag[k] == "#text") and page.tag[k] not in ("html", "body")], np.int64)
+    alike = Counter((page.parent[k], page.tag[k], page.hashed[k]) for k in range(1, n))
     total, count = max(1.0, size[0]), max(1, len(page.blocks))
     rows = []
     for k in chosen.tolist():
@@ -211,8 +236,13 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
             *[tag == t for t in TAGS], *[h in own for h in NAMES], *[h in above for h in NAMES],
             page.depth[k], page.nth[k], page.children[up], page.nth[k] / max(1, page.children[up]), np.log1p(size[k]), size[k] / total, size[k] / max(1.0, size[up]),
             linked[k] / size[k], np.log1p(blocks[k]), size[k] / blocks[k], np.log1p(below[k]), size[k] / below[k], marks[k] / size[k], first[k] / count, (first[k] + blocks[k]) / count,
+            alike[up, tag, page.hashed[k]], size[k] / largest[up], headings[k] / blocks[k],
         ))
-    return chosen, np.array(rows, float)
+    if not rows:
+        return chosen, np.zeros((0, 0))
+    bits = np.stack([np.array(page.hashed, np.int64)[chosen], np.array(hashed_above, np.int64)[chosen]], 1)
+    bits = bits[:, :, None] >> np.arange(BUCKETS) & 1
+    return chosen, np.concatenate([np.array(rows, float), bits.reshape(len(rows), -1)], 1)
 
 
 def decode(page: Page, chosen: np.ndarray, score: np.ndarray) -> str:
@@ -240,7 +270,7 @@ def decode(page: Page, chosen: np.ndarray, score: np.ndarray) -> str:
 
 def made_page(rng: random.Random) -> tuple[str, list[str]]:
     """A page and the blocks of its article."""
-    letters = "etaoinshrdlu"
+    letters, plain = "etaoinshrdlu", rng.random() < 0.12
 
     def words(a: int, b: int) -> str:
         out = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(a, b))]
@@ -251,6 +281,11 @@ def made_page(rng: random.Random) -> tuple[str, list[str]]:
         return " ".join(w + (rng.choice([",", ".", ""]) if rng.random() < 0.3 else "") for w in out)
 
     def pick(*names: str) -> str:
+        if plain and rng.random() < 0.7:  # a page whose names say nothing
+            return rng.choice(["", f' class="{"".join(rng.choice(letters) for _ in range(4))}"'])
+        return named(*names)
+
+    def named(*names: str) -> str:
         name = rng.choice(names)
         return f' {rng.choice(["class", "class", "id"])}="{name}{rng.choice(["", "", "-1", " x", "-wrap"])}"'
 
@@ -267,26 +302,28 @@ def made_page(rng: random.Random) -> tuple[str, list[str]]:
 
     def advert() -> str:
         body = rng.choice([words(3, 60), f"<p>{words(3, 60)}</p>", f"<a href='x'>{words(3, 9)}</a>"])
-        return rng.choice([f"<div{pick('ad', 'ads', 'advert', 'banner', 'promo', 'sponsored')}>{body}</div>", f"<aside{pick('ad', 'promo')}>{body}</aside>", f"<section{pick('sponsor', 'advertisement')}>{body}</section>"])
+        return rng.choice([f"<div{named('ad', 'ads', 'advert', 'banner', 'promo', 'sponsored')}>{body}</div>", f"<aside{named('ad', 'promo')}>{body}</aside>", f"<section{named('sponsor', 'advertisement')}>{body}</section>"])
 
     def notice() -> str:
-        return f"<div{pick('cookie', 'cookie-notice', 'consent', 'gdpr', 'alert', 'popup', 'notice')}><p>{words(5, 30)}</p><button>ok</button></div>"
+        return f"<div{named('cookie', 'cookie-notice', 'consent', 'gdpr', 'alert', 'popup', 'notice')}><p>{words(5, 30)}</p><button>ok</button></div>"
 
     def side() -> str:
         body = rng.choice([f"<h3>{words(1, 4)}</h3><ul>{links(rng.randint(2, 8))}</ul>", f"<h2>{words(1, 4)}</h2><p>{words(5, 60)}</p>", f"<p>{words(5, 60)}</p>"])
         return rng.choice([f"<aside>{body}</aside>", f"<div{pick('sidebar', 'widget', 'related', 'popular', 'trending')}>{body}</div>", f"<section{pick('related', 'recommended')}>{body}</section>"])
 
     def comments() -> str:
-        one = lambda: rng.choice([f"<p>{words(3, 60)}</p>", f"<div{pick('comment', 'reply')}><b>{words(1, 2)}</b><p>{words(3, 60)}</p></div>", f"<li><p>{words(3, 60)}</p></li>"])
-        body = f"<h3>{words(1, 3)}</h3>" + "".join(one() for _ in range(rng.randint(1, 6)))
+        own, by = pick("comment", "reply"), pick("author", "user")
+        name = lambda: rng.choice([f"<b>{words(1, 2)}</b>", f"<div{by}>{words(1, 2)}</div>"])
+        one = rng.choice([lambda: f"<p>{words(3, 60)}</p>", lambda: f"<div{own}>{name()}<p>{words(3, 60)}</p></div>", lambda: f"<li><p>{words(3, 60)}</p></li>", lambda: f"<div{own}>{name()}{words(3, 60)}</div>"]) if not plain else lambda: f"<div{own}>{name()}<p>{words(3, 60)}</p></div>"
+        body = rng.choice([f"<h3>{words(1, 3)}</h3>", f"<h2>{words(1, 3)}</h2>", ""]) + "".join(one() for _ in range(rng.randint(2 if plain else 1, 6)))
         return rng.choice([f"<section{pick('comments', 'replies', 'discussion')}>{body}</section>", f"<div{pick('comments', 'reader-comments', 'respond')}>{body}</div>"])
 
     def form() -> str:
         body = f"<label>{words(1, 3)}</label><input name='q'><p>{words(2, 20)}</p><button>go</button>"
-        return rng.choice([f"<form>{body}</form>", f"<div{pick('newsletter', 'subscribe', 'login')}><form>{body}</form></div>", f"<div{pick('newsletter', 'signup')}><p>{words(4, 20)}</p></div>"])
+        return rng.choice([f"<form>{body}</form>", f"<div{named('newsletter', 'subscribe', 'login')}><form>{body}</form></div>", f"<div{named('newsletter', 'signup')}><p>{words(4, 20)}</p></div>"])
 
     def share() -> str:
-        return f"<div{pick('share', 'social', 'follow')}>{''.join(f'<a href=x>{words(1, 2)}</a> ' for _ in range(4))}</div>"
+        return f"<div{named('share', 'social', 'follow')}>{''.join(f'<a href=x>{words(1, 2)}</a> ' for _ in range(4))}</div>"
 
     def foot() -> str:
         body = rng.choice([f"&copy; {words(1, 3)} &middot; {words(2, 40)}", f"<p>{words(2, 40)}</p><ul>{links(4)}</ul>", f"<p>&copy; {words(2, 8)}</p>"])
@@ -323,6 +360,13 @@ def made_page(rng: random.Random) -> tuple[str, list[str]]:
         inner = f"<div{pick('entry', 'text', 'x', 'body')}>{inner}</div>"
     if rng.random() < 0.2:
         inner += rng.choice([comments, share, form])()
+    if rng.random() < 0.08:  # set straight in the body, or in an element that is no block
+        blocks.clear()
+        runs = [[words(12, max(12, long)) for _ in range(rng.randint(1, 4))] for _ in range(rng.randint(1, 4))]
+        blocks += [" ".join(r) for r in runs]
+        inner = "<hr>".join(rng.choice(["<br>", "<br><br>\n"]).join(r) for r in runs)
+        bare = rng.choice([inner, f"<span>{inner}</span>", f"<font size=2>{inner}</font>"])
+        return f"<html><body>{rng.choice([menu, head, lambda: ''])()}{bare}{rng.choice([foot, lambda: '<hr>' + links(3), lambda: ''])()}</body></html>", [" ".join(b.split()) for b in blocks]
     article = rng.choice([f"<article>{inner}</article>", f"<article>{inner}</article>", f"<main>{inner}</main>", f"<div{pick('article', 'content', 'post', 'entry', 'story')}>{inner}</div>", f"<main><article>{inner}</article></main>", f"<section{pick('content', 'article')}>{inner}</section>", f"<div>{inner}</div>"])
     some = lambda f, p: f() if rng.random() < p else ""
     before = [some(notice, 0.2), some(head, 0.4), some(menu, 0.8), some(advert, 0.5), some(side, 0.15)]
@@ -355,8 +399,8 @@ def examples(pages: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 @functools.lru_cache(maxsize=2)
-def model(pages: int = 1200, seed: int = 5) -> Trees:
-    return train(*examples(pages, seed), rounds=50, depth=4, least=5)
+def model(pages: int = 2000, seed: int = 5) -> Trees:
+    return train(*examples(pages, seed), rounds=90, depth=5, rate=0.2, least=5, share=0.5)
 
 
 def extract(html: str, trees: Trees) -> str:

@@ -309,6 +309,33 @@ def test_jaccard_with_a_shingle_of_thousands(spark, monkeypatch):
     assert [got[k]["n_shingles"] for k in range(len(texts))] == list(map(len, sets))
 
 
+# Pages written by hand, which share no layout and no words with those that the trees are trained on.
+ONE = "The river rose again on Tuesday, and by noon the lower fields were under a foot of water."
+TWO = "Farmers moved their cattle to the ridge, where the old barn still stands, and waited for the rain to stop."
+THREE = "By the weekend the bridge was open, though the council has asked lorries to take the longer road through the hills."
+SAID = "I live near there and it was much worse in the spring of last year, nobody came."
+# text straight in the body, with line breaks alone
+LOOSE = f"<html><head><title>Flood</title></head><body>{ONE}<br><br>{TWO}<hr>{THREE}</body></html>"
+# class names that say nothing, and reader comments below
+NEUTRAL = (
+    f'<html><body><div class="k1"><a href="/">Start</a> <a href="/n">News</a> <a href="/w">Weather</a> <a href="/s">Sport</a></div><div class="k2"><h1>Flood in the valley</h1><p>{ONE}</p><p>{TWO}</p><p>{THREE}</p></div>'
+    + '<div class="k3"><h3>3 voices</h3>' + "".join(f'<div class="k4"><b>{n}</b><p>{SAID}</p></div>' for n in ("Ann", "Bob", "Cy")) + "</div><footer>&copy; The Valley Times</footer></body></html>"
+)
+# a table for a layout, as pages were once made
+TABLE = f'<html><body><table><tr><td><ul><li><a href="a">Home</a><li><a href="b">Archive</a><li><a href="c">Links</a></ul></td><td class="content"><h2>Flood in the valley</h2><p>{ONE}<p>{TWO}<p>{THREE}</td></tr></table></body></html>'
+# a journal's theme
+THEME = (
+    f'<body class="single"><header id="masthead"><a href="/">The Valley Times</a><nav id="site-navigation"><ul><li><a href="/a">About</a></li><li><a href="/c">Contact</a></li></ul></nav></header><div id="primary"><main><article class="post-12"><h1 class="entry-title">Flood in the valley</h1><div class="entry-content"><p>{ONE}</p><h2>After the rain</h2><p>{TWO}</p><ul><li>Boots, coats and ropes</li><li>Two boats</li></ul><p>{THREE}</p></div></article>'
+    f'<div id="comments"><h2>One thought</h2><ol><li><p>{SAID}</p></li></ol><form><p>Your e-mail address will not be published.</p></form></div></main></div><aside id="secondary"><section class="widget"><h2>Latest</h2><ul><li><a href="x">Storm</a></li></ul></section></aside><footer>Proudly made by hand</footer></body>'
+)
+PAGES_BY_HAND = [
+    (LOOSE, f"{ONE} {TWO}\n\n{THREE}"),
+    (NEUTRAL, f"Flood in the valley\n\n{ONE}\n\n{TWO}\n\n{THREE}"),
+    (TABLE, f"Flood in the valley\n\n{ONE}\n\n{TWO}\n\n{THREE}"),
+    (THEME, f"Flood in the valley\n\n{ONE}\n\nAfter the rain\n\n{TWO}\n\nBoots, coats and ropes\n\nTwo boats\n\n{THREE}"),
+]
+
+
 def test_html(spark):
     trees, r = html_extract.model(), random.Random(77)
     right = sum(html_extract.extract(p, trees) == "\n\n".join(b) for p, b in (html_extract.made_page(r) for _ in range(200)))
@@ -322,6 +349,12 @@ def test_html(spark):
     assert html_extract.main_text(df.limit(0)).count() == 0
 
 
+def test_html_of_pages_by_hand():
+    trees = html_extract.model()
+    for page, text in PAGES_BY_HAND:
+        assert html_extract.extract(page, trees) == text
+
+
 def test_scan_is_the_pattern():
     text = LONG[:3000].replace("日本", "x")
     assert pretokens.SCAN.findall(text) == regex.findall(public_tokenizers.PATTERN, text)
