@@ -41,4 +41,4 @@ def test_empty_and_nulls(spark):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 14)]
