@@ -70,12 +70,11 @@ def likelihoods(spark: SparkSession, sf_dir: str, tag: str = "PL") -> DataFrame:
 
 PANEL_SQL = """
 e AS (SELECT vec_id AS site_id, CAST(2 + label % 3 AS INT) AS n_alleles, embedding FROM embeddings),
-q AS (SELECT site_id, n_alleles, CAST(k AS INT) AS k, greatest(0, least(n_alleles - 1, CAST(floor((CAST(embedding[k + 1] AS DOUBLE) + CAST(0.1875 AS DOUBLE)) * n_alleles / CAST(0.375 AS DOUBLE)) AS INT))) AS a FROM e, range(64) t(k)),
-w AS (SELECT p.site_id, p.n_alleles, p.k AS sample_id,
-    CASE WHEN p.k = 1 AND p.site_id % 4 < 3 THEN z.a ELSE p.a END AS a1,
-    CASE WHEN p.k = 1 AND p.site_id % 4 = 0 THEN y.a WHEN p.k = 4 AND p.site_id % 4 = 0 THEN p.a ELSE s.a END AS a2
-  FROM q p JOIN q s ON p.site_id = s.site_id AND s.k = p.k + 32 JOIN q z ON z.site_id = p.site_id AND z.k = 0 JOIN q y ON y.site_id = p.site_id AND y.k = 32
-  WHERE p.k < 32),
+q AS MATERIALIZED (SELECT site_id, n_alleles, list_transform(embedding, lambda v: greatest(0, least(n_alleles - 1, CAST(floor((CAST(v AS DOUBLE) + CAST(0.1875 AS DOUBLE)) * n_alleles / CAST(0.375 AS DOUBLE)) AS INT)))) AS a FROM e),
+w AS MATERIALIZED (SELECT site_id, n_alleles, CAST(s AS INT) AS sample_id,
+    CASE WHEN s = 1 AND site_id % 4 < 3 THEN a[1] ELSE a[s + 1] END AS a1,
+    CASE WHEN s = 1 AND site_id % 4 = 0 THEN a[33] WHEN s = 4 AND site_id % 4 = 0 THEN a[s + 1] ELSE a[s + 33] END AS a2
+  FROM q, range(32) t(s)),
 calls AS (SELECT site_id, n_alleles, sample_id, least(a1, a2) AS lo, greatest(a1, a2) AS hi,
     CAST(greatest(a1, a2) * (greatest(a1, a2) + 1) // 2 + least(a1, a2) AS INT) AS g FROM w),
 af AS (SELECT site_id, n_alleles, a, CAST((SELECT count(*) FROM calls c WHERE c.site_id = s.site_id AND c.lo = a) + (SELECT count(*) FROM calls c WHERE c.site_id = s.site_id AND c.hi = a) AS DOUBLE) / 64 AS p

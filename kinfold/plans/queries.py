@@ -413,9 +413,21 @@ def focal_names(spark, sf_dir):
     return evaluate.focal_names(spark, ["full_sib", "unrelated"], 6)
 
 
-@query()
+# By another way: 60 rounds of expectation-maximisation for each site.
+@query("WITH RECURSIVE " + PANEL_SQL + """, rows AS MATERIALIZED (SELECT site_id, n_alleles, sample_id, list(pow(CAST(10 AS DOUBLE), -pl / CAST(10 AS DOUBLE)) ORDER BY k) AS s FROM lik WHERE pl IS NOT NULL GROUP BY ALL),
+held AS MATERIALIZED (SELECT site_id, n_alleles, list(s) AS samples FROM rows GROUP BY ALL),
+kinds AS (SELECT n_alleles, list(i ORDER BY g) AS gi, list(j ORDER BY g) AS gj FROM geno GROUP BY n_alleles),
+em AS (
+  SELECT site_id, 0 AS k, list_transform(range(n_alleles), lambda a: CAST(1 AS DOUBLE) / n_alleles) AS p FROM held
+  UNION ALL
+  SELECT site_id, k + 1, list_transform(range(n_alleles), lambda a: list_sum(list_transform(samples, lambda s:
+      list_sum(list_transform(range(len(s)), lambda g: s[g + 1] * prior[g + 1] * (CAST(gi[g + 1] = a AS INT) + CAST(gj[g + 1] = a AS INT)))) / list_sum(list_transform(range(len(s)), lambda g: s[g + 1] * prior[g + 1])))) / (2 * len(samples)))
+  FROM (SELECT em.site_id, k, n_alleles, samples, gi, gj, list_transform(range(len(gi)), lambda g: p[gi[g + 1] + 1] * p[gj[g + 1] + 1] * CASE WHEN gi[g + 1] = gj[g + 1] THEN 1 ELSE 2 END) AS prior
+        FROM em JOIN held USING (site_id) JOIN kinds USING (n_alleles) WHERE k < 60)
+) SELECT site_id, CAST(a AS INT) AS allele, round(p[a + 1], 4) AS af FROM em, range(4) t(a) WHERE k = 60 AND a < len(p)""")
 def allele_frequency_mle(spark, sf_dir):
-    return relatedness.estimate_frequencies(panel.likelihoods(spark, sf_dir))
+    found = relatedness.estimate_frequencies(panel.likelihoods(spark, sf_dir))
+    return found.select("site_id", F.posexplode("af").alias("allele", "af")).withColumn("af", F.round("af", 4))
 
 
 @query()
@@ -428,6 +440,12 @@ def relatedness_pl(spark, sf_dir):
     return relatedness.relatedness_gl(panel.likelihoods(spark, sf_dir).drop("af"))
 
 
+@query()
+def relatedness_pl_by_passes(spark, sf_dir):
+    """The same by passes over units of sites and a table of the pairs' states."""
+    return relatedness.relatedness_gl(panel.likelihoods(spark, sf_dir).drop("af"), local=0, unit=256)
+
+
 @query()
 def relatedness_gl(spark, sf_dir):
     return relatedness.relatedness_gl(panel.likelihoods(spark, sf_dir, "GL").drop("af"))
