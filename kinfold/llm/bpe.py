@@ -74,7 +74,9 @@ def chunks(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[
         if not sure:
             break
         out.append((text[start : min(len(text), max(zone + overlap, sure.end() + 8))], chunk))
-        start = zone
+        # the next chunk begins where the overlap does, but never far before the boundary: a long run
+        # without any is in one chunk alone
+        start = zone if sure.start() < zone + overlap else sure.start()
     return [*out, (text[start:], -1)]
 
 

@@ -58,6 +58,25 @@ def test_bpe_is_the_librarys(docs, empty, ranks):
     assert bpe.digests(bpe.encode(empty)).count() == 0
 
 
+@pytest.mark.parametrize("run", ["ACGT", "=", "7", "é", "= "])
+def test_chunks_of_long_runs(run):
+    """Chunks hold each character of a long run about once."""
+    text = ("word " * 700 + run * (2_000_000 // len(run)) + " " + "some more, " * 700) * 2
+    cut = bpe.chunks(text)
+    assert sum(len(x) for x, _ in cut) < 1.2 * len(text)
+
+
+@pytest.mark.parametrize("run", ["ACGT", "=", "7", "é1", " ", "\n", "'"])
+def test_ids_of_long_runs(ranks, run):
+    text, out = ("word 's " * 30 + run * 600 + " " + "some more, " * 20 + run * 50) * 2, []
+    cut = bpe.chunks(text, 50, 7)
+    assert len(cut) > 5
+    for k, (x, z) in enumerate(cut):
+        a, b = bpe.stitches(x, z, k == 0, public_tokenizers.PATTERN)
+        out += bpe.encode_piece(ranks, public_tokenizers.PATTERN, x[a:b])
+    assert out == ranks.encode_ordinary(text)
+
+
 @pytest.mark.parametrize("chunk", [5, 17, 60])
 def test_stitched_chunks(ranks, chunk):
     r = random.Random(chunk)
