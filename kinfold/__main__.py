@@ -1,10 +1,13 @@
 """python -m kinfold INPUT.vcf[.gz] OUTPUT: identity coefficients of all pairs of samples."""
 
 import argparse
+import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from kinfold.plans import relatedness
+from kinfold.shared import written
 from kinfold.sources import tables, vcf
 
 
@@ -26,10 +29,21 @@ def main(argv: list[str] | None = None) -> None:
     if a.samples and a.samples > len(names):
         raise ValueError("more samples asked for than there are")
     if a.tag == "GT":
-        pairs = relatedness.relatedness_gt(vcf.read_gt(spark, a.input, info).sites, a.iterations, a.samples)
+        parsed = vcf.read_gt(spark, a.input, info)
+        pairs = relatedness.relatedness_gt(parsed.sites, a.iterations, a.samples)
     else:
-        pairs = relatedness.relatedness_gl(vcf.read_likelihoods(spark, a.input, a.tag, info).sites, a.iterations, a.samples, a.minimum_allele_frequency)
+        parsed = vcf.read_likelihoods(spark, a.input, a.tag, info)
+        pairs = relatedness.relatedness_gl(parsed.sites, a.iterations, a.samples, a.minimum_allele_frequency)
+    pairs = written(pairs, "pairs")  # the sort of the output would solve them twice
     tables.write_results(pairs, names, a.output)
+    # noted while the sites were read for the results; they are not read again for it
+    n = parsed.counts()
+    kept = ", ".join(f"{n[f'alleles_{k}']} with {k} alleles" for k in (2, 3, 4))
+    print(f"{n['sites']} sites: {n['not_snp']} are no substitutions, {n['missing']} have missing calls; {kept}", file=sys.stderr)
+    found = pairs.agg(F.count("*").alias("pairs"), F.count(F.when(~F.col("converged"), 1)).alias("open")).first()
+    print(f"{found['pairs']} pairs", file=sys.stderr)
+    if found["open"]:
+        print(f"warning: {found['open']} pairs have not converged in {a.iterations} iterations", file=sys.stderr)
 
 
 if __name__ == "__main__":

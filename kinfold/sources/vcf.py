@@ -11,99 +11,160 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.operators import sites as s
+from kinfold.sources import lines
 
 TYPES = {"GT": "String", "GL": "Float", "PL": "Integer"}
 
 
 @dataclass
 class Parsed:
+    """sites; counters: by status and number of alleles, by a scan of its own; seen: the same sums,
+    noted while the sites are read, there once an action has read all of them."""
+
     sites: DataFrame
     counters: DataFrame
+    seen: Observation
+
+    def counts(self) -> dict[str, int]:
+        """Sites in all, no SNPs, with missing calls, and kept ones by number of alleles. Waits for
+        the first action over the sites."""
+        return {k: int(v or 0) for k, v in self.seen.get.items()}
+
+
+def counted(rows: DataFrame, seen: Observation) -> DataFrame:
+    """rows: status, n_alleles. Notes ``Parsed.counts`` as they go by."""
+    kept = {f"alleles_{n}": (F.col("status") == "kept") & (F.col("n_alleles") == n) for n in (2, 3, 4)}
+    parts = {"not_snp": F.col("status") == "not_snp", "missing": F.col("status") == "missing", **kept}
+    return rows.observe(seen, F.count("*").alias("sites"), *(F.count(F.when(c, 1)).alias(n) for n, c in parts.items()))
+
+
+def _read_here(path: str) -> list[tuple[str, int]]:
+    """Files at the path, where pyarrow can reach it; else none."""
+    try:
+        return lines.files(path)
+    except (pa.ArrowException, OSError):
+        return []
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
-    """The header's lines: those up to the column names, at the start of the file. More and more
-    of the first lines are taken until these are among them, so that a long file is not read."""
-    rows, size = spark.read.text(path), 256
-    while True:
-        lines = [r["value"] for r in rows.take(size)]
-        found = [x for x in lines if x.startswith("#")]
-        if len(lines) < size or any(x.startswith("#CHROM") for x in found):
-            return found
-        size *= 8
+    """The header's lines, up to the column names: read from the beginning of the first file, and
+    no further. Where only Spark can read the path, a filter over its lines, which gives no others."""
+    if _read_here(path):
+        return lines.first_lines(path, b"#CHROM")
+    return list(dict.fromkeys(r["value"] for r in spark.read.text(path).where(F.startswith("value", F.lit("#"))).collect()))
 
 
 def samples(spark: SparkSession, path: str) -> list[str]:
     return next(x for x in header(spark, path) if x.startswith("#CHROM")).split("\t")[9:]
 
 
-def check(lines: list[str], kind: str, name: str, wanted: str) -> None:
-    found = [m[1] for x in lines if x.startswith(f"##{kind}=<") and re.search(rf"[<,]ID={name}[,>]", x) and (m := re.search(r"[<,]Type=(\w+)", x))]
+def check(head: list[str], kind: str, name: str, wanted: str) -> None:
+    found = [m[1] for x in head if x.startswith(f"##{kind}=<") and re.search(rf"[<,]ID={name}[,>]", x) and (m := re.search(r"[<,]Type=(\w+)", x))]
     if found != [wanted]:
         raise ValueError(f"the header does not give {kind} {name} as {wanted}")
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
+def text(spark: SparkSession, path: str, tag: str = "", split: int = lines.SPLIT) -> DataFrame:
+    """Lines of a file or folder. Gzipped files are cut at their blocks; plain text, and paths that
+    only Spark can read, go through its own reader."""
+    there = _read_here(path)
+    if there and all(n.endswith((".gz", ".bgz")) for n, _ in there):
+        return lines.read_lines(spark, path, tag, split)
+    return spark.read.text(path)
+
+
+def records(spark: SparkSession, path: str, tag: str = "", split: int = lines.SPLIT) -> DataFrame:
     """site_id, chrom, pos, ref, alts, info, format, calls and n_alleles (null if no SNP)."""
     f = F.split("value", "\t")
-    rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != ""))
-    if path.endswith(".gz"):  # a gzipped file is one partition
-        rows = rows.repartition(spark.sparkContext.defaultParallelism)
+    rows = text(spark, path, tag, split).where(~F.col("value").startswith("#") & (F.col("value") != ""))
     rows = rows.select(F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).try_cast("long").alias("pos"), F.get(f, F.lit(3)).alias("ref"), F.split(F.get(f, F.lit(4)), ",").alias("alts"), F.get(f, F.lit(7)).alias("info"), F.split(F.get(f, F.lit(8)), ":").alias("format"), F.slice(f, 10, 2**30).alias("calls"))
     return rows.withColumn("site_id", F.xxhash64("chrom", "pos", "ref", "alts")).withColumn("n_alleles", s.snp_status(F.col("ref"), F.col("alts")))
 
 
-def tagged(rows: DataFrame, tag: str) -> Column:
+def tagged(tag: str) -> Column:
     """For each sample the text of one tag."""
     place = F.array_position("format", tag).cast("int") - 1
     return F.when(F.array_contains("format", tag), F.transform("calls", lambda c: F.coalesce(s.field(c, place), F.lit(".")))).when(F.col("pos").isNotNull(), F.raise_error(F.concat(F.lit(f"no {tag} data found at "), "chrom", F.lit(":"), F.col("pos").cast("string"))))
 
 
-def read_gt(spark: SparkSession, path: str, with_af: bool = False) -> Parsed:
+def read_gt(spark: SparkSession, path: str, with_af: bool = False, split: int = lines.SPLIT) -> Parsed:
     """sites: site_id, chrom, pos, n_alleles, lo, hi and, if asked for, af from INFO."""
-    lines = header(spark, path)
-    check(lines, "FORMAT", "GT", TYPES["GT"])
+    head = header(spark, path)
+    check(head, "FORMAT", "GT", TYPES["GT"])
     if with_af:
-        check(lines, "INFO", "AF", "Float")
-    rows = records(spark, path)
-    snps = rows.where("n_alleles IS NOT NULL").withColumn("gt", tagged(rows, "GT"))
-    status = F.when(F.col("n_alleles").isNull(), "not_snp")
-    missing = snps.select("n_alleles", F.when(s.has_missing(F.col("gt")), "missing").otherwise("kept").alias("status"))
-    counters = s.counters(rows.where("n_alleles IS NULL").select("n_alleles", status.alias("status")).unionByName(missing))
-    good = snps.where(~s.has_missing(F.col("gt"))).withColumn("a", F.transform("gt", s.decode_gt))
+        check(head, "INFO", "AF", "Float")
+    gt = F.when(F.col("n_alleles").isNotNull(), tagged("GT"))
+    rows = records(spark, path, "GT", split).withColumn("gt", gt)
+    rows = rows.withColumn("status", F.when(F.col("n_alleles").isNull(), "not_snp").when(s.has_missing(F.col("gt")), "missing").otherwise("kept"))
+    seen = Observation()
+    counters = s.counters(rows.select("status", "n_alleles"))
+    good = counted(rows, seen).where("status = 'kept'").withColumn("a", F.transform("gt", s.decode_gt))
     fits = F.forall("a", lambda x: (F.array_max(x) < F.col("n_alleles")) & (F.array_min(x) >= 0))
     good = good.withColumn("a", F.when(F.coalesce(fits, F.lit(True)), F.col("a")).otherwise(F.raise_error(F.lit("an allele beyond the alternatives"))))
     out = [F.transform("a", lambda x: F.array_min(x)).alias("lo"), F.transform("a", lambda x: F.array_max(x)).alias("hi")]
     if with_af:
         out.append(s.decode_af(F.col("info"), F.size("alts")).alias("af"))
-    return Parsed(good.select("site_id", "chrom", "pos", "n_alleles", *out), counters)
+    return Parsed(good.select("site_id", "chrom", "pos", "n_alleles", *out), counters, seen)
 
 
-def read_likelihoods(spark: SparkSession, path: str, tag: str = "GL", with_af: bool = False, missing_ok: bool = False) -> Parsed:
+def read_likelihoods(spark: SparkSession, path: str, tag: str = "GL", with_af: bool = False, missing_ok: bool = False, split: int = lines.SPLIT) -> Parsed:
     """sites: site_id, chrom, pos, n_alleles, gl (array over samples of likelihoods), perhaps af."""
-    lines = header(spark, path)
-    check(lines, "FORMAT", tag, TYPES[tag])
-    rows = records(spark, path)
-    snps = rows.where("n_alleles IS NOT NULL").withColumn("text", tagged(rows, tag))
+    check(header(spark, path), "FORMAT", tag, TYPES[tag])
+    rows = records(spark, path, tag, split).withColumn("status", F.when(F.col("n_alleles").isNull(), "not_snp").otherwise("kept"))
+    seen = Observation()
+    snps = counted(rows, seen).where("n_alleles IS NOT NULL").withColumn("text", tagged(tag))
     n = (F.col("n_alleles") * (F.col("n_alleles") + 1) / 2).cast("int")
     whole = F.transform("text", lambda t: F.when(F.lit(missing_ok) & (t == "."), F.array_join(F.array_repeat(F.lit("."), n), ",")).otherwise(t))
     decode = s.decode_gl if tag == "GL" else s.decode_pl
     gl = F.transform(whole, lambda t: F.when(F.size(F.split(t, ",")) == n, decode(t)).otherwise(F.raise_error(F.concat(F.lit(f"{tag} does not fit the alternatives: "), t))))
     out = [s.decode_af(F.col("info"), F.size("alts")).alias("af")] if with_af else []
-    counters = s.counters(rows.select("n_alleles", F.when(F.col("n_alleles").isNull(), "not_snp").otherwise("kept").alias("status")))
-    return Parsed(snps.select("site_id", "chrom", "pos", "n_alleles", gl.alias("gl"), *out), counters)
-
-
-def write_gt(sites: DataFrame, names: list[str], path: str) -> None:
-    """sites: chrom, pos, ref, alts, calls (array of text). Parts are gzipped text, each with its
-    lines in order; the header is a file of its own before them."""
-    spark = sites.sparkSession
-    head = ["##fileformat=VCFv4.2", '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names])]
-    line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.lit("."), "ref", F.array_join("alts", ","), F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT"), F.array_join("calls", "\t"))
-    body = sites.orderBy("chrom", "pos").select(line.alias("value"))
-    spark.createDataFrame([(x,) for x in head], "value string").coalesce(1).write.text(path, compression="gzip")
-    body.write.mode("append").text(path, compression="gzip")
+    return Parsed(snps.select("site_id", "chrom", "pos", "n_alleles", gl.alias("gl"), *out), s.counters(rows.select("status", "n_alleles")), seen)
+
+
+def call_text(a: Column, b: Column, phased: bool = False) -> Column:
+    """Calls of all samples from arrays of their two alleles; null or negative ones are missing."""
+    sep = "|" if phased else "/"
+    there = lambda x: F.coalesce(x >= 0, F.lit(False))
+    return F.zip_with(a, b, lambda x, y: F.when(there(x) & there(y), F.concat_ws(sep, x.cast("string"), y.cast("string"))).otherwise(f".{sep}."))
+
+
+def af_text(af: Column) -> Column:
+    """INFO of the alternatives' frequencies, in six digits."""
+    return F.concat(F.lit("AF="), F.array_join(F.transform(F.slice(af, 2, F.greatest(F.size(af) - 1, F.lit(0))), lambda x: F.regexp_replace(F.format_string("%.6f", x), r"\.?0+$", "")), ","))
+
+
+def write_gt(sites: DataFrame, names: list[str], path: str, parts: int | None = None) -> None:
+    """sites: chrom, pos, ref, alts (array), calls (array of text; or lo and hi, arrays of alleles),
+    and perhaps af (array), which goes to INFO.
+
+    The folder's parts are gzip members in the order of the sites, the header at the beginning of
+    the first, so that they can be joined into one file as they are. Beside them, in ``_places``,
+    stands which part holds which positions. ``parts``: how many; else as Spark sees fit."""
+    spark, with_af = sites.sparkSession, "af" in sites.columns
+    head = ["##fileformat=VCFv4.2"] + ['##INFO=<ID=AF,Number=A,Type=Float,Description="Allele frequency">'] * with_af
+    head += ['##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names])]
+    calls = F.col("calls") if "calls" in sites.columns else call_text(F.col("lo"), F.col("hi"))
+    info = af_text(F.col("af")) if with_af else F.lit(".")
+    line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.lit("."), "ref", F.array_join("alts", ","), F.lit("."), F.lit("PASS"), info, F.lit("GT"), F.array_join(calls, "\t"))
+    body = sites.select(F.lit(1).alias("kind"), F.col("chrom").cast("string").alias("chrom"), F.col("pos").cast("long").alias("pos"), line.alias("value"))
+    rows = spark.createDataFrame([(0, "", 0, "\n".join(head))], "kind int, chrom string, pos long, value string").unionByName(body)
+    order = ["kind", "chrom", "pos", "value"]
+    rows.repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order).select("value").write.text(path, compression="gzip")
+    at = F.split("value", "\t")
+    back = spark.read.text(path).where(~F.startswith("value", F.lit("#"))).select(F.input_file_name().alias("part"), at[0].alias("chrom"), at[1].cast("long").alias("pos"))
+    back.groupBy("part", "chrom").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("n_sites")).coalesce(1).write.parquet(f"{path}/_places")
+
+
+def read_region(spark: SparkSession, path: str, chrom: str, first: int, last: int) -> DataFrame:
+    """Records of a folder of ``write_gt`` between two positions, from the parts that hold any."""
+    places = spark.read.parquet(f"{path}/_places").where((F.col("chrom") == chrom) & (F.col("first") <= last) & (F.col("last") >= first))
+    parts = sorted(r["part"] for r in places.select("part").distinct().collect())
+    f = F.split("value", "\t")
+    rows = spark.read.text(parts) if parts else spark.createDataFrame([], "value string")
+    rows = rows.where(~F.startswith("value", F.lit("#"))).select(F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).try_cast("long").alias("pos"), F.get(f, F.lit(3)).alias("ref"), F.split(F.get(f, F.lit(4)), ",").alias("alts"), F.get(f, F.lit(7)).alias("info"), F.slice(f, 10, 2**30).alias("calls"))
+    return rows.where((F.col("chrom") == chrom) & F.col("pos").between(first, last))
