@@ -28,15 +28,14 @@ def main(argv: list[str] | None = None) -> None:
     names, info = vcf.samples(spark, a.input), a.allele_freqs == "info"
     if a.samples and a.samples > len(names):
         raise ValueError("more samples asked for than there are")
+    parsed = vcf.read_gt(spark, a.input, info) if a.tag == "GT" else vcf.read_likelihoods(spark, a.input, a.tag, info)
+    sites = written(parsed.sites, "sites")  # the text is read once, and what is counted is noted then
     if a.tag == "GT":
-        parsed = vcf.read_gt(spark, a.input, info)
-        pairs = relatedness.relatedness_gt(parsed.sites, a.iterations, a.samples)
+        pairs = relatedness.relatedness_gt(sites, a.iterations, a.samples)
     else:
-        parsed = vcf.read_likelihoods(spark, a.input, a.tag, info)
-        pairs = relatedness.relatedness_gl(parsed.sites, a.iterations, a.samples, a.minimum_allele_frequency)
+        pairs = relatedness.relatedness_gl(sites, a.iterations, a.samples, a.minimum_allele_frequency)
     pairs = written(pairs, "pairs")  # the sort of the output would solve them twice
     tables.write_results(pairs, names, a.output)
-    # noted while the sites were read for the results; they are not read again for it
     n = parsed.counts()
     kept = ", ".join(f"{n[f'alleles_{k}']} with {k} alleles" for k in (2, 3, 4))
     print(f"{n['sites']} sites: {n['not_snp']} are no substitutions, {n['missing']} have missing calls; {kept}", file=sys.stderr)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with value computed once a row, also where it is used within lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -120,21 +121,3 @@ def reduce_sites(sites: DataFrame) -> DataFrame:
 def counters(sites: DataFrame) -> DataFrame:
     """Sites by status and number of alleles. sites: status, n_alleles."""
     return sites.groupBy("status", "n_alleles").agg(F.count("*").alias("n_sites"))
-
-
-def thin(sites: DataFrame, distance: int) -> DataFrame:
-    """Greedy thinning of each contig (chrom, pos): keep a site if it is at least ``distance``
-    after the last kept one. Sequential by nature; one group for each contig."""
-
-    def run(pdf):
-        pdf, last, keep = pdf.sort_values("pos"), None, []
-        for p in pdf.pos:
-            keep.append(last is None or p - last >= distance)
-            last = p if keep[-1] else last
-        return pdf[keep]
-
-    return sites.groupBy("chrom").applyInPandas(run, sites.schema)
-
-
-def random_subset(sites: DataFrame, k: int, seed: int) -> DataFrame:
-    return sites.orderBy(F.xxhash64(F.lit(seed), "chrom", "pos"), "chrom", "pos").limit(k).orderBy("chrom", "pos")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions.identity import CONDENSED, MODE, inbreeding, joint_genotypes, kinship, mirror, state_sql, total_variation
-from kinfold.operators import evaluate, pairs, sites
+from kinfold.operators import evaluate, pairs, selection, sites
 from kinfold.operators.pairs import D, M
 from kinfold.plans import panel, relatedness
 from kinfold.plans.panel import PANEL_SQL
@@ -362,6 +362,54 @@ def panel_with_gaps(spark, sf_dir, every: int) -> DataFrame:
     return panel.fenced(s.select("site_id", "n_alleles", "lo", "hi"), all=both)
 
 
+# Sites made of line items: a contig for each line number, a few of them at one position.
+@query("""WITH RECURSIVE s AS MATERIALIZED (SELECT 'c' || l_linenumber AS chrom, l_orderkey * 7 + l_partkey % 5 AS pos, min(l_partkey) AS key FROM lineitem GROUP BY ALL),
+k AS (SELECT chrom, min(pos) AS pos FROM s GROUP BY chrom UNION ALL SELECT s.chrom, min(s.pos) FROM k JOIN s ON s.chrom = k.chrom AND s.pos >= k.pos + 311 GROUP BY s.chrom)
+SELECT s.* FROM s JOIN k ON s.chrom = k.chrom AND s.pos = k.pos""")
+def thinned_sites(spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    rows = t.select(F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("chrom"), (F.col("l_orderkey") * 7 + F.col("l_partkey") % 5).alias("pos"), F.col("l_partkey").alias("key"))
+    return selection.thin(rows, 311, window=5000)
+
+
+@query("SELECT o_orderpriority AS chrom, o_orderkey AS pos FROM orders ORDER BY CAST('0x' || substr(md5('5|' || o_orderpriority || '|' || o_orderkey), 1, 15) AS BIGINT) LIMIT 500")
+def random_subset(spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderpriority").alias("chrom"), F.col("o_orderkey").alias("pos"))
+    return selection.random_subset(t, 500, 5)
+
+
+# Tracks made of line items: intervals of up to 51 places of a genome of 3000, six tracks for each pair.
+@query("""WITH t AS MATERIALIZED (SELECT l_suppkey % 40 AS pair, (['ij', 'ik', 'il', 'jk', 'jl', 'kl'])[1 + l_partkey % 6] AS track, l_orderkey % 3100 AS lo, least(3000, l_orderkey % 3100 + CAST(l_quantity AS BIGINT)) AS hi FROM lineitem WHERE l_linenumber = 1),
+v AS MATERIALIZED (SELECT * FROM t WHERE lo < hi),
+b AS (SELECT pair, lo AS pos FROM v UNION SELECT pair, hi FROM v UNION SELECT DISTINCT pair, 0 FROM t UNION SELECT DISTINCT pair, 3000 FROM t),
+s AS MATERIALIZED (SELECT pair, pos, lead(pos) OVER (PARTITION BY pair ORDER BY pos) AS until FROM b),
+f AS (SELECT s.pair, s.pos, s.until, """ + ", ".join(f"coalesce(bool_or(track = '{t}'), FALSE) AS {t}" for t in evaluate.TRACKS) + f""" FROM s LEFT JOIN v ON v.pair = s.pair AND v.lo <= s.pos AND v.hi > s.pos WHERE until IS NOT NULL GROUP BY ALL),
+m AS (SELECT pair, until - pos AS span, {CONDENSED} AS st FROM f)
+SELECT pair, """ + ", ".join(f"round(coalesce(sum(span) FILTER (WHERE st = {k}), 0) / 3000, 9) AS d{k}" for k in range(1, 10)) + " FROM m GROUP BY pair")
+def ibd_states_of_tracks(spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber = 1")
+    names = F.array(*map(F.lit, evaluate.TRACKS))
+    left = F.col("l_orderkey") % 3100
+    tracks = t.select((F.col("l_suppkey") % 40).alias("pair"), F.get(names, (F.col("l_partkey") % 6).cast("int")).alias("track"), left.alias("left"), (left + F.col("l_quantity").cast("long")).alias("right"))
+    return evaluate.states_of_tracks(tracks, tracks.select("pair"), 3000, 500).select("pair", *(F.round(d, 9).alias(d) for d in D))
+
+
+# A pedigree made of customers: 200 families, in each of which the k-th is a child of those of a half and a third of its number.
+@query("""WITH RECURSIVE m AS (
+  SELECT 0 AS k, [[CAST(0.5 AS DOUBLE)]] AS rows
+  UNION ALL
+  SELECT k + 1, list_append(rows, list_append(list_transform(range(k + 1), lambda j: CASE WHEN k < 3 THEN CAST(0 AS DOUBLE) ELSE
+      (rows[greatest((k + 1) // 2, j) + 1][least((k + 1) // 2, j) + 1] + rows[greatest((k + 1) // 3, j) + 1][least((k + 1) // 3, j) + 1]) / 2 END),
+      CASE WHEN k < 3 THEN CAST(0.5 AS DOUBLE) ELSE 0.5 + rows[(k + 1) // 2 + 1][(k + 1) // 3 + 1] / 2 END)) FROM m WHERE k < (SELECT max(c_custkey // 200) FROM customer)
+), f AS (SELECT rows FROM m ORDER BY k DESC LIMIT 1), c AS (SELECT c_custkey % 200 AS family, c_custkey // 200 AS k FROM customer)
+SELECT a.family, a.k AS a, b.k AS b, round(rows[b.k + 1][a.k + 1], 9) AS kinship FROM c a JOIN c b ON a.family = b.family AND a.k <= b.k, f WHERE rows[b.k + 1][a.k + 1] > 0""")
+def expected_kinship(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select((F.col("c_custkey") % 200).alias("family"), F.floor(F.col("c_custkey") / 200).alias("ind"))
+    born = lambda n: F.when(F.col("ind") >= 4, F.floor(F.col("ind") / n))
+    found = evaluate.expected_kinship(c.withColumns({"parent1": born(2), "parent2": born(3)}), ["family"])
+    return found.withColumn("kinship", F.round("kinship", 9))
+
+
 # Records of two tools made of the nations' coefficients: the depth by the row's place.
 SCORES_SQL = COEFFICIENTS_SQL + ", est AS (SELECT 'r' || x AS rel, 'p' || (y % 2) AS rep, (y - x) * 10 AS depth, * FROM c), truth AS (SELECT rel, rep, " + ", ".join(f"min({d}) AS t{d}" for d in D) + " FROM est WHERE rel <> 'r4' GROUP BY rel, rep)"
 TRUE_KINSHIP_SQL = "td1 + 0.5::DOUBLE * (td3 + td5 + td7) + 0.25::DOUBLE * td8"

@@ -143,9 +143,15 @@ def by_tile(sites: DataFrame, used: int, block: int, s: solver.Settings) -> Data
     part = lambda b: F.flatten(F.slice("gl", b * block + 1, F.least(F.lit(block), F.lit(used) - b * block)))
     rows = sites.select("n_alleles", "af", "gl", F.explode(tiles).alias("t"))
     rows = rows.select("n_alleles", "af", F.col("t.i").alias("i"), F.col("t.j").alias("j"), part(F.col("t.i")).alias("a"), part(F.col("t.j")).alias("b"))
+    # each pair of blocks is a group even if no site is left for it
+    every = sites.sparkSession.range(1).select(F.explode(tiles).alias("t")).select("t.*")
+    rows = rows.unionByName(every, allowMissingColumns=True)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = key
+        pdf = pdf[pdf.n_alleles.notna()].astype({"n_alleles": int})
+        if not len(pdf):
+            raise no_site(i * block, j * block)
         xs, ys = np.arange(i * block, min(used, (i + 1) * block)), np.arange(j * block, min(used, (j + 1) * block))
         found: dict[int, list] = {x: [] for x in xs}
         for n, g in pdf.groupby("n_alleles"):

@@ -98,6 +98,9 @@ def test_pairs_without_a_site(spark, local):
     with pytest.raises(Exception, match="samples 0 and 2 share no site"):
         relatedness.relatedness_gl(rows, local=local).collect()
     assert relatedness.relatedness_gl(rows, samples=2, local=local).count() == 3
+    flat = spark.createDataFrame([(0, 2, [1.0, 0.0], [one, one])], rows.schema)
+    with pytest.raises(Exception, match="samples 0 and 0 share no site"):  # none is left
+        relatedness.relatedness_gl(flat, local=local).collect()
 
 
 def test_passes_stop_at_the_limit(spark):
