@@ -23,6 +23,12 @@ def sample_pairs(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select(F.col("id").cast("int").alias("x")).withColumn("y", F.explode(F.sequence("x", F.lit(n - 1))))
 
 
+def named_pairs(samples: DataFrame) -> DataFrame:
+    """x <= y with their names. samples: sample_id (from 0 on), name."""
+    a, b = (samples.select(F.col("sample_id").cast("int").alias(k), F.col("name").alias(f"name_{k}")) for k in "xy")
+    return sample_pairs(samples.sparkSession, samples.count()).join(a, "x").join(b, "y").select("x", "y", "name_x", "name_y")
+
+
 def pair_rows(sites: DataFrame, columns: tuple[str, ...], limit: int | None = None) -> DataFrame:
     """One row for each site and pair x <= y, with the arrays' entries as <name>_x and <name>_y;
     other columns stay. ``limit``: pairs of the first samples only."""

@@ -118,9 +118,11 @@ def _lik(p: DataFrame) -> DataFrame:
     return rows.where(~F.isnan("lik")).withColumn("lik", F.round("lik", 6))
 
 
-@query(PANEL + f"SELECT n_alleles, gx, gy, {MODE} AS mode FROM (SELECT g.n_alleles, g.g AS gx, h.g AS gy, g.i AS i, g.j AS j, h.i AS k, h.j AS l FROM geno g JOIN geno h ON g.n_alleles = h.n_alleles)")
+@query(PANEL + f", r AS ({PAIR_CALLS}) SELECT n_alleles, gx, gy, mode, count(*) AS n_calls FROM (SELECT n_alleles, CAST(j * (j + 1) // 2 + i AS INT) AS gx, CAST(l * (l + 1) // 2 + k AS INT) AS gy, {MODE} AS mode FROM r) GROUP BY ALL")
 def joint_genotype_modes(spark, sf_dir):
-    return joint_genotypes(spark).select("n_alleles", "gx", "gy", "mode")
+    """How often each pair of genotypes, and so each pattern, occurs among all pairs and sites."""
+    rows = pairs.pair_rows(panel.sites(spark, sf_dir).select("n_alleles", "g"), ("g",)).groupBy("n_alleles", F.col("g_x").alias("gx"), F.col("g_y").alias("gy")).agg(F.count("*").alias("n_calls"))
+    return rows.join(F.broadcast(joint_genotypes(spark)), ["n_alleles", "gx", "gy"]).select("n_alleles", "gx", "gy", "mode", "n_calls")
 
 
 @query(PANEL + f", r AS (SELECT a.site_id, g.g AS gx, h.g AS gy, g.i AS i, g.j AS j, h.i AS k, h.j AS l, af FROM afs a JOIN geno g ON g.n_alleles = a.n_alleles JOIN geno h ON h.n_alleles = a.n_alleles) SELECT site_id, gx, gy, {', '.join(f'round({m}, 9) AS {m}' for m in M)} FROM ({MODEL})")
@@ -135,9 +137,11 @@ def quadratic_matrix(spark, sf_dir):
     return pairs.quadratic_terms(panel.frequencies(spark, sf_dir)).withColumn("q", F.round("q", 8))
 
 
-@query("SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM range(32) a(x), range(32) b(y) WHERE y >= x")
+@query("SELECT CAST(a.n_nationkey AS INT) AS x, CAST(b.n_nationkey AS INT) AS y, a.n_name AS name_x, b.n_name AS name_y FROM nation a JOIN nation b ON b.n_nationkey >= a.n_nationkey")
 def pair_enumeration(spark, sf_dir):
-    return pairs.sample_pairs(spark, panel.SAMPLES)
+    """The nations stand for samples."""
+    t = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return pairs.named_pairs(t.select(F.col("n_nationkey").alias("sample_id"), F.col("n_name").alias("name")))
 
 
 @query(PANEL + "SELECT x.sample_id AS x, y.sample_id AS y, count(*) AS n_sites FROM calls x JOIN calls y ON x.site_id = y.site_id AND y.sample_id >= x.sample_id WHERE x.sample_id < 5 AND y.sample_id < 5 GROUP BY ALL")
@@ -456,9 +460,11 @@ def kinship_described(spark, sf_dir):
     return evaluate.described(_named(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in ("mean", "std", "q25", "q50", "q75")})
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY o) - 1 AS BIGINT) AS place, name FROM (SELECT r * 2 + k AS o, (['full_sib', 'unrelated'])[r + 1] || k AS name FROM range(2) a(r), range(2) b(k) UNION ALL SELECT 4 + i, 'ref' || i FROM range(6) c(i))")
+@query("SELECT CAST(r_regionkey * 2 + k AS BIGINT) AS place, r_name || k AS name FROM region, range(2) b(k) UNION ALL SELECT CAST(n - 1 + 2 * (SELECT count(*) FROM region) AS BIGINT), 'ref' || (n - 1) FROM (SELECT row_number() OVER () AS n FROM supplier)")
 def focal_names(spark, sf_dir):
-    return evaluate.focal_names(spark, ["full_sib", "unrelated"], 6)
+    """The regions stand for relationships, and there are as many references as suppliers."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    return evaluate.focal_names(spark, [r["r_name"] for r in read("region").orderBy("r_regionkey").collect()], read("supplier").count())
 
 
 # By another way: 60 rounds of expectation-maximisation for each site.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions.identity import kinship
-from kinfold.operators.pairs import D
+from kinfold.operators.pairs import D, mirrored
 
 NINE = ", ".join(f"jacquard{k} double" for k in range(1, 10))
 
@@ -63,12 +63,39 @@ def write_truth(truth: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
+def tiles(pairs: DataFrame, size: int = 64) -> DataFrame:
+    """Kinship and coefficients as blocks of dense matrices: tile_row, tile_col, and arrays over the
+    tile's places x * size + y (from its corner; null beyond the samples): kinship, and jacquard
+    with nine values each. Both directions of each pair are there; a task gathers size^2 pairs at
+    most, and nothing goes through the driver."""
+    both = mirrored(pairs.select("x", "y", "kinship", *D))
+    at = F.struct(((F.col("x") % size) * size + F.col("y") % size).cast("int").alias("k"), "kinship", F.array(*D).alias("d"))
+    found = both.groupBy(F.floor(F.col("x") / size).cast("int").alias("tile_row"), F.floor(F.col("y") / size).cast("int").alias("tile_col")).agg(F.map_from_entries(F.collect_list(F.struct(at["k"], at))).alias("m"))
+    places = F.sequence(F.lit(0), F.lit(size * size - 1))
+    return found.select("tile_row", "tile_col", F.transform(places, lambda k: F.col("m")[k]["kinship"]).alias("kinship"), F.transform(places, lambda k: F.col("m")[k]["d"]).alias("jacquard"))
+
+
+def write_tiles(pairs: DataFrame, path: str, size: int = 64) -> None:
+    """Tiles as Parquet, a folder for each row of tiles."""
+    tiles(pairs, size).withColumn("size", F.lit(size)).repartition("tile_row").write.partitionBy("tile_row").mode("overwrite").parquet(path)
+
+
+def read_tile(spark: SparkSession, path: str, row: int, col: int):
+    """Kinship [x, y] and coefficients [x, y, 9] of one tile, NaN beyond the samples."""
+    import numpy as np
+
+    r = spark.read.parquet(path).where((F.col("tile_row") == row) & (F.col("tile_col") == col)).first()
+    if r is None:
+        raise ValueError(f"no tile {row}, {col}")
+    none = [np.nan] * 9
+    theta = np.array([np.nan if v is None else v for v in r["kinship"]]).reshape(r["size"], r["size"])
+    return theta, np.array([none if v is None else v for v in r["jacquard"]]).reshape(r["size"], r["size"], 9)
+
+
 def dense(pairs: DataFrame, n: int):
     """Arrays on the driver: coefficients n x n x 9 and kinship n x n, for few samples."""
     import numpy as np
 
-    from kinfold.operators.pairs import mirrored
-
     out, theta = np.full((n, n, 9), np.nan), np.full((n, n), np.nan)
     for r in mirrored(pairs.select("x", "y", "kinship", *D)).toLocalIterator():
         out[r["x"], r["y"]], theta[r["x"], r["y"]] = [r[d] for d in D], r["kinship"]

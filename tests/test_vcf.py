@@ -123,7 +123,7 @@ def test_command_line(spark, tmp_path, capsys):
     for tag in ("GT", "PL"):
         command.main([str(tmp_path / "x.vcf.gz"), str(tmp_path / tag), "-t", tag, "-s", "2", "-i", "1"])
         said = capsys.readouterr().err
-        assert "600 sites" in said and "186 are no substitutions" in said and "3 pairs" in said and "pairs have not converged in 1 iterations" in said
+        assert "600 sites" in said and "186 are no substitutions" in said and "3 pairs" in said and ("3 pairs have not converged in 1 iterations" in said) == (tag == "GT")
         rows = tables.read_estimates(spark, str(tmp_path / tag)).collect()
         assert [(x["sample1"], x["sample2"]) for x in rows] == [("a", "a"), ("a", "b"), ("b", "b")]
     with pytest.raises(ValueError, match="more samples"):
