@@ -42,6 +42,7 @@ TOKENIZER = "byte_bpe_50k.json"
 MAGIC = b"KFPACK01"
 HEADER = struct.Struct("<8sIIQQ")
 BLOCK = 8192
+READ_BLOCKS = 128
 END_ID = 0
 
 
@@ -133,6 +134,30 @@ class Reader:
         stop = int(self.docs[k + 1]["first"]) if k + 1 < len(self.docs) else self.ids
         return None if d["null"] else int(d["id"]), int(d["first"]), self.span(int(d["first"]), stop - int(d["first"]))
 
+    def documents(self, at_once: int = READ_BLOCKS) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """All documents in order, as ``document`` gives them. Blocks are read in order, ``at_once``
+        of them by one read, and each only once; documents are cut out of them."""
+        ends = [*self.docs["first"][1:].tolist(), self.ids][: len(self.docs)]
+        k, start, pieces = 0, 0, []  # pieces hold the ids from start on that no document has yet
+
+        def row(ids: np.ndarray) -> tuple[int | None, int, np.ndarray]:
+            d = self.docs[k]
+            return None if d["null"] else int(d["id"]), int(d["first"]), ids
+
+        for low in range(0, self.ids, self.block * at_once):
+            high = min(low + self.block * at_once, self.ids)
+            pieces.append(self.span(low, high - low))
+            if k < len(ends) and ends[k] <= high:
+                flat = np.concatenate(pieces)
+                while k < len(ends) and ends[k] <= high:
+                    first = int(self.docs[k]["first"])
+                    yield row(flat[first - start : ends[k] - start])
+                    k += 1
+                pieces, start = [flat[ends[k - 1] - start :]], ends[k - 1]
+        while k < len(ends):  # without any id in the file
+            yield row(np.zeros(0, np.uint32))
+            k += 1
+
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
@@ -187,8 +212,7 @@ def read_files(files: DataFrame) -> DataFrame:
                 system, at = fs.FileSystem.from_uri(path)
                 with system.open_input_file(at) as f:
                     r, out = Reader(f, f.size()), []
-                    for k in range(len(r.docs)):
-                        d, first, ids = r.document(k)
+                    for d, first, ids in r.documents():
                         out.append((d, base + first, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                         if len(out) == 10_000:
                             yield frame(out)

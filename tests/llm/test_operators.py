@@ -388,3 +388,30 @@ def test_parity_sketches_bound_the_difference():
         x, y = pool[:n], pool[n - both : n - both + o]
         bits = np.bitwise_count((parities(x) ^ parities(y)).view(np.uint64)).sum()
         assert bits <= min(n + o - 2 * both, SKETCH) and bits % 2 == (n + o) % 2
+
+
+@pytest.mark.parametrize(("lengths", "at_once"), [([1, 3, 0, 700, 20, 1, 1, 64, 64, 0], 2), ([5000], 3), ([0, 0], 1), ([], 4), ([1] * 900, 1)])
+def test_documents_in_order_read_blocks_once(lengths, at_once):
+    import io
+
+    class Counted(io.BytesIO):
+        took = 0
+
+        def read(self, n=-1):
+            out = super().read(n)
+            self.took += len(out)
+            return out
+
+    r, f = np.random.default_rng(3), io.BytesIO()
+    made = [r.integers(0, 50_257, n).astype(np.uint32) for n in lengths]
+    writer = token_files.Writer(f, 17, 64)
+    for k, ids in enumerate(made):
+        writer.add(k if k % 7 else None, ids)
+    writer.close()
+    size, counted = len(f.getvalue()), Counted(f.getvalue())
+    reader = token_files.Reader(counted, size)
+    got = list(reader.documents(at_once))
+    assert len(got) == len(made) and all(np.array_equal(a, b) for (_, _, a), b in zip(got, made, strict=True))
+    assert counted.took <= size
+    again = [reader.document(k) for k in range(len(made))]
+    assert all(a[:2] == b[:2] and np.array_equal(a[2], b[2]) for a, b in zip(got, again, strict=True))
