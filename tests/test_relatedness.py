@@ -120,9 +120,9 @@ def test_nan_is_no_frequency(spark):
 
 def test_oracles(spark):
     con = duckdb.connect()
-    for t in ("nation", "lineitem", "embeddings"):
+    for t in ("region", "nation", "customer", "supplier", "orders", "lineitem", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    for name in ("complete_and_varied_sites", "panel_frequencies", "scoring_table", "top_pairs_by_name", "kinship_described", "focal_names", "snp_site_filter", "genotype_counts", "allele_frequency_gt", "pair_linear_term", "quadratic_matrix", "jacquard_nll_uniform", "zero_freq_reduction", "ibd_mode_spans", "mirror_pairs"):
+    for name in ("genotype_index", "pair_enumeration", "joint_genotype_modes", "thinned_sites", "random_subset", "ibd_states_of_tracks", "expected_kinship", "complete_and_varied_sites", "panel_frequencies", "scoring_table", "top_pairs_by_name", "kinship_described", "focal_names", "snp_site_filter", "genotype_counts", "allele_frequency_gt", "pair_linear_term", "quadratic_matrix", "jacquard_nll_uniform", "zero_freq_reduction", "ibd_mode_spans", "mirror_pairs"):
         want, got = con.execute(queries.ORACLE_SQL[name]).df(), queries.QUERIES[name](spark, SF).toPandas()
         columns = sorted(want.columns)
         assert columns == sorted(got.columns) and sorted(map(tuple, want[columns].values.tolist())) == sorted(map(tuple, got[columns].values.tolist())), name
