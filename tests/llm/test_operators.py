@@ -226,12 +226,44 @@ def test_quality_rules(docs, empty):
         covered = {j for places in at.values() if len(places) > 1 for i in places for j in range(i, i + 5)}
         r = got[k]
         assert (r["n_words"], r["word_chars"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(covered))
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (r["n_symbols"], r["n_dup_lines"]) == (len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)))
         assert r["base_failed"] == (len(w) < 10 or 100 * len(covered) > 20 * len(w)) and not (r["base_failed"] and r["kept"])
     assert quality_rules.quality_rules(empty).count() == 0
-    post = quality_rules.estimate([((2, 2, 2), 900), ((1, 2, 2), 50), ((2, 1, 2), 30), ((2, 2, 0), 20)], (0, 1))
+    post = quality_rules.estimate([((2, 2, 2), 900), ((1, 2, 2), 50), ((2, 1, 2), 30), ((2, 2, 0), 20)], (0, 1)).good
     assert min(post[2, 2, 2], post[2, 2, 0]) > quality_rules.THRESHOLD > max(post[1, 2, 2], post[2, 1, 2])
 
 
+def test_votes_accuracies_are_recovered(spark):
+    """Votes drawn from a known table: nothing but the votes tells what it is."""
+    r, kinds, m = np.random.default_rng(4), (0, 3), 6
+    truth = np.array([[[0.1, 0.03, 0.87]] * m, [[0.1, 0.7, 0.2]] * 3 + [[0.2, 0.1, 0.7]] * 3, [[0.2, 0.05, 0.75]] * 3 + [[0.05, 0.8, 0.15]] * 3])
+    of = r.choice(3, 60_000, p=[0.8, 0.15, 0.05])
+    draws = (r.random((len(of), m))[:, :, None] > truth[of].cumsum(2)[:, :, :2]).sum(2)
+    patterns, n = np.unique(draws, axis=0, return_counts=True)
+    found = quality_rules.estimate([(tuple(map(int, p)), int(k)) for p, k in zip(patterns, n, strict=True)], kinds)
+    assert np.abs(np.array(found.table) - truth).max() < 0.05 and np.abs(np.array(found.shares) - [0.8, 0.15, 0.05]).max() < 0.02
+    rows = spark.createDataFrame([tuple(map(int, p)) for p in patterns], ", ".join(f"v{j} int" for j in range(m)))
+    got = {tuple(x)[:-1]: x["p"] for x in rows.withColumn("p", found.posterior([F.col(f"v{j}") for j in range(m)])).collect()}
+    assert got.keys() == found.good.keys() and max(abs(got[p] - found.good[p]) for p in got) < 1e-3
+
+
+def test_quality_rules_reject_kinds_and_keep_the_rest(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.choice([2, 3, 5, 7, 8])))
+    prose = lambda n: " ".join(word() + ("." if r.random() < 0.1 else "") for _ in range(n))
+    made = [("good", prose(r.randint(40, 400))) for _ in range(600)]
+    for _ in range(30):
+        made.append(("symbols", " ".join(word() + r.choice(["%%%", "***", "$$$"]) for _ in range(80))))
+        made.append(("pipes", " | ".join(word() for _ in range(60))))
+        made.append(("stutter", " ".join(w for w in (word() for _ in range(40)) for _ in range(4))))
+        made.append(("capitals", " ".join(word().upper() + "!!" for _ in range(60))))
+    made += [("good", prose(200) + " a|b # 5% | (1) $3")] * 2 + [("good", prose(150) + " NATO USA EU!")] * 2
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(made)], "doc_id long, text string")
+    got = by_id(quality_rules.quality_rules(docs))
+    assert all(got[k]["kept"] == (kind == "good") for k, (kind, _) in enumerate(made))
+
+
 def test_quality_classifier(spark, docs, empty):
     rows = [(k, " ".join(["word", "of", "text", str(k), "and"] * 8) if k % 3 else "%%% ### $$$ " * 20, "en", "s", 1, "", "") for k in range(300)]
     made, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(300)], "doc_id long, quality int, toxic int")
