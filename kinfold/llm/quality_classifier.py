@@ -6,11 +6,14 @@ weight 0. The rest is compiled into one Spark column expression, so that scoring
 over the corpus, without Python.
 
 Training sees at most ``sample`` labelled documents, those with the least hashes of their ids
-among rows whose crc32(doc_id as text) mod 5 is not 0; statistics of that many rows go to the
-driver. Labels, language, source and id are no inputs of a score.
+among rows whose crc32(doc_id as text) mod 5 is not 0. Where the hashes have to be cut follows
+from how many labelled ids there are, so that no task sees more than its part of the sample;
+statistics of that many rows go to the driver. Labels, language, source and id are no inputs
+of a score.
 
 Cases: null and empty texts have statistics of 0 and are scored like any; a null id is scored
-and not held out; several labels of one id count as the least; without labels of both classes
+and not held out; several labels of one id count as the least, and
+of several rows of one id training sees the one with the least hash of its text; without labels of both classes
 all documents get the share of class 1 (0.5 without any); an empty table gives an empty one.
 Columns in ``carry`` are kept.
 """
@@ -106,13 +109,25 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], penalty: float = PENALTY
     return RuleEnsemble(names, bias, [(rules[j], float(w[j])) for j in np.flatnonzero(np.abs(w) > 1e-6)])
 
 
+def least_hashes(ids: DataFrame, sample: int) -> DataFrame:
+    """At most ``sample`` of the distinct ids, those of least hash. Hashes are spread evenly, so
+    that below ``sample`` / n of their range there are ``sample`` of n ids, give or take some
+    roots of that; five roots less, hardly ever more than ``sample``, which the limit still holds."""
+    n = ids.count()
+    if n <= sample:
+        return ids
+    cut = max(0.0, sample - 5 * sample**0.5) / n
+    return ids.where(F.xxhash64("doc_id") < F.lit(int(-(2**63) + cut * 2**64))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+
+
 def train_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleEnsemble:
     """The ensemble for a corpus and its labels (doc_id, quality)."""
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("_y"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = least_hashes(chosen, sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     stats = statistics()
-    got = add_words(rows).select(F.xxhash64("doc_id", "text").alias("k"), F.col("_y").cast("double"), *(c.alias(n) for n, c in stats.items())).orderBy("k").limit(sample).collect()
+    one = add_words(rows).select("doc_id", F.struct(F.xxhash64("doc_id", "text").alias("k"), F.col("_y").cast("double"), *(c.alias(n) for n, c in stats.items())).alias("s"))
+    got = sorted(r["s"] for r in one.groupBy("doc_id").agg(F.min("s").alias("s")).collect())
     table = np.array([tuple(r) for r in got], float).reshape(len(got), len(stats) + 2)
     return fit(table[:, 2:], table[:, 1], list(stats))
 
