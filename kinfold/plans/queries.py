@@ -10,11 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.functions.identity import CONDENSED, MODE, inbreeding, joint_genotypes, kinship, mirror, state_sql, total_variation
+from kinfold.functions.identity import CONDENSED, MODE, fisher_rao, inbreeding, joint_genotypes, kinship, mirror, state_sql, total_variation
 from kinfold.operators import evaluate, pairs, selection, sites
 from kinfold.operators.pairs import D, M
 from kinfold.plans import panel, relatedness
 from kinfold.plans.panel import PANEL_SQL
+from kinfold.shared import new_path
+from kinfold.sources import tables, vcf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -560,3 +562,97 @@ def relatedness_gl_optimality(spark, sf_dir):
     dot = sum(F.col(m) * d for m, d in zip(M, own, strict=True))
     slopes = panel.fenced(rows, dot=dot).groupBy("x", "y", *D).agg(*(F.avg(F.col(m) / F.col("dot")).alias(m) for m in M))
     return slopes.select("x", "y", *_held(_simplex(own), F.greatest(*M) - 1))
+
+
+# Queries that go through files: tables are written in the shared folder and read back.
+AS_RECORDS_SQL = ", t AS (SELECT *, site_id % 13 <> 0 AS snp, site_id % 29 = 0 AND sample_id = site_id % 32 AS gap FROM calls)"
+
+
+def as_records(spark, sf_dir, table: DataFrame) -> DataFrame:
+    """Adds chrom, pos, ref and alts to sites; every thirteenth is no substitution."""
+    ref = F.when(F.col("site_id") % 13 == 0, "AC").otherwise("A")
+    return table.withColumns({"chrom": F.concat(F.lit("c"), (F.col("site_id") % 3).cast("string")), "pos": F.col("site_id"), "ref": ref, "alts": F.slice(F.split(F.lit("C,G,T"), ","), 1, F.col("n_alleles") - 1)})
+
+
+def hard_calls_file(spark, sf_dir) -> str:
+    """The panel's calls as VCF with frequencies; one call is missing at every 29th site."""
+    gap = lambda c, k: F.when((F.col("site_id") % 29 == 0) & (F.col("site_id") % panel.SAMPLES == k), F.lit(-1)).otherwise(c)
+    s = as_records(spark, sf_dir, panel.frequencies(spark, sf_dir).withColumn("lo", F.transform("lo", gap)))
+    path = new_path(spark, "vcf")
+    vcf.write_gt(s, [f"s{k}" for k in range(panel.SAMPLES)], path)
+    return path
+
+
+@query(PANEL + AS_RECORDS_SQL + """ SELECT 'c' || (site_id % 3) AS chrom, t.site_id AS pos, t.n_alleles, sample_id, lo, hi, round(af[lo + 1], 6) AS af_lo FROM t JOIN afs USING (site_id)
+WHERE snp AND site_id NOT IN (SELECT site_id FROM t WHERE gap)""")
+def vcf_hard_calls(spark, sf_dir):
+    """af_lo: the frequency in INFO of the call's lesser allele."""
+    s = vcf.read_gt(spark, hard_calls_file(spark, sf_dir), with_af=True).sites
+    rows = s.select("chrom", "pos", "n_alleles", "af", F.posexplode(F.arrays_zip("lo", "hi")).alias("sample_id", "c"))
+    return rows.select("chrom", "pos", "n_alleles", "sample_id", "c.lo", "c.hi", F.round(F.get("af", F.col("c.lo")), 6).alias("af_lo"))
+
+
+@query(PANEL + AS_RECORDS_SQL + """, s AS (SELECT site_id, n_alleles, bool_and(snp) AS snp, bool_or(gap) AS gap FROM t GROUP BY ALL)
+SELECT CASE WHEN NOT snp THEN 'not_snp' WHEN gap THEN 'missing' ELSE 'kept' END AS status, CASE WHEN snp THEN n_alleles ELSE 0 END AS n_alleles, count(*) AS n_sites FROM s GROUP BY ALL""")
+def vcf_counters(spark, sf_dir):
+    return vcf.read_gt(spark, hard_calls_file(spark, sf_dir)).counters.withColumn("n_alleles", F.coalesce("n_alleles", F.lit(0)))
+
+
+@query(PANEL + AS_RECORDS_SQL + """ SELECT 'c' || (site_id % 3) AS chrom, site_id AS pos, sample_id, CASE WHEN gap THEN './.' ELSE lo || '/' || hi END AS call FROM t
+WHERE site_id % 3 = 1 AND site_id BETWEEN 40 AND (SELECT max(site_id) // 2 FROM calls)""")
+def vcf_region(spark, sf_dir):
+    """Records between two positions of one contig, from the parts that hold any."""
+    last = spark.read.parquet(f"{sf_dir}/embeddings.parquet").agg(F.floor(F.max("vec_id") / 2)).first()[0]
+    rows = vcf.read_region(spark, hard_calls_file(spark, sf_dir), "c1", 40, last)
+    return rows.select("chrom", "pos", F.posexplode("calls").alias("sample_id", "call"))
+
+
+@query(PANEL + AS_RECORDS_SQL + """ SELECT 'c' || (site_id % 3) AS chrom, site_id AS pos, sample_id, k AS genotype, round(pow(CAST(10 AS DOUBLE), -pl / CAST(10 AS DOUBLE)), 6) AS lik
+FROM lik WHERE pl IS NOT NULL AND site_id % 13 <> 0""")
+def vcf_likelihoods(spark, sf_dir):
+    s, path = as_records(spark, sf_dir, panel.likelihoods(spark, sf_dir)), new_path(spark, "vcf")
+    vcf.write_likelihoods(s, [f"s{k}" for k in range(panel.SAMPLES)], path)
+    rows = vcf.read_likelihoods(spark, path, "PL", missing_ok=True).sites.select("chrom", "pos", F.posexplode("gl").alias("sample_id", "row"))
+    rows = rows.select("chrom", "pos", "sample_id", F.posexplode("row").alias("genotype", "lik"))
+    return rows.where(~F.isnan("lik")).withColumn("lik", F.round("lik", 6))
+
+
+# Coefficients of pairs made of suppliers.
+SUPPLIERS_SQL = "c AS (SELECT s_suppkey AS n, CAST(s_suppkey % 10 AS INT) AS x, CAST(s_suppkey % 10 + s_suppkey // 10 AS INT) AS y, " + ", ".join(f"CAST((s_suppkey * {k + 3} + {k}) % 8 / 64.0 AS DOUBLE) AS d{k + 1}" for k in range(9)) + " FROM supplier)"
+JACQUARD_SQL = ", ".join(f"{d} AS jacquard{k}" for k, d in enumerate(D, 1))
+
+
+def of_suppliers(spark, sf_dir) -> DataFrame:
+    n = F.col("s_suppkey")
+    made = [((n * (k + 3) + k) % 8 / 64.0).alias(f"d{k + 1}") for k in range(9)]
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(n.alias("n"), (n % 10).cast("int").alias("x"), (n % 10 + F.floor(n / 10)).cast("int").alias("y"), *made)
+
+
+@query(f"WITH {SUPPLIERS_SQL} SELECT 's' || x AS sample1, 's' || y AS sample2, {KINSHIP_SQL} AS kinship, {JACQUARD_SQL}, CAST(n % 50 AS BIGINT) AS iterations, n / 8.0::DOUBLE AS objective, CAST(n % 9 AS DOUBLE) AS condition FROM c")
+def results_file(spark, sf_dir):
+    c = of_suppliers(spark, sf_dir).withColumns({"kinship": kinship([F.col(d) for d in D]), "iterations": (F.col("n") % 50).cast("long"), "objective": F.col("n") / 8.0, "condition": F.pow(F.lit(10.0), F.col("n") % 9)})
+    n, path = c.agg(F.max("y")).first()[0], new_path(spark, "results")
+    tables.write_results(c, [f"s{k}" for k in range((n or 0) + 1)], path)
+    return tables.read_estimates(spark, path).withColumn("condition", F.round("condition", 9))
+
+
+@query(f"WITH {SUPPLIERS_SQL} SELECT 'r' || n AS rel, {KINSHIP_SQL} AS kinship, {JACQUARD_SQL} FROM c")
+def truth_file(spark, sf_dir):
+    path = new_path(spark, "truth")
+    tables.write_truth(of_suppliers(spark, sf_dir).select(F.concat(F.lit("r"), F.col("n").cast("string")).alias("rel"), *D), path)
+    return tables.read_truth(spark, path)
+
+
+@query(f"WITH {SUPPLIERS_SQL}, r AS (SELECT * FROM (VALUES " + ", ".join(f"('{r}', {2 * k}, {2 * k + 1})" for k, r in enumerate(evaluate.STUDY)) + f") v(rel, a, b)) SELECT rel, {', '.join(D)} FROM c JOIN r ON a = 2 * (n - 1) AND b = 2 * n - 1 + n % 3 // 2")
+def comparator_file(spark, sf_dir):
+    """Another tool's table, of which the focal pairs count; every third has another partner."""
+    n, path = F.col("n"), new_path(spark, "comparator")
+    t = of_suppliers(spark, sf_dir).select((2 * (n - 1)).alias("a"), (2 * n - 1 + F.floor(n % 3 / 2)).alias("b"), n.alias("nSites"), *(F.col(d).alias(f"J{k}") for k, d in enumerate(D, 1)))
+    t.write.csv(path, sep="\t", header=True)
+    return evaluate.comparator_scores(tables.read_comparator(spark, path))
+
+
+@query(f"WITH {SUPPLIERS_SQL} SELECT n AS pair, round(2 * acos(least(1, {' + '.join(f'sqrt({a} * {b})' for a, b in zip(D, mirror(D), strict=True))})), 6) AS distance FROM c")
+def fisher_rao_eval(spark, sf_dir):
+    own = [F.col(d) for d in D]
+    return of_suppliers(spark, sf_dir).select(F.col("n").alias("pair"), F.round(fisher_rao(own, mirror(own)), 6).alias("distance"))

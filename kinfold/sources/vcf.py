@@ -108,7 +108,7 @@ def read_gt(spark: SparkSession, path: str, with_af: bool = False, split: int =
     good = good.withColumn("a", F.when(F.coalesce(fits, F.lit(True)), F.col("a")).otherwise(F.raise_error(F.lit("an allele beyond the alternatives"))))
     out = [F.transform("a", lambda x: F.array_min(x)).alias("lo"), F.transform("a", lambda x: F.array_max(x)).alias("hi")]
     if with_af:
-        out.append(s.decode_af(F.col("info"), F.size("alts")).alias("af"))
+        out.append(F.when(F.col("n_alleles").isNotNull(), s.decode_af(F.col("info"), F.size("alts"))).alias("af"))
     return Parsed(good.select("site_id", "chrom", "pos", "n_alleles", *out), counters, seen)
 
 
@@ -122,7 +122,10 @@ def read_likelihoods(spark: SparkSession, path: str, tag: str = "GL", with_af: b
     whole = F.transform("text", lambda t: F.when(F.lit(missing_ok) & (t == "."), F.array_join(F.array_repeat(F.lit("."), n), ",")).otherwise(t))
     decode = s.decode_gl if tag == "GL" else s.decode_pl
     gl = F.transform(whole, lambda t: F.when(F.size(F.split(t, ",")) == n, decode(t)).otherwise(F.raise_error(F.concat(F.lit(f"{tag} does not fit the alternatives: "), t))))
-    out = [s.decode_af(F.col("info"), F.size("alts")).alias("af")] if with_af else []
+    # Filters that a reader's plan adds may be evaluated before the one above: no value for others.
+    snp = F.col("n_alleles").isNotNull()
+    gl = F.when(snp, gl)
+    out = [F.when(snp, s.decode_af(F.col("info"), F.size("alts"))).alias("af")] if with_af else []
     return Parsed(snps.select("site_id", "chrom", "pos", "n_alleles", gl.alias("gl"), *out), s.counters(rows.select("status", "n_alleles")), seen)
 
 
@@ -138,19 +141,35 @@ def af_text(af: Column) -> Column:
     return F.concat(F.lit("AF="), F.array_join(F.transform(F.slice(af, 2, F.greatest(F.size(af) - 1, F.lit(0))), lambda x: F.regexp_replace(F.format_string("%.6f", x), r"\.?0+$", "")), ","))
 
 
+def likelihood_text(values: Column) -> Column:
+    """Likelihoods of all samples from an array of arrays; null ones, and ones with a null, are missing."""
+    return F.transform(values, lambda v: F.when(F.forall(v, lambda x: x.isNotNull()), F.array_join(v.cast("array<string>"), ",")).otherwise("."))
+
+
 def write_gt(sites: DataFrame, names: list[str], path: str, parts: int | None = None) -> None:
     """sites: chrom, pos, ref, alts (array), calls (array of text; or lo and hi, arrays of alleles),
-    and perhaps af (array), which goes to INFO.
+    and perhaps af (array), which goes to INFO. The folder is as ``write_records`` says."""
+    calls = F.col("calls") if "calls" in sites.columns else call_text(F.col("lo"), F.col("hi"))
+    write_records(sites, calls, '<ID=GT,Number=1,Type=String,Description="Genotype">', names, path, parts)
+
+
+def write_likelihoods(sites: DataFrame, names: list[str], path: str, tag: str = "PL", parts: int | None = None) -> None:
+    """The same for likelihoods: sites has a column of the tag's name in lower case, an array over
+    samples of arrays, in the tag's own scale (PL: integers, GL: logarithms)."""
+    write_records(sites, likelihood_text(F.col(tag.lower())), f'<ID={tag},Number=G,Type={TYPES[tag]},Description="Genotype likelihoods">', names, path, parts)
+
+
+def write_records(sites: DataFrame, calls: Column, kind: str, names: list[str], path: str, parts: int | None = None) -> None:
+    """sites with calls, one text a sample, under the FORMAT that ``kind`` describes.
 
     The folder's parts are gzip members in the order of the sites, the header at the beginning of
     the first, so that they can be joined into one file as they are. Beside them, in ``_places``,
     stands which part holds which positions. ``parts``: how many; else as Spark sees fit."""
-    spark, with_af = sites.sparkSession, "af" in sites.columns
+    spark, with_af, tag = sites.sparkSession, "af" in sites.columns, kind[4 : kind.index(",")]
     head = ["##fileformat=VCFv4.2"] + ['##INFO=<ID=AF,Number=A,Type=Float,Description="Allele frequency">'] * with_af
-    head += ['##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names])]
-    calls = F.col("calls") if "calls" in sites.columns else call_text(F.col("lo"), F.col("hi"))
+    head += [f"##FORMAT={kind}", "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names])]
     info = af_text(F.col("af")) if with_af else F.lit(".")
-    line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.lit("."), "ref", F.array_join("alts", ","), F.lit("."), F.lit("PASS"), info, F.lit("GT"), F.array_join(calls, "\t"))
+    line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.lit("."), "ref", F.array_join("alts", ","), F.lit("."), F.lit("PASS"), info, F.lit(tag), F.array_join(calls, "\t"))
     body = sites.select(F.lit(1).alias("kind"), F.col("chrom").cast("string").alias("chrom"), F.col("pos").cast("long").alias("pos"), line.alias("value"))
     rows = spark.createDataFrame([(0, "", 0, "\n".join(head))], "kind int, chrom string, pos long, value string").unionByName(body)
     order = ["kind", "chrom", "pos", "value"]
