@@ -106,6 +106,18 @@ def test_kinship_of_a_random_pedigree(spark):
         evaluate.MOST_GENERATIONS = mocked
 
 
+def test_kinship_broadcasts_no_table_that_grows(spark, monkeypatch):
+    """Written tables look small to the planner; blocks of a family give the same as the whole."""
+    plans, written = [], evaluate.written
+    monkeypatch.setattr(evaluate, "written", lambda df, what: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df, what))
+    df = spark.createDataFrame([(f, k, k // 2 if k > 3 else None, k // 3 if k > 3 else None) for f in "xy" for k in range(30)], "family string, ind long, parent1 long, parent2 long")
+    whole, cut = ({(r["family"], r["a"], r["b"]): r["kinship"] for r in evaluate.expected_kinship(df, ["family"], block).collect()} for block in (512, 4))
+    assert whole == cut and len(whole) > 600 and whole["x", 4, 5] == 0.25
+    one = evaluate.expected_kinship(df.where("family = 'x'").drop("family"), [], 7).collect()
+    assert {("x", r["a"], r["b"]): r["kinship"] for r in one} == {k: v for k, v in whole.items() if k[0] == "x"}
+    assert plans and not any("Broadcast" in p for p in plans)
+
+
 def test_references_seeds_comparator_and_sidecar(spark):
     rows = evaluate.pedigree(spark, 2, references=3, relationships=("full_sib",)).collect()
     assert Counter((r["rep"], r["family"]) for r in rows) == {(0, "full_sib"): 4, (0, "reference"): 3, (1, "full_sib"): 4, (1, "reference"): 3}
