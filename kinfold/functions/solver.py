@@ -230,6 +230,18 @@ def frequencies(lik: np.ndarray, there: np.ndarray, s: Settings = Settings()) ->
     return sequential(parts, np.full((len(lik), a), 1 / a), Settings(s.outer, a + 1))
 
 
+def expected_frequencies(lik: np.ndarray, there: np.ndarray, rounds: int) -> np.ndarray:
+    """The same likelihood by so many rounds of expectation-maximisation from equal frequencies on,
+    without a stop: where an allele hardly occurs they can still be some 1e-3 from the maximum."""
+    lik = np.where(there[:, :, None, None], lik, 0.0)
+    x, n = np.full((len(lik), lik.shape[-1]), 1 / lik.shape[-1]), there.sum(1, keepdims=True)
+    for _ in range(rounds):
+        ends = np.einsum("mkij,mj->mki", lik, x) * x[:, None]
+        whole = np.where(there, ends.sum(2), 1.0)
+        x = (ends / whole[:, :, None]).sum(1) / n
+    return x
+
+
 def least_squares(q: np.ndarray, c: np.ndarray, x: np.ndarray, s: Settings = Settings()) -> tuple[np.ndarray, ...]:
     """Weights that are nearest in the Brier sense, min d'Qd + 2c'd + 1, for each c[m] from x[m] on:
     weights, objective, steps, condition and whether they are optimal."""

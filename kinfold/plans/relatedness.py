@@ -71,6 +71,32 @@ def symmetric(lik: np.ndarray, n_alleles: int) -> np.ndarray:
     return out
 
 
+def likelihood_groups(b: pd.DataFrame, size: int = 256) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Of rows site_id, n_alleles, flat: some hundred at once that have as many alleles and samples, their
+    likelihoods as matrices, and which samples have data. An error where none has."""
+    for _, same in b.groupby(["n_alleles", b.flat.map(len)]):
+        for k in range(0, len(same), size):
+            some = same.iloc[k : k + size]
+            a = int(some.n_alleles.iloc[0])
+            lik = np.stack(some.flat.to_numpy()).astype(float).reshape(len(some), -1, a * (a + 1) // 2)
+            there = ~np.isnan(lik).any(2)
+            if not there.any(1).all():
+                raise ValueError(f"no sample has data at site {some.site_id.to_numpy()[~there.any(1)][0]}")
+            yield some, symmetric(lik, a), there
+
+
+def frequencies_by_rounds(sites: DataFrame, rounds: int) -> DataFrame:
+    """site_id and af after so many rounds of expectation-maximisation; sites as below."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for some, lik, there in likelihood_groups(b):
+                yield some[["site_id"]].assign(af=solver.expected_frequencies(lik, there, rounds).tolist())
+
+    flat = sites.select("site_id", F.col("n_alleles").cast("int").alias("n_alleles"), F.flatten("gl").alias("flat"))
+    return flat.mapInPandas(run, "site_id long, af array<double>")
+
+
 def estimate_frequencies(sites: DataFrame, iterations: int = 100, carry: bool = False) -> DataFrame:
     """Maximum likelihood frequencies of each site (site_id, n_alleles, gl), samples with a missing
     value left out. A row is a site; nothing is shuffled; sites with as many alleles are solved
@@ -80,17 +106,10 @@ def estimate_frequencies(sites: DataFrame, iterations: int = 100, carry: bool =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for _, same in b.groupby(["n_alleles", b.flat.map(len)]):
-                for k in range(0, len(same), 256):
-                    some = same.iloc[k : k + 256]
-                    a = int(some.n_alleles.iloc[0])
-                    lik = np.stack(some.flat.to_numpy()).astype(float).reshape(len(some), -1, a * (a + 1) // 2)
-                    there = ~np.isnan(lik).any(2)
-                    if not there.any(1).all():
-                        raise ValueError(f"no sample has data at site {some.site_id.to_numpy()[~there.any(1)][0]}")
-                    r = solver.frequencies(symmetric(lik, a), there, s)
-                    found = some[["site_id", "n_alleles", "flat"]] if carry else some[["site_id"]]
-                    yield found.assign(af=r.x.tolist(), af_iterations=r.iterations, af_objective=r.f, af_converged=r.converged)
+            for some, lik, there in likelihood_groups(b):
+                r = solver.frequencies(lik, there, s)
+                found = some[["site_id", "n_alleles", "flat"]] if carry else some[["site_id"]]
+                yield found.assign(af=r.x.tolist(), af_iterations=r.iterations, af_objective=r.f, af_converged=r.converged)
 
     schema = "site_id long, af array<double>, af_iterations long, af_objective double, af_converged boolean" + ", n_alleles int, flat array<double>" * carry
     out = sites.select("site_id", F.col("n_alleles").cast("int").alias("n_alleles"), F.flatten("gl").alias("flat")).mapInPandas(run, schema)

@@ -1,11 +1,12 @@
 """Batches of small problems against one at a time, and pairs by passes over units of sites."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kinfold.functions import solver
-from kinfold.plans import panel, relatedness
+from kinfold.plans import panel, queries, relatedness
 
 SF = "/root/testdata/sf0.001"
 
@@ -115,3 +116,19 @@ def test_sites_without_data(spark):
     with pytest.raises(Exception, match="no sample has data at site 7"):
         relatedness.estimate_frequencies(rows).collect()
     assert relatedness.estimate_frequencies(rows.where(F.lit(False)), carry=True).columns == ["site_id", "af", "af_iterations", "af_objective", "af_converged", "n_alleles", "gl"]
+
+
+def test_frequencies_of_a_rare_allele(spark, tmp_path):
+    """Where 60 rounds are short of the maximum the query still has what its SQL has; the solver has
+    the maximum, which many rounds come to."""
+    codes = "0221121211001232013102021201202021103310001003201130101122101102"
+    vectors = spark.createDataFrame([(43360, [(int(c) + 0.5) * 0.375 / 4 - 0.1875 for c in codes], 2)], "vec_id long, embedding array<float>, label int")
+    vectors.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    site = panel.likelihoods(spark, str(tmp_path))
+    best = relatedness.estimate_frequencies(site).first()["af"]
+    short, long = (relatedness.frequencies_by_rounds(site, n).first()["af"] for n in (60, 2000))
+    assert max(abs(a - b) for a, b in zip(best, long)) < 1e-6 and max(abs(a - b) for a, b in zip(best, short)) > 1e-4
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.execute(queries.ORACLE_SQL["allele_frequency_mle"]).fetchall())
+    assert len(want) == 4 and sorted(map(tuple, queries.QUERIES["allele_frequency_mle"](spark, str(tmp_path)).collect())) == want
