@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from kinfold.functions import solver
 from kinfold.functions.identity import joint_genotypes, mirror
-from kinfold.operators import evaluate, sites
+from kinfold.operators import evaluate, pairs, sites
 from kinfold.plans import panel, queries, relatedness
 from kinfold.sources import tables, vcf
 
@@ -142,6 +142,22 @@ def test_all_pairs(spark, name):
     assert np.allclose(want, got, rtol=0, atol=2e-6)
 
 
+def test_component_likelihoods_row_by_row(spark):
+    """Against sums over all pairs of genotypes; made in numpy for many sites at once, not in lambdas for each pair."""
+    r, nan = np.random.default_rng(3), float("nan")
+    made = [(k, a := 2 + k % 3, r.dirichlet([1] * a).tolist(), [[nan] * (a * (a + 1) // 2) if (k + q) % 4 == 0 else r.random(a * (a + 1) // 2).tolist() for q in range(4 - k % 2)]) for k in range(9)]
+    df = spark.createDataFrame(made, "site_id long, n_alleles int, af array<double>, gl array<array<double>>")
+    rows = pairs.mixture_rows(df)
+    got = {(x["site_id"], x["x"], x["y"]): [x[f"m{k}"] for k in range(1, 10)] for x in rows.collect()}
+    want = {}
+    for k, _, af, gl in made:
+        model = relatedness.model_tensor(np.array([af]))[0]
+        want |= {(k, x, y): np.einsum("g,h,ghs->s", gl[x], gl[y], model) for x in range(len(gl)) for y in range(x, len(gl)) if not np.isnan(gl[x] + gl[y]).any()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], v, rtol=0, atol=1e-12) for k, v in want.items())
+    assert {(x["x"], x["y"]) for x in pairs.mixture_rows(df, 2).collect()} == {(0, 0), (0, 1), (1, 1)}
+    assert "zip_with" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_given_frequencies_solves_all_pairs(spark):
     rows = queries.QUERIES["relatedness_gl_given_frequencies"](spark, SF).collect()
     assert sorted((r["x"], r["y"]) for r in rows) == list(itertools.combinations_with_replacement(range(panel.SAMPLES), 2))
