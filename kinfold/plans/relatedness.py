@@ -276,6 +276,8 @@ def relatedness_gl(sites: DataFrame, iterations: int = 100, samples: int | None
     few, s = sites.limit(local + 1).count() <= local, solver.Settings(outer=iterations)
     if "af" not in sites.columns:
         sites = estimate_frequencies(sites, iterations, carry=True)
+        if not few:  # apart from the packing, so that a core has one Python process at a time and not two
+            sites = written(sites, "frequencies")
     least = 1 / (2 * n) if least is None else least
     sites = reduce_sites(sites.select("site_id", "n_alleles", "gl", apply_threshold(F.col("af"), least).alias("af")))
     return finish(by_tile(sites, used, block, s) if few else by_units(written(units(sites, used, unit).repartition(sites.sparkSession.sparkContext.defaultParallelism), "units"), used, s, wave))

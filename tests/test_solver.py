@@ -132,3 +132,12 @@ def test_frequencies_of_a_rare_allele(spark, tmp_path):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     want = sorted(con.execute(queries.ORACLE_SQL["allele_frequency_mle"]).fetchall())
     assert len(want) == 4 and sorted(map(tuple, queries.QUERIES["allele_frequency_mle"](spark, str(tmp_path)).collect())) == want
+
+
+def test_packing_has_one_python_stage(spark, monkeypatch):
+    """Estimates and units aren't made in one stage, where each core would have two Python processes."""
+    plans, written = {}, relatedness.written
+    monkeypatch.setattr(relatedness, "written", lambda df, what: plans.setdefault(what, df._jdf.queryExecution().optimizedPlan().toString()) and written(df, what))
+    lik = panel.likelihoods(spark, SF).drop("af").where("site_id < 60")
+    assert relatedness.relatedness_gl(lik, samples=3, local=0).count() == 6
+    assert plans["units"].count("MapInPandas") == 1 and plans["frequencies"].count("MapInPandas") == 1
