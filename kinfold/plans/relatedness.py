@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions import solver
-from kinfold.functions.components import component_rows, mode_tables, model_tensor  # noqa: F401
+from kinfold.functions.components import HALVES, component_rows, half_sums, known, mode_tables, model_tensor  # noqa: F401
 from kinfold.functions.identity import genotypes, kinship
 from kinfold.operators.pairs import D, linear_terms, quadratic_terms, sample_pairs
 from kinfold.operators.sites import apply_threshold, count_frequencies, reduce_sites
@@ -188,17 +188,21 @@ def pair_sums(packed: DataFrame, used: int, x: np.ndarray, y: np.ndarray, z: np.
     order = np.lexsort((y, x))
     x, y, z = x[order], y[order], z[order]
     firsts = np.flatnonzero(np.diff(x, prepend=-1))
-    spans = [(lo, min(lo + 128, hi)) for a, b in zip(firsts, [*firsts[1:], len(x)], strict=True) for lo in range(a, b, 128) for hi in (b,)]
+    xs = x[firsts]
+    spans = [(k, lo, min(lo + 128, b)) for k, (a, b) in enumerate(zip(firsts, [*firsts[1:], len(x)], strict=True)) for lo in range(a, b, 128)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for n, af, gl in zip(b.n_alleles, b.af, b.gl, strict=True):
                 af = np.frombuffer(af).reshape(-1, n)
-                model, lik = model_tensor(af), np.frombuffer(gl).reshape(len(af), used, -1)
+                model = model_tensor(af)
+                lik, there = known(np.frombuffer(gl).reshape(len(af), used, -1))
                 done, at = [], 0  # some thousand pairs go on at once
-                for lo, hi in spans:
-                    p, there = component_rows(lik[:, x[lo]], lik[:, y[lo:hi]], model)
-                    count, f, g, h = solver.mixture_sums(p, there, z[lo:hi], epsilon)
+                for k, lo, hi in spans:
+                    if k % HALVES == 0 and lo == firsts[k]:
+                        half = half_sums(lik[:, xs[k : k + HALVES]], model)
+                    p, both = np.matmul(lik[:, y[lo:hi]], half[:, k % HALVES]), there[:, xs[k], None] & there[:, y[lo:hi]]
+                    count, f, g, h = solver.mixture_sums(p.transpose(1, 0, 2), both.T, z[lo:hi], epsilon)
                     done.append(np.column_stack([count, f, g, *(h[:, r, c] for r, c in UPPER)]))
                     if hi - at >= 4096 or hi == len(x):
                         yield pd.DataFrame(np.concatenate(done), columns=SUMS).assign(x=x[at:hi], y=y[at:hi])

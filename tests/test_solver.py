@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinfold.functions import solver
+from kinfold.functions.components import component_rows, half_sums, known, model_tensor
+from kinfold.operators import pairs
 from kinfold.plans import panel, queries, relatedness
 
 SF = "/root/testdata/sf0.001"
@@ -141,3 +143,37 @@ def test_packing_has_one_python_stage(spark, monkeypatch):
     lik = panel.likelihoods(spark, SF).drop("af").where("site_id < 60")
     assert relatedness.relatedness_gl(lik, samples=3, local=0).count() == 6
     assert plans["units"].count("MapInPandas") == 1 and plans["frequencies"].count("MapInPandas") == 1
+
+
+def test_half_sums_serve_all_samples(spark):
+    """One product for up to 32 samples gives what each sample alone gives, also beyond 32 and for some
+    of the pairs only."""
+    r = np.random.default_rng(3)
+    lik, af = r.random((5, 40, 6)), r.dirichlet(np.ones(3), 5)
+    lik[r.random((5, 40)) < 0.2, 0] = np.nan
+    model = model_tensor(af)
+    own, there = known(lik)
+    half = half_sums(own, model)
+    for x in range(40):
+        want, both = component_rows(lik[:, x], lik, model)
+        assert np.allclose(np.matmul(own, half[:, x]).transpose(1, 0, 2), want, rtol=1e-12) and (both == (there[:, x, None] & there).T).all()
+    sites = spark.createDataFrame([(v, 3, af[v].tolist(), lik[v].tolist()) for v in range(5)], "site_id long, n_alleles int, af array<double>, gl array<array<double>>")
+    rows = {(q["site_id"], q["x"], q["y"]): [q[m] for m in pairs.M] for q in pairs.mixture_rows(sites).collect()}
+    assert len(rows) == sum(n * (n + 1) // 2 for n in there.sum(1))
+    assert all(np.allclose(m, component_rows(lik[:, x], lik[:, [y]], model)[0][0, v], rtol=1e-12) for (v, x, y), m in rows.items())
+    some = np.array([(x, y) for x in range(40) for y in range(x, 40) if x != 7 and (x + y) % 3])
+    z = r.dirichlet(np.ones(9), len(some))
+    got = {(q["x"], q["y"]): q for q in relatedness.pair_sums(relatedness.units(sites, 40, 2), 40, some[:, 0], some[:, 1], z, 1e-8).collect()}
+    assert len(got) == len(some)
+    for (x, y), w in zip(some.tolist(), z, strict=True):
+        n, f, g, h = solver.mixture_sums(*component_rows(lik[:, x], lik[:, [y]], model), w[None], 1e-8)
+        q = got[x, y]
+        assert q["n"] == n[0] and np.allclose([q["value"], *(q[f"g{k}"] for k in range(9))], [f[0], *g[0]]) and np.allclose([q[f"h{a}{b}"] for a, b in relatedness.UPPER], [h[0, a, b] for a, b in relatedness.UPPER])
+
+
+def test_slopes_are_grouped_by_pair_alone(spark):
+    """A row of a site and pair is neither exploded nor hashed by the pair's nine coefficients."""
+    plan = queries.QUERIES["relatedness_gl_optimality"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    sums = [line[line.index("Aggregate [") :] for line in plan.splitlines() if "Aggregate [" in line and "avg(" in line]
+    assert len(sums) == 1 and sums[0][: sums[0].index("]")].count("#") == 2 and "MapInArrow" in plan
+    assert "Generate" not in plan[plan.index("Aggregate [") : plan.index("MapInArrow")]
