@@ -213,7 +213,8 @@ def pair_sums(packed: DataFrame, used: int, x: np.ndarray, y: np.ndarray, z: np.
 
 
 def advanced(states: DataFrame, sums: DataFrame, s: solver.Settings) -> DataFrame:
-    """States after one step of each pair that is not done."""
+    """States after one step of each pair that is not done. One that shares no site gets status 3; which
+    of several is reported does not depend on the task that ends first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -223,8 +224,8 @@ def advanced(states: DataFrame, sums: DataFrame, s: solver.Settings) -> DataFram
             for name in search.NUMBERS:
                 setattr(search, name, b[name].to_numpy().astype(getattr(search, name).dtype))
             rows, n = search.live, b.n.fillna(0).to_numpy()
-            if (n[rows] == 0).any():
-                raise no_site(*b[["x", "y"]].to_numpy()[rows[n[rows] == 0][0]])
+            search.status[rows[n[rows] == 0]] = 3
+            rows = search.live
             v = b[SUMS].to_numpy()[rows] / n[rows, None]
             h = np.zeros((len(rows), 9, 9))
             for k, (i, j) in enumerate(UPPER):
@@ -250,9 +251,12 @@ def by_units(packed: DataFrame, used: int, s: solver.Settings, wave: int) -> Dat
         fresh: dict[str, Column] = {n: F.lit(float({"f": "inf", "condition": "nan", "a": 1}.get(n, 0))) for n in solver.Search.NUMBERS}
         states = written(sample_pairs(spark, used).where((F.col("x") >= low) & (F.col("x") < high)).select("x", "y", at.alias("points"), *(c.alias(n) for n, c in fresh.items())), "states")
         while True:
-            live = states.where("status = 0").select("x", "y", F.slice("points", 19, 9).alias("z")).toArrow()
+            live = states.where("status IN (0, 3)").select("x", "y", "status", F.slice("points", 19, 9).alias("z")).toArrow()
             if not len(live):
                 break
+            lost = live["status"].to_numpy() == 3
+            if lost.any():
+                raise no_site(*min(zip(live["x"].to_numpy()[lost].tolist(), live["y"].to_numpy()[lost].tolist(), strict=True)))
             z = live["z"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, 9)
             sums = pair_sums(packed, used, live["x"].to_numpy(), live["y"].to_numpy(), z, s.epsilon)
             old, states = states, written(advanced(states, sums, s), "states")

@@ -106,6 +106,18 @@ def test_pairs_without_a_site(spark, local):
         relatedness.relatedness_gl(flat, local=local).collect()
 
 
+def test_first_pair_without_a_site_is_named(spark):
+    """Also where tasks of other pairs end first."""
+    nan, one = [float("nan")] * 3, [1.0, 0.5, 0.1]
+    rows = spark.createDataFrame([(k, 2, [0.5, 0.5], [nan if k in (2 * s % 7, 5) else one for s in range(12)]) for k in range(7)], "site_id long, n_alleles int, af array<double>, gl array<array<double>>")
+    flat = rows.withColumn("af", F.array(F.lit(1.0), F.lit(0.0)))
+    with pytest.raises(ValueError, match="samples 0 and 0 share no site"):
+        relatedness.relatedness_gl(flat, local=0).collect()
+    late = rows.where("site_id IN (4, 6)")  # samples 2 and 9 lack one, 3 and 10 the other
+    with pytest.raises(ValueError, match="samples 2 and 3 share no site"):
+        relatedness.relatedness_gl(late, local=0).collect()
+
+
 def test_passes_stop_at_the_limit(spark):
     lik = panel.likelihoods(spark, SF, "GL").where("site_id < 100")
     rows = relatedness.relatedness_gl(lik, iterations=1, samples=4, local=0).collect()
