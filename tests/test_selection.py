@@ -1,9 +1,11 @@
 """Thinning, exact random subsets, sweeps over tracks and kinship by generations, against plain Python."""
 
+import functools
 import random
 from collections import Counter
 
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from kinfold.operators import evaluate, selection
@@ -118,6 +120,62 @@ def test_kinship_broadcasts_no_table_that_grows(spark, monkeypatch):
     assert plans and not any("Broadcast" in p for p in plans)
 
 
+def shuffled(spark) -> int:
+    """Rows that all stages so far have written for others to read."""
+    gateway = spark.sparkContext._gateway
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_kinship_shuffles_people_not_blocks(spark, monkeypatch):
+    """Rows shuffled and written follow from the people, however many blocks a family is cut into; a family dealt to several tasks
+    goes to each of them once, and gives the same."""
+    kept, written = [], evaluate.written
+    monkeypatch.setattr(evaluate, "written", lambda df, what: kept.append(written(df, what)) or kept[-1])
+    df = spark.createDataFrame([(f, k, k // 2 if k > 3 else None, k // 3 if k > 3 else None) for f in "xy" for k in range(400)], "family string, ind long, parent1 long, parent2 long")
+
+    def run():
+        before, found = shuffled(spark), {(r["family"], r["a"], r["b"]): r["kinship"] for r in evaluate.expected_kinship(df, ["family"], 4).collect()}
+        return found, shuffled(spark) - before
+
+    whole, rows = run()
+    assert len(whole) > 150_000 and 0 < rows < 2.1 * 800 and sum(t.count() for t in kept) == 800
+    for name, value in (("PAIRS", 1), ("TASKS", 6), ("CELLS", 2000), ("ROWS", 50)):  # three tasks a family
+        monkeypatch.setattr(evaluate, name, value)
+    cut, rows = run()
+    assert cut == whole and rows < 4.1 * 800
+
+
+def test_kinship_of_odd_pedigrees(spark, monkeypatch):
+    """Names that are no numbers, parents without a row, a parent twice, children numbered before their parents, unrelated people."""
+    r, up, names = random.Random(5), {}, [f"{'é' if k % 7 else ''}{k}" for k in range(60)]
+    random.Random(6).shuffle(names)
+    for k, name in enumerate(names):
+        some = [names[r.randrange(k)] if k > 5 else None, *r.choices([*names[:k], "no one", None], k=2)]
+        up[name] = (some[1], some[1]) if k % 9 == 8 else (some[0], some[2])
+    place = {name: k for k, name in enumerate(names)}
+
+    @functools.cache
+    def phi(i, j):
+        if i not in up or j not in up:
+            return 0.0
+        if i == j:
+            return 0.5 + phi(*up[i]) / 2
+        i, j = sorted((i, j), key=place.get)
+        return (phi(up[j][0], i) + phi(up[j][1], i)) / 2
+
+    df = spark.createDataFrame([(1, n, *up[n]) for n in sorted(names)] + [(1, None, None, None), (2, "a", None, None)], "f int, ind string, parent1 string, parent2 string")
+    want = {(1, i, j): phi(i, j) for i in up for j in up if i <= j and phi(i, j) > 0} | {(2, "a", "a"): 0.5}
+    assert 200 < len(want) < 1830
+    for tasks in (1, 5):
+        monkeypatch.setattr(evaluate, "PAIRS", 2000 // tasks)
+        rows = evaluate.expected_kinship(df, ["f"], 7).collect()
+        got = {(x["f"], x["a"], x["b"]): x["kinship"] for x in rows}
+        assert len(rows) == len(got) and got.keys() == want.keys() and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
+    with pytest.raises(PythonException, match="an individual is there twice in a family"):
+        evaluate.expected_kinship(df.unionByName(df.limit(1)), ["f"])
+
+
 def test_references_seeds_comparator_and_sidecar(spark):
     rows = evaluate.pedigree(spark, 2, references=3, relationships=("full_sib",)).collect()
     assert Counter((r["rep"], r["family"]) for r in rows) == {(0, "full_sib"): 4, (0, "reference"): 3, (1, "full_sib"): 4, (1, "reference"): 3}
